@@ -274,15 +274,13 @@ def _facts_by_arrays(requests, patients, meds, rules, pgx, broadcast_meds) -> Da
         patient_profiles(patients, rules, pgx), F.col("_patient") == F.col("_patient_id"), "left"
     ).join(meds_side, F.col("_medication") == F.col("_med_id"), "left")
     gaps = F.filter("_required", lambda g: ~F.array_contains("_genes", g["key"]))
-    found = F.filter(
-        F.transform(
-            "_rules",
-            lambda r: F.struct(
-                *[r[c].alias(c) for c in _match_struct()],
-                F.try_element_at(F.col("_found"), r["pair"]).alias("pgx_result_id"),
-            ),
+    hits = F.filter("_rules", lambda r: F.map_contains_key(F.col("_found"), r["pair"]))
+    found = F.transform(
+        hits,
+        lambda r: F.struct(
+            *[r[c].alias(c) for c in _match_struct()],
+            F.try_element_at(F.col("_found"), r["pair"]).alias("pgx_result_id"),
         ),
-        lambda m: m["pgx_result_id"].isNotNull(),
     )
     return joined.select(
         *[c for c in requests.columns if c not in ("_patient", "_medication")],
@@ -358,72 +356,64 @@ def _facts_by_rows(requests, patients, meds, rules, pgx) -> DataFrame:
 
 
 def _decide(facts: DataFrame) -> DataFrame:
-    """First true condition wins; the order of the conditions is part of the contract."""
-    branch = (
-        F.when(F.col("_patient").isNull() | F.col("_medication").isNull(), "missing_ids")
-        .when(F.col("_med_id").isNull(), "unsupported")
-        .when(F.col("_patient_id").isNull(), "unknown_patient")
-        .when(F.col("_n_rules") == 0, "no_rules")
-        .when(~F.col("_has_results"), "no_results")
-        .when(F.size("_gaps") > 0, "missing_genes")
-        .when(F.coalesce(F.size("_matches"), F.lit(0)) <= 0, "no_match")
-        .otherwise("matched")
+    """First true condition wins; the order of the conditions is part of the contract.
+
+    The decision is a number from 1 to 8 (BRANCHES).  Texts come from constant
+    arrays indexed by it, which keeps the generated code of a row small.
+    """
+    decision = (
+        F.when(F.col("_patient").isNull() | F.col("_medication").isNull(), 1)
+        .when(F.col("_med_id").isNull(), 2)
+        .when(F.col("_patient_id").isNull(), 3)
+        .when(F.col("_n_rules") == 0, 4)
+        .when(~F.col("_has_results"), 5)
+        .when(F.size("_gaps") > 0, 6)
+        .when(F.coalesce(F.size("_matches"), F.lit(0)) <= 0, 7)
+        .otherwise(8)
     )
     plain = [c for c in facts.columns if not c.startswith("_") and c != "medication"]
-    b = F.col("branch")
-    matched, supported = b == "matched", ~b.isin("missing_ids", "unsupported", "unknown_patient")
-    no_genes = F.array().cast("array<string>")
-    primary = F.get(F.col("matches"), F.lit(0))
-
-    def text(for_no_rules: str, for_no_results: str, otherwise: str, matched_field: str) -> Column:
-        return (
-            F.when(matched, primary[matched_field])
-            .when(b == "no_rules", for_no_rules)
-            .when(b == "no_results", for_no_results)
-            .when(supported, otherwise)
-        )
+    d = F.col("_decision")
+    first = F.col("_primary")
 
-    message = (
-        F.when(b == "missing_ids", D.MISSING_IDS)
-        .when(b == "unsupported", D.UNSUPPORTED)
-        .when(b == "unknown_patient", D.PATIENT_NOT_FOUND)
-        .when(b == "no_rules", D.NO_RULES)
-        .when(b == "no_results", D.NO_RESULTS)
-        .when(b == "missing_genes", missing_gene_message("_gaps"))
-        .when(b == "no_match", D.NO_MATCH)
-        .otherwise(D.MATCHED)
-    )
-    staged = facts.withColumn("branch", branch).withColumn(
-        "matches", F.when(b == "matched", F.col("_matches"))
-    )
+    def by_decision(*values: str | None) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), d)
+
+    def text(no_rules: str, no_results: str, otherwise: str, field: str) -> Column:
+        fixed = by_decision(None, None, None, no_rules, no_results, otherwise, otherwise, None)
+        return F.coalesce(first[field], fixed).alias(field)
+
+    insufficient = ["insufficient_data"] * 4
+    staged = facts.withColumn("_decision", decision).withColumn(
+        "matches", F.when(d == 8, F.col("_matches"))
+    ).withColumn("_primary", F.get(F.col("matches"), F.lit(0)))
     return staged.select(
         *plain,
-        "branch",
-        supported.alias("supported"),
-        matched.alias("matched"),
-        F.when(matched, "matched").when(supported, "insufficient_data").alias("status"),
-        F.when(matched, primary["risk_level"]).when(supported, "insufficient_data").alias("risk_level"),
-        F.when(supported, F.col("medication")).alias("medication"),
-        message.alias("message"),
-        F.when(b == "no_results", F.col("_all_genes"))
-        .when(b == "missing_genes", F.col("_gaps"))
-        .otherwise(no_genes)
+        by_decision(*BRANCHES).alias("branch"),
+        (d > 3).alias("supported"),
+        (d == 8).alias("matched"),
+        by_decision(None, None, None, *insufficient, "matched").alias("status"),
+        F.coalesce(first["risk_level"], by_decision(None, None, None, *insufficient, None)).alias("risk_level"),
+        F.when(d > 3, F.col("medication")).alias("medication"),
+        F.when(d == 6, missing_gene_message("_gaps"))
+        .otherwise(
+            by_decision(
+                D.MISSING_IDS, D.UNSUPPORTED, D.PATIENT_NOT_FOUND, D.NO_RULES, D.NO_RESULTS, None, D.NO_MATCH, D.MATCHED
+            )
+        )
+        .alias("message"),
+        F.when(d == 5, F.col("_all_genes"))
+        .when(d == 6, F.col("_gaps"))
+        .otherwise(F.array().cast("array<string>"))
         .alias("missing_genes"),
         "matches",
-        primary["gene"].alias("gene"),
-        primary["phenotype"].alias("phenotype"),
-        text(D.INSUFFICIENT_PATIENT, D.NO_RESULTS_PATIENT, D.INSUFFICIENT_PATIENT, "patient_summary").alias(
-            "patient_summary"
-        ),
-        text(D.NO_RULES, D.NO_RESULTS_CLINICIAN, D.INSUFFICIENT_CLINICIAN, "clinician_summary").alias(
-            "clinician_summary"
-        ),
-        text(D.INSUFFICIENT_ACTION, D.NO_RESULTS_ACTION, D.INSUFFICIENT_ACTION, "recommended_action").alias(
-            "recommended_action"
-        ),
-        primary["evidence_source"].alias("evidence_source"),
-        primary["rule_id"].alias("rule_id"),
-        primary["pgx_result_id"].alias("pgx_result_id"),
+        first["gene"].alias("gene"),
+        first["phenotype"].alias("phenotype"),
+        text(D.INSUFFICIENT_PATIENT, D.NO_RESULTS_PATIENT, D.INSUFFICIENT_PATIENT, "patient_summary"),
+        text(D.NO_RULES, D.NO_RESULTS_CLINICIAN, D.INSUFFICIENT_CLINICIAN, "clinician_summary"),
+        text(D.INSUFFICIENT_ACTION, D.NO_RESULTS_ACTION, D.INSUFFICIENT_ACTION, "recommended_action"),
+        first["evidence_source"].alias("evidence_source"),
+        first["rule_id"].alias("rule_id"),
+        first["pgx_result_id"].alias("pgx_result_id"),
     )
 
 

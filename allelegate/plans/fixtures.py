@@ -8,6 +8,7 @@ from a column and no row is left out.
 from __future__ import annotations
 
 import re
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -155,6 +156,51 @@ VIEWS = {
             as risk_level,
           o_orderdate as created_at
         from lineitem join orders on o_orderkey = l_orderkey""",
+    # Staged rules after normalization.
+    "fx_norm": """
+        select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity,
+          lower(trim(replace(medication_generic_name, '  ', ' '))) as medication_generic_name,
+          brand_name, drug_class, upper(trim(gene)) as gene, lower(replace(phenotype, '  ', ' ')) as phenotype,
+          case when trim(risk_level) = '' then 'insufficient_data' else risk_level end as risk_level,
+          patient_summary,
+          case when trim(clinician_summary) = '' then 'Pending clinical review.'
+            else replace(clinician_summary, '  ', ' ') end as clinician_summary,
+          recommended_action, evidence_source, evidence_url, rule_version, review_status
+        from fx_stage""",
+    # Stored medications and rules before a merge; half of the staged names are known.
+    "fx_store_meds": """
+        select cast(p_partkey as string) as id,
+          concat(case when p_size % 2 = 0 then 'med ' else 'old ' end, cast(p_partkey as string)) as generic_name,
+          case when p_size % 7 = 0 then null else p_brand end as brand_name,
+          case when p_size % 5 = 0 then null else p_type end as drug_class,
+          p_size % 10 <> 0 as is_active,
+          timestamp '2020-01-01 00:00:00' as created_at, timestamp '2020-02-01 00:00:00' as updated_at
+        from part""",
+    "fx_store_rules": """
+        select cast(id as string) as id, cast(medication_id as string) as medication_id, gene, phenotype, risk_level,
+          patient_summary, clinician_summary, recommended_action, evidence_source,
+          cast(null as string) as evidence_url, 'v1.0' as rule_version, review_status,
+          case when id % 3 = 0 then null else timestamp '2020-03-01 00:00:00' end as imported_at,
+          timestamp '2020-01-01 00:00:00' as created_at, timestamp '2020-02-01 00:00:00' as updated_at
+        from fx_rules""",
+    # Results entered anew, one per line item, in the order of ship date and the l_* columns.
+    "fx_pgx_in": """
+        select l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
+          case when l_quantity = 1 then null when l_quantity = 50 then -1 - o_custkey else o_custkey end as patient_id,
+          case l_linenumber when 1 then ' CYP2C19 ' when 2 then 'cyp2c19' when 3 then 'SLCO1B1' when 4 then 'TPMT'
+            when 5 then ' ' else 'DPYD' end as gene,
+          case l_suppkey % 4 when 0 then 'poor metabolizer' when 1 then ' normal function ' when 2 then 'rapid metabolizer'
+            else case when l_linestatus = 'O' then '  ' else 'decreased function' end end as phenotype,
+          case l_returnflag when 'A' then ' *1/*2 ' when 'N' then ' ' else null end as genotype
+        from lineitem join orders on o_orderkey = l_orderkey""",
+    "fx_store_pgx": """
+        select cast(id as string) as id, patient_id, gene, phenotype, genotype,
+          'lab' as source, updated_at as created_at, updated_at
+        from fx_pgx""",
+    "fx_sessions": """
+        select concat('s-', cast(user_id as string)) as id, user_id, concat('old-', cast(user_id as string)) as token_hash,
+          max(ts) + interval 12 hour as expires_at, max(ts) as created_at
+        from events where event_type = 'view' group by user_id""",
     "fx_attempts": "select event_id, user_id as subject, ts from events where event_type = 'error'",
     "fx_users": """
         select cast(floor(c_custkey / 3) as bigint) as id,
@@ -194,15 +240,23 @@ def with_views(sql: str) -> str:
     return f"with {heads} {body}"
 
 
+_registered: WeakKeyDictionary[SparkSession, dict[str, str]] = WeakKeyDictionary()
+
+
 def register(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> None:
+    """Base tables as views; a table already registered from this folder is not opened again."""
+    seen = _registered.setdefault(spark, {})
     for table in only or BASE:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        if seen.get(table) != sf_dir or not spark.catalog.tableExists(table):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            seen[table] = sf_dir
 
 
 def read_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     text = with_views(sql)
     register(spark, sf_dir, [t for t in BASE if re.search(rf"\b(from|join|,)\s+{t}\b", text)])
-    return spark.sql(text)
+    # The tables' times have no zone; neither may the literals they meet.
+    return spark.sql(text.replace("timestamp '", "timestamp_ntz '"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
