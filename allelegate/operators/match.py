@@ -15,7 +15,7 @@ small, else the second.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -464,3 +464,14 @@ def risk_history_rows(decided: DataFrame, run_id: str, run_ts: Column) -> DataFr
         F.when(hit, F.col("m.recommended_action")).otherwise(F.col("_action")).alias("recommended_action"),
         run_ts.alias("created_at"),
     )
+
+
+def history_newest_first(history: DataFrame) -> DataFrame:
+    """Kept rows in reading order: patient, then newest first."""
+    return history.orderBy("patient_id", F.desc("created_at"), "id")
+
+
+def latest_history(history: DataFrame, n: int) -> DataFrame:
+    """The `n` newest rows of each patient; each task keeps `n` per patient before the shuffle."""
+    newest = Window.partitionBy("patient_id").orderBy(F.desc("created_at"), F.asc("id"))
+    return history.withColumn("position", F.row_number().over(newest).cast("bigint")).where(F.col("position") <= n)

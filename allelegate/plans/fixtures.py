@@ -117,19 +117,43 @@ VIEWS = {
           case l_returnflag when 'A' then 'approved' when 'N' then 'pending_review' else 'rejected' end
             as review_status
         from lineitem""",
-    # Ordered list changes, with ids shaped as identifiers; some are malformed.
+    # Ordered list changes, with ids shaped as identifiers; some are malformed, some of another patient.
     "fx_changes": """
         select event_id, ts, user_id,
           case when event_id % 50 = 7 then concat('user-', cast(user_id as string))
+            when event_id % 20 = 3 then concat('00000000-0000-4000-8000-', lpad(cast(user_id + 1 as string), 12, '0'))
             else concat('00000000-0000-4000-8000-', lpad(cast(user_id as string), 12, '0')) end as patient_id,
-          concat('00000000-0000-4000-9000-', lpad(regexp_extract(props, '([0-9]+)', 1), 12, '0')) as medication_id,
+          concat('00000000-0000-4000-9000-',
+            lpad(cast(cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 10 as string), 12, '0')) as medication_id,
+          concat('10000000-0000-4000-a000-',
+            lpad(cast(user_id * 10 + cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 10 as string), 12, '0'))
+            as item_id,
           case event_type when 'signup' then 'add' when 'click' then 'update' when 'purchase' then 'remove'
-            else 'noop' end as op,
+            when 'error' then 'noop' else 'view' end as op,
           case when value < 10 then ' past ' when value < 20 then 'considering' when value < 30 then 'unknown'
             else 'active' end as status,
           case when value < 5 then '  ' when value < 15 then null
             else concat(' note ', cast(event_id as string), ' ') end as notes
         from events""",
+    # The list that the changes meet: what a patient viewed before.
+    "fx_items": """
+        select item_id as id, concat('00000000-0000-4000-8000-', lpad(cast(user_id as string), 12, '0')) as patient_id,
+          medication_id, 'past' as status, min(notes) as notes, min(ts) as created_at, max(ts) as updated_at
+        from fx_changes where op = 'view' group by item_id, user_id, medication_id""",
+    # Search texts: names and brands in either case, nations that match nothing, wildcards and a blank.
+    "fx_queries": """
+        select upper(p_name) as query from part union all select lower(p_brand) from part
+        union all select n_name from nation
+        union all select case r_regionkey when 0 then '%' when 1 then '_' when 2 then '   '
+          when 3 then '____________________' else 'g_1' end from region""",
+    # What an audit asks for: every part with its brand; some names and many rules are not stored.
+    "fx_required_meds": """
+        select case when p_size = 5 then concat('absent ', cast(p_partkey as string))
+            else lower(concat(p_name, ' ', cast(p_partkey as string))) end as generic_name, p_brand as brand_name
+        from part""",
+    "fx_required_rules": """
+        select lower(concat(p_name, ' ', cast(p_partkey as string))) as generic_name, gene, phenotype
+        from part join fx_kinds on (p_partkey + p_size) % 3 = kind""",
     "fx_list_meds": """
         select concat('00000000-0000-4000-9000-', lpad(cast(p_partkey as string), 12, '0')) as id,
           generic_name, brand_name, drug_class, is_active
