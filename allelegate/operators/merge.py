@@ -19,7 +19,7 @@ from allelegate.functions.text import (
     token_hash,
     trim_all,
 )
-from allelegate.operators.staging import invalid_reason
+from allelegate.operators.staging import checked
 from allelegate.plans import domains as D
 
 
@@ -102,14 +102,9 @@ def upsert_rules(
         *RULE_VALUES,
         *order,
     )
-    reason = invalid_reason("risk_level", "review_status")
-    if strict:
-        rows = rows.withColumn(
-            "review_status",
-            F.when(reason.isNotNull(), F.raise_error(reason).cast("string")).otherwise(F.col("review_status")),
-        )
-    else:
-        rows = rows.where(reason.isNull())
+    rows = checked(rows, "risk_level", "review_status", strict)
+    if not strict:
+        rows = rows.where("invalid is null")
     best = gated_last(rows, ["generic_name", "gene", "phenotype"], RULE_VALUES, order)
     named = best.join(
         medications.select("generic_name", F.col("id").cast("string").alias("medication_id")), "generic_name"
@@ -163,12 +158,12 @@ def checked_results(incoming: DataFrame, patients: DataFrame) -> DataFrame:
     )
 
 
-def upsert_pgx(target: DataFrame, checked: DataFrame, order: list[str], run_ts: Column) -> DataFrame:
+def upsert_pgx(target: DataFrame, results: DataFrame, order: list[str], run_ts: Column) -> DataFrame:
     """Stored results with the saved rows of `checked_results`: the last per (patient, gene) wins.
 
     The gene is compared as written; the source of a stored row stays.
     """
-    saved = checked.where("outcome = 'saved'")
+    saved = results.where("outcome = 'saved'")
     last = saved.groupBy("patient_id", "gene").agg(
         F.max_by(F.struct("phenotype", "genotype"), F.struct(*order)).alias("_last")
     ).select("patient_id", "gene", "_last.phenotype", "_last.genotype")

@@ -170,9 +170,8 @@ def checked(df: DataFrame, risk_level: str, review_status: str, strict: bool) ->
     reason = invalid_reason(risk_level, review_status)
     if not strict:
         return df.withColumn("invalid", reason)
-    # The check rides on a column every caller reads, so pruning cannot drop it.
-    kept = F.when(reason.isNotNull(), F.raise_error(reason).cast("string")).otherwise(F.col(review_status))
-    return df.withColumn(review_status, kept)
+    # A filter, because pruning could drop a column that nobody reads.
+    return df.where(F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(reason).cast("boolean")))
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:
