@@ -140,16 +140,17 @@ def match_risk(
     rules: DataFrame,
     pgx: DataFrame,
     plan: str = "auto",
+    broadcast_meds: bool = False,
 ) -> DataFrame:
     """Decide every request; the columns of `requests` are kept.
 
     `branch` names the decision (see BRANCHES); `matches` holds the matched
     rules by falling risk, then rule id, and its first element is the primary
-    one that the flat columns repeat.
+    one that the flat columns repeat.  With `auto` the plan and the broadcast
+    are chosen from measured sizes; a caller who names a plan answers for both.
     """
-    broadcast_meds = False
     if plan == "auto":
-        plan, broadcast_meds = _choose_plan(meds, rules)
+        plan, broadcast_meds = choose_plan(meds, rules)
     requests = requests.withColumns(
         {"_patient": _clean(requests, "patient_id"), "_medication": _clean(requests, "medication_id")}
     )
@@ -160,7 +161,7 @@ def match_risk(
     return _decide(facts)
 
 
-def _choose_plan(meds: DataFrame, rules: DataFrame) -> tuple[str, bool]:
+def choose_plan(meds: DataFrame, rules: DataFrame) -> tuple[str, bool]:
     """One small job over the rules, one count of the medications."""
     keyed = keyed_rules(rules)
     per_med = keyed.groupBy("medication_id").agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,89 @@
-"""Queries."""
+"""Streaming queries: tables written as files, streamed to the end, results read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from allelegate.operators import merge as G
+from allelegate.plans.fixtures import read_sql, view
+from allelegate.plans.session import scratch_path
+from allelegate.queries import query
+from allelegate.queries.accounts import THROTTLE
+from allelegate.queries.match import DECISION, FLAT, REQ_PLAIN, flat, inputs, run_ts
+from allelegate.queries.merge import IN_ORDER, UPSERT_PGX
+from allelegate.sources.tables import current_version, load_table, write_version
+from allelegate.streaming.apply import apply_stream
+from allelegate.streaming.match import match_risk_stream
+from allelegate.streaming.throttle import throttle_stream
+
+
+def as_stream(spark, slices: list[DataFrame], name: str) -> DataFrame:
+    """Files written slice after slice and streamed in that order, one slice or less per micro-batch."""
+    path = scratch_path(spark, name)
+    for part in slices:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def run_to_table(spark, stream: DataFrame, name: str) -> DataFrame:
+    out, log = scratch_path(spark, name), scratch_path(spark, f"{name}-log")
+    job = (
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", log)
+        .trigger(availableNow=True).start()
+    )
+    job.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("match_risk_stream", f"with {REQ_PLAIN}, {DECISION} {FLAT}")
+def match_stream(spark, sf):
+    requests, patients, meds, rules, pgx = inputs(spark, sf)
+    path = scratch_path(spark, "requests")
+    requests.write.parquet(path)
+    stream = spark.readStream.schema(requests.schema).parquet(path)
+    return run_to_table(spark, flat(match_risk_stream(stream, patients, meds, rules, pgx)), "decisions")
+
+
+@query("throttle_stream", THROTTLE)
+def throttle(spark, sf):
+    weeks = [
+        read_sql(spark, sf, f"select * from fx_attempts where {test}")
+        for test in (
+            "ts < timestamp '2024-01-08 00:00:00'",
+            "ts >= timestamp '2024-01-08 00:00:00' and ts < timestamp '2024-01-17 00:00:00'",
+            "ts >= timestamp '2024-01-17 00:00:00'",
+        )
+    ]
+    stream = as_stream(spark, weeks, "attempts")
+    numbered = throttle_stream(stream, "subject", "ts", ["event_id"], window_seconds=10 * 24 * 3600, maximum=3)
+    return run_to_table(spark, numbered, "throttled")
+
+
+@query("apply_stream", UPSERT_PGX)
+def apply_changes(spark, sf):
+    """Results entered in two parts by ship date, merged one version after the other."""
+    text = lambda df, c: df.withColumn(c, F.col(c).cast("string"))
+    root, log = scratch_path(spark, "store"), scratch_path(spark, "store-log")
+    write_version(view(spark, sf, "fx_store_pgx"), root, "pgx_results", "-start")
+    parts = [
+        text(read_sql(spark, sf, f"select * from fx_pgx_in where l_shipdate {test} timestamp '1998-01-01 00:00:00'"), "patient_id")
+        for test in ("<", ">=")
+    ]
+    patients = text(view(spark, sf, "fx_patients"), "id")
+
+    def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
+        return G.upsert_pgx(stored, G.checked_results(batch, patients), IN_ORDER, run_ts().cast("timestamp"))
+
+    apply_stream(as_stream(spark, parts, "results"), merge, root, "pgx_results", log).awaitTermination()
+    final = load_table(spark, root, "pgx_results", current_version(spark, root, "pgx_results"))
+    return final.select(
+        "id",
+        F.col("patient_id").cast("bigint").alias("patient_id"),
+        "gene",
+        "phenotype",
+        "genotype",
+        "source",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+        F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
+    )

@@ -35,6 +35,11 @@ def current_version(spark: SparkSession, root: str, table: str) -> str | None:
     return done[-1] if done else None
 
 
+def version_before(spark: SparkSession, root: str, table: str, version: str) -> str | None:
+    earlier = [v for v in _versions(spark, root, table) if v < version]
+    return earlier[-1] if earlier else None
+
+
 def write_version(df: DataFrame, root: str, table: str, version: str) -> None:
     """A new version of a table.  Writing the same version again replaces it."""
     schema = TABLES[table]
@@ -45,8 +50,8 @@ def write_version(df: DataFrame, root: str, table: str, version: str) -> None:
     writer.parquet(f"{root}/{table}/version={version}")
 
 
-def load_table(spark: SparkSession, root: str, table: str, version: str | None = None) -> DataFrame:
-    version = version or current_version(spark, root, table)
+def load_table(spark: SparkSession, root: str, table: str, version: str | None) -> DataFrame:
+    """One version of a table; empty without a version."""
     if version is None:
         return spark.createDataFrame([], TABLES[table])
     return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}/version={version}")
@@ -54,7 +59,7 @@ def load_table(spark: SparkSession, root: str, table: str, version: str | None =
 
 def load_tables(spark: SparkSession, root: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """Current version of each table, with its fixed schema."""
-    return {name: load_table(spark, root, name) for name in names or list(TABLES)}
+    return {name: load_table(spark, root, name, current_version(spark, root, name)) for name in names or list(TABLES)}
 
 
 def stored_tables(spark: SparkSession, root: str) -> DataFrame:
