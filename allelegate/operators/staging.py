@@ -37,8 +37,8 @@ def map_aliases(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
 
 def known_phenotype(column: Column | str) -> Column:
     """Canonical phenotype by import key, null when unknown."""
-    key = norm_key(column)
-    return F.when(key.isin([p for ps in D.PHENOTYPES.values() for p in ps]), key)
+    known = [F.lit(p) for ps in D.PHENOTYPES.values() for p in ps for _ in range(2)]
+    return F.try_element_at(F.create_map(*known), norm_key(column))
 
 
 def supported_gene(gene: Column | str) -> Column:
@@ -110,26 +110,33 @@ def normalize_records(raw: DataFrame, strict: bool = True) -> DataFrame:
     """
     med = F.col("medication")
     extra = [c for c in raw.columns if c.startswith("ord_")]
-    normalized = raw.select(
+    leveled = raw.withColumns(
+        {
+            "riskLevel": F.coalesce(blank_to_null(norm_key("riskLevel")), F.lit("insufficient_data")),
+            "reviewStatus": F.coalesce(blank_to_null(norm_key("reviewStatus")), F.lit(D.PENDING)),
+        }
+    )
+    leveled = checked(leveled, "riskLevel", "reviewStatus", strict)
+    return leveled.select(
         norm_key(med["genericName"]).alias("genericName"),
         norm_text(med["brandName"]).alias("brandName"),
         blank_to_null(norm_text(med["drugClass"])).alias("drugClass"),
         norm_gene("gene").alias("gene"),
         norm_key("phenotype").alias("phenotype"),
-        F.coalesce(blank_to_null(norm_key("riskLevel")), F.lit("insufficient_data")).alias("riskLevel"),
+        "riskLevel",
         default_if_blank("patientSummary", D.PENDING_SUMMARY).alias("patientSummary"),
         default_if_blank("clinicianSummary", D.PENDING_SUMMARY).alias("clinicianSummary"),
         default_if_blank("recommendedAction", D.PENDING_ACTION).alias("recommendedAction"),
         norm_text("sourceName").alias("sourceName"),
         blank_to_null(norm_text("sourceUrl")).alias("sourceUrl"),
         norm_text("sourceType").alias("sourceType"),
-        F.coalesce(blank_to_null(norm_key("reviewStatus")), F.lit(D.PENDING)).alias("reviewStatus"),
+        "reviewStatus",
         norm_text("notes").alias("evidenceNotes"),
         norm_text("rawSummary").alias("rawSummary"),
         F.lit(D.COLLECTOR_VERSION).alias("ruleVersion"),
         *extra,
+        *([] if strict else ["invalid"]),
     )
-    return checked(normalized, "riskLevel", "reviewStatus", strict)
 
 
 def to_rules(normalized: DataFrame, strict: bool = True) -> DataFrame:
@@ -167,11 +174,17 @@ def invalid_reason(risk_level: str, review_status: str) -> Column:
 
 
 def checked(df: DataFrame, risk_level: str, review_status: str, strict: bool) -> DataFrame:
+    """Fail on a level or state that is not allowed, or name it in `invalid`.
+
+    The failure sits in the review status, which every merge, summary and
+    review file reads.  As a filter it would be pushed below the normalization
+    and repeat it.
+    """
     reason = invalid_reason(risk_level, review_status)
     if not strict:
         return df.withColumn("invalid", reason)
-    # A filter, because pruning could drop a column that nobody reads.
-    return df.where(F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(reason).cast("boolean")))
+    stop = F.raise_error(reason).cast("string")
+    return df.withColumn(review_status, F.when(reason.isNull(), F.col(review_status)).otherwise(stop))
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:

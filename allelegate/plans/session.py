@@ -9,14 +9,29 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings that suit these plans and that a session may change at any time.  Rows
+# with many text columns make long generated methods, which the JVM runs without
+# compiling them; past this size Spark generates smaller ones instead.
+SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply SETTINGS to a session that someone else made."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def local_session(cores: int | str = 8, partitions: int = 8, app: str = "allelegate") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
-    return (
+    return tune(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("ALLELEGATE_DRIVER_MEMORY", "12g"))
