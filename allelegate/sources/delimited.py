@@ -28,7 +28,7 @@ def read_cells(spark: SparkSession, path: str | list[str], sep: str = ",", multi
     if first is None:
         raise ValueError(f"No header in {path}")
     names = [h if h is not None else "" for h in first]
-    plain = len(set(names)) == len(names) and "" not in names
+    plain = len({n.lower() for n in names}) == len(names) and "" not in names
     labels = names if plain else [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in labels)
     # Names are checked against each file's header where they can be told apart.
