@@ -51,7 +51,7 @@ def existing_tables(spark, database: str | None = None) -> DataFrame:
 def in_required_set(rows: DataFrame, required: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Rows whose keys are in the required set (columns named as in `keys`)."""
     on = [c == F.col(f"_r_{k}") for k, c in keys.items()]
-    return rows.join(required.select(*[F.col(k).alias(f"_r_{k}") for k in keys]), on, "left_semi")
+    return rows.join(required.select(*[F.col(k).alias(f"_r_{k}") for k in keys]).distinct(), on, "left_semi")
 
 
 def rules_with_medication(rules: DataFrame, meds: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def rules_with_medication(rules: DataFrame, meds: DataFrame) -> DataFrame:
 
 
 def missing_members(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
-    return required.join(present.select(*keys), keys, "left_anti")
+    return required.join(present.select(*keys).distinct(), keys, "left_anti")
 
 
 def medication_faults(required: DataFrame, meds: DataFrame) -> DataFrame:

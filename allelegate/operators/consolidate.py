@@ -142,7 +142,9 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
     held = None
     for child, column, parent, rule in REFERENCES:
         if parent == table and rule == "restrict" and child in tables:
-            named = doomed.join(tables[child].select(F.col(column).alias("_ref")), F.col("id") == F.col("_ref"), "left_semi")
+            # One row per reference before the join: a busy parent is named by very many rows.
+            refs = tables[child].select(F.col(column).alias("_ref")).distinct()
+            named = doomed.join(refs, F.col("id") == F.col("_ref"), "left_semi")
             held = named if held is None else held.unionByName(named)
     out = dict(tables)
     if held is not None:

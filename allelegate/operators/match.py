@@ -27,13 +27,16 @@ from allelegate.functions.text import (
     trim_all,
 )
 from allelegate.plans import domains as D
-from allelegate.plans.skew import BROADCAST_ROWS
 
 # Array plan limits: rules of one medication, and distinct (gene, phenotype)
 # pairs over all rules, which bounds what is gathered per patient.
 RULES_PER_MEDICATION = 500
 RULE_PAIRS = 2_000
 
+# Broadcast limit of medications with their rules, and what a row takes beside its texts.
+BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 200
+
 RULE_TEXTS = ["patient_summary", "clinician_summary", "recommended_action", "evidence_source"]
 
 BRANCHES = [
@@ -162,19 +165,25 @@ def match_risk(
 
 
 def choose_plan(meds: DataFrame, rules: DataFrame) -> tuple[str, bool]:
-    """One small job over the rules, one count of the medications."""
+    """The plan, and whether medications with their rules are small enough to broadcast.
+
+    One job over rules and medications brings back three counts and a size.
+    """
     keyed = keyed_rules(rules)
-    per_med = keyed.groupBy("medication_id").agg(F.count(F.lit(1)).alias("n"))
+    texts = F.octet_length(F.concat_ws("", "gene", "phenotype", *RULE_TEXTS))
+    none = F.lit(0).cast("bigint")
+    per_med = keyed.groupBy("medication_id").agg(F.count(F.lit(1)).alias("n"), F.sum(texts + ROW_BYTES).alias("b"))
     pairs = keyed.select("gene_key", "phenotype_key").distinct()
-    seen = (
-        per_med.agg(F.max("n").alias("n"), F.sum("n").alias("total"))
-        .unionByName(pairs.agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("total")))
+    widest, n_pairs, n_meds = (
+        per_med.agg(F.lit(0).alias("i"), F.max("n").alias("n"), F.sum("b").alias("b"))
+        .unionByName(pairs.agg(F.lit(1).alias("i"), F.count(F.lit(1)).alias("n"), none.alias("b")))
+        .unionByName(meds.agg(F.lit(2).alias("i"), F.count(F.lit(1)).alias("n"), none.alias("b")))
+        .orderBy("i")
         .collect()
     )
-    widest, total, n_pairs = seen[0].n or 0, seen[0].total or 0, seen[1].n
-    plan = "array" if widest <= RULES_PER_MEDICATION and n_pairs <= RULE_PAIRS else "rows"
-    small = total <= BROADCAST_ROWS and meds.count() <= BROADCAST_ROWS
-    return plan, small
+    plan = "array" if (widest.n or 0) <= RULES_PER_MEDICATION and n_pairs.n <= RULE_PAIRS else "rows"
+    size = (widest.b or 0) + n_meds.n * ROW_BYTES
+    return plan, size <= BROADCAST_BYTES
 
 
 def _clean(df: DataFrame, name: str) -> Column:

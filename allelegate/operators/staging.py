@@ -139,8 +139,8 @@ def normalize_records(raw: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
-def to_rules(normalized: DataFrame, strict: bool = True) -> DataFrame:
-    """Normalized records to staged rules."""
+def to_rules(normalized: DataFrame, strict: bool = True, restrict_supported: bool = False) -> DataFrame:
+    """Normalized records to staged rules; on request only those of the supported medications."""
     extra = [c for c in normalized.columns if c not in NORMALIZED_COLUMNS]
     rules = normalized.select(
         norm_key("genericName").alias("medication_generic_name"),
@@ -158,6 +158,8 @@ def to_rules(normalized: DataFrame, strict: bool = True) -> DataFrame:
         F.coalesce(blank_to_null(norm_key("reviewStatus")), F.lit(D.PENDING)).alias("review_status"),
         *extra,
     )
+    if restrict_supported:
+        rules = rules.where(F.col("medication_generic_name").isin(sorted({m[1] for m in D.MEDICATION_ALIASES})))
     return checked(rules, "risk_level", "review_status", strict)
 
 

@@ -39,16 +39,23 @@ def throttle_attempts(
     window_seconds: int = WINDOW_SECONDS,
     maximum: int = MAX_ATTEMPTS,
     hot_rows: int = HOT_ROWS,
+    open_windows: DataFrame | None = None,
 ) -> DataFrame:
     """Each attempt with its window start, its number in the window and `throttled`.
 
     `order` breaks ties of equal times.  Ordinary keys stream through sorted
     partitions with one (start, count) of state.  A key above `hot_rows` is
-    never given to one task: see `_window_starts`.
+    never given to one task: see `_window_starts`.  `open_windows` (the key,
+    `start_us`, `count`) holds the last window of keys seen before.
     """
     width = window_seconds * 1_000_000
     timed = attempts.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    split = split_hot(timed, [key], hot_rows)
+    if open_windows is None:
+        seeded = timed.withColumns({"_seed": F.lit(None).cast("bigint"), "_seen": F.lit(0).cast("bigint")})
+    else:
+        seeds = open_windows.select(key, F.col("start_us").alias("_seed"), F.col("count").alias("_seen"))
+        seeded = timed.join(seeds, key, "left").withColumn("_seen", F.coalesce("_seen", F.lit(0)))
+    split = split_hot(seeded, [key], hot_rows)
     numbered = _number_in_order(split.cold, key, order, width)
     if split.hot is not None:
         numbered = numbered.unionByName(_number_hot(split.hot, key, order, width, hot_rows))
@@ -61,6 +68,16 @@ def throttle_attempts(
     )
 
 
+def last_windows(numbered: DataFrame, key: str, open_windows: DataFrame | None = None) -> DataFrame:
+    """The open window of each key after `numbered`, to go on from with the next attempts."""
+    start = F.unix_micros(F.col("window_start").cast("timestamp"))
+    new = numbered.select(key, start.alias("start_us"), F.col("attempt_no").alias("count"))
+    if open_windows is not None:
+        new = new.unionByName(open_windows.select(*new.columns))
+    last = new.groupBy(key).agg(F.max(F.struct("start_us", "count")).alias("w"))
+    return last.select(key, "w.start_us", "w.count")
+
+
 def number_sorted(values: np.ndarray, width: int, start: int | None, count: int):
     """Window starts and numbers of sorted times; `start` and `count` are the open window."""
     starts = np.empty(len(values), dtype="int64")
@@ -89,12 +106,14 @@ def _number_in_order(rows: DataFrame, key: str, order: list[str], width: int) ->
                 continue
             times = batch["_us"].to_numpy(dtype="int64")
             names = batch[key].to_numpy()
+            seeds, seen = batch["_seed"].to_numpy(), batch["_seen"].to_numpy()
             cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
             starts = np.empty(len(batch), dtype="int64")
             numbers = np.empty(len(batch), dtype="int64")
             for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
                 if last is None or names[a] != last:
-                    last, start, count = names[a], None, 0
+                    last, count = names[a], int(seen[a])
+                    start = None if pd.isna(seeds[a]) else int(seeds[a])
                 starts[a:b], numbers[a:b], start, count = number_sorted(times[a:b], width, start, count)
             yield batch.assign(_start=starts, attempt_no=numbers)
 
@@ -105,8 +124,11 @@ def _number_hot(rows: DataFrame, key: str, order: list[str], width: int, hot_row
     starts = _window_starts(rows, key, width).withColumn("_opens", F.col("_us"))
     marked = rows.join(starts, [key, "_us"], "left")
     held = with_prior(marked, [key], ["_us", *order], "_opens", "_held", hot_rows)
-    opened = held.withColumn("_start", F.coalesce("_opens", "_held")).drop("_opens", "_held")
-    return with_position(opened, [key, "_start"], ["_us", *order], "attempt_no", hot_rows)
+    # Before the first start of these rows, the window that was open before them goes on.
+    opened = held.withColumn("_start", F.coalesce("_opens", "_held", "_seed")).drop("_opens", "_held")
+    placed = with_position(opened, [key, "_start"], ["_us", *order], "attempt_no", hot_rows)
+    earlier = F.when(F.col("_start") == F.col("_seed"), F.col("_seen")).otherwise(F.lit(0))
+    return placed.withColumn("attempt_no", F.col("attempt_no") + earlier)
 
 
 def _window_starts(rows: DataFrame, key: str, width: int) -> DataFrame:
@@ -120,7 +142,9 @@ def _window_starts(rows: DataFrame, key: str, width: int) -> DataFrame:
     shared_dir(rows.sparkSession)
     times = rows.select(key, "_us").distinct().checkpoint()
     jump = _next_start(times, key, width).checkpoint()
-    reached = times.groupBy(key).agg(F.min("_us").alias("_us")).checkpoint()
+    # The first start is the first time that a window open before does not cover.
+    free = F.col("_seed").isNull() | (F.col("_us") >= F.col("_seed") + width)
+    reached = rows.where(free).groupBy(key).agg(F.min("_us").alias("_us")).checkpoint()
     known = reached.count()
     while True:
         further = reached.join(jump, [key, "_us"]).select(key, F.col("_next").alias("_us"))

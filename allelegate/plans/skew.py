@@ -1,4 +1,4 @@
-"""Size checks before a broadcast, and ordered work on keys of any size.
+"""Ordered work on keys of any size.
 
 A window over a key puts the whole key into one task.  The helpers here give
 the same answers with no task bound to a key: keys above a measured size are
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from allelegate.plans.session import shared_dir
 
-# A broadcast side may hold this many rows (narrow rows, tens of MB).
-BROADCAST_ROWS = 200_000
 # No key may bring more rows than this to one task.
 HOT_ROWS = 1_000_000
 # At most this many keys can be hot: the limit grows with the data.
@@ -24,11 +22,6 @@ HOT_KEYS = 10_000
 SEGMENTS = 256
 
 
-def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint where its counted rows allow it, else `df` as it is."""
-    return F.broadcast(df) if not df.isStreaming and df.count() <= rows else df
-
-
 @dataclass
 class Split:
     cold: DataFrame

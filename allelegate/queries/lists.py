@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from allelegate.functions import shapes as X
 from allelegate.operators import lists as L
 from allelegate.operators import match as M
 from allelegate.operators import search as S
@@ -253,25 +254,19 @@ def split_new_and_known(spark, sf):
 
 @query(
     "shape_records",
-    """select x.id as pgx_result_id, x.gene, x.phenotype, m.id as medication_id, m.generic_name as "genericName",
+    """select x.id as pgx_result_id, x.gene, x.phenotype, x.source, m.id as medication_id, m.generic_name as "genericName",
         m.brand_name as "brandName", m.drug_class as "drugClass"
-        from fx_pgx x join fx_meds m on m.id = x.patient_id""",
+        from fx_store_pgx x join fx_meds m on m.id = x.patient_id""",
 )
 def shape_records(spark, sf):
-    meds = view(spark, sf, "fx_meds").select(
-        F.struct(
-            "id",
-            F.col("generic_name").alias("genericName"),
-            F.col("brand_name").alias("brandName"),
-            F.col("drug_class").alias("drugClass"),
-        ).alias("medication")
-    )
-    results = view(spark, sf, "fx_pgx").select("patient_id", F.struct("id", "gene", "phenotype").alias("result"))
+    meds = view(spark, sf, "fx_meds").select(X.shape(X.MEDICATION).alias("medication"))
+    results = view(spark, sf, "fx_store_pgx").select("patient_id", X.shape(X.RESULT).alias("result"))
     joined = results.join(meds, F.col("patient_id") == F.col("medication.id"))
     return joined.select(
         F.col("result.id").alias("pgx_result_id"),
         "result.gene",
         "result.phenotype",
+        "result.source",
         F.col("medication.id").alias("medication_id"),
         "medication.genericName",
         "medication.brandName",
@@ -279,6 +274,18 @@ def shape_records(spark, sf):
     )
 
 
+@query(
+    "shape_list_items",
+    """select l.patient_id, l.id, l.medication_id as "medicationId", m.generic_name as "genericName", l.status,
+        coalesce(l.notes, '') as notes, l.created_at as "createdAt"
+        from fx_list l join fx_meds m on m.id = l.medication_id""",
+)
+def shape_list_items(spark, sf):
+    shown = L.medication_list(view(spark, sf, "fx_list"), view(spark, sf, "fx_meds"))
+    items = shown.select("patient_id", X.shape(X.LIST_ITEM).alias("i"))
+    return items.select("patient_id", *[F.col(f"i.{c}") for c in ("id", "medicationId", "genericName", "status", "notes", "createdAt")])
+
+
 @query(
     "search_top10",
     """with q as (select distinct trim(query) as query from fx_queries),

@@ -15,7 +15,7 @@ from allelegate.queries.merge import IN_ORDER, UPSERT_PGX
 from allelegate.sources.tables import current_version, load_table, write_version
 from allelegate.streaming.apply import apply_stream
 from allelegate.streaming.match import match_risk_stream
-from allelegate.streaming.throttle import throttle_stream
+from allelegate.streaming.throttle import throttle_batches, throttle_stream
 
 
 def as_stream(spark, slices: list[DataFrame], name: str) -> DataFrame:
@@ -45,8 +45,7 @@ def match_stream(spark, sf):
     return run_to_table(spark, flat(match_risk_stream(stream, patients, meds, rules, pgx)), "decisions")
 
 
-@query("throttle_stream", THROTTLE)
-def throttle(spark, sf):
+def attempts_by_week(spark, sf) -> DataFrame:
     weeks = [
         read_sql(spark, sf, f"select * from fx_attempts where {test}")
         for test in (
@@ -55,11 +54,26 @@ def throttle(spark, sf):
             "ts >= timestamp '2024-01-17 00:00:00'",
         )
     ]
-    stream = as_stream(spark, weeks, "attempts")
+    return as_stream(spark, weeks, "attempts")
+
+
+@query("throttle_stream", THROTTLE)
+def throttle(spark, sf):
+    stream = attempts_by_week(spark, sf)
     numbered = throttle_stream(stream, "subject", "ts", ["event_id"], window_seconds=10 * 24 * 3600, maximum=3)
     return run_to_table(spark, numbered, "throttled")
 
 
+@query("throttle_batches", THROTTLE)
+def throttle_by_batch(spark, sf):
+    stream = attempts_by_week(spark, sf)
+    root, log = scratch_path(spark, "throttle"), scratch_path(spark, "throttle-log")
+    throttle_batches(
+        stream, "subject", "ts", ["event_id"], root, log, window_seconds=10 * 24 * 3600, maximum=3
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/attempts").drop("batch")
+
+
 @query("apply_stream", UPSERT_PGX)
 def apply_changes(spark, sf):
     """Results entered in two parts by ship date, merged one version after the other."""

@@ -1,4 +1,10 @@
-"""Throttling on a stream of attempts: one (start, count) of state per key."""
+"""Throttling on a stream of attempts: one (start, count) of state per key.
+
+`throttle_stream` keeps the state in Spark's state store; one task sees all
+rows that a key has in a micro-batch, so the source's trigger limit bounds it.
+`throttle_batches` keeps the state as a table and decides each micro-batch by
+the batch operator, which splits a key of any size.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +14,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from allelegate.operators.throttle import MAX_ATTEMPTS, WINDOW_SECONDS, number_sorted
+from allelegate.operators.throttle import (
+    MAX_ATTEMPTS,
+    WINDOW_SECONDS,
+    last_windows,
+    number_sorted,
+    throttle_attempts,
+)
+from allelegate.plans.skew import HOT_ROWS
+from allelegate.sources.tables import version_before
 
 
 def throttle_stream(
@@ -59,3 +74,39 @@ def throttle_stream(
         "attempt_no",
         (F.col("attempt_no") > maximum).alias("throttled"),
     )
+
+
+def throttle_batches(
+    attempts: DataFrame,
+    key: str,
+    ts: str,
+    order: list[str],
+    root: str,
+    checkpoint: str,
+    window_seconds: int = WINDOW_SECONDS,
+    maximum: int = MAX_ATTEMPTS,
+    hot_rows: int = HOT_ROWS,
+    **trigger,
+) -> StreamingQuery:
+    """Numbered attempts under `root`/attempts, one folder per micro-batch, open windows beside them.
+
+    A batch reads the windows of the batch before and writes its own version,
+    so running it again gives the same files.
+    """
+
+    def decide(batch: DataFrame, number: int) -> None:
+        spark, version = batch.sparkSession, f"{number:010d}"
+        before = version_before(spark, root, "windows", version)
+        windows = spark.read.parquet(f"{root}/windows/version={before}") if before else None
+        numbered = throttle_attempts(batch, key, ts, order, window_seconds, maximum, hot_rows, windows)
+        numbered.write.mode("overwrite").parquet(f"{root}/attempts/batch={version}")
+        # Read back, so that the attempts are numbered once.
+        done = spark.read.schema(numbered.schema).parquet(f"{root}/attempts/batch={version}")
+        last_windows(done, key, windows).write.mode("overwrite").parquet(f"{root}/windows/version={version}")
+
+    return (
+        attempts.writeStream.foreachBatch(decide)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

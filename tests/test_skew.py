@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from allelegate.operators.throttle import number_sorted, throttle_attempts
+from allelegate.operators.throttle import last_windows, number_sorted, throttle_attempts
 from allelegate.plans.skew import split_hot, with_position, with_prior
 
 
@@ -88,3 +88,19 @@ def test_sixth_attempt_is_throttled(spark):
     )
     got = {r.id: r.throttled for r in throttle_attempts(attempts, "key", "ts", ["id"]).collect()}
     assert got == {0: False, 1: False, 2: False, 3: False, 4: False, 5: True, 6: False}
+
+
+@pytest.mark.parametrize("hot_rows", [30, 1_000_000])
+def test_open_windows_carry_over(spark, hot_rows):
+    rng = random.Random(9)
+    seconds = sorted(rng.randrange(6000) for _ in range(80))
+    data = [("a", i, t) for i, t in enumerate(seconds)] + [("b", 200, 10), ("b", 201, 950)]
+    df = spark.createDataFrame(data, "key string, id int, s bigint").select("key", "id", F.timestamp_seconds("s").alias("ts"))
+    whole = throttle_attempts(df, "key", "ts", ["id"]).collect()
+    first = throttle_attempts(df.where("ts < timestamp_seconds(3000)"), "key", "ts", ["id"], hot_rows=hot_rows)
+    windows = last_windows(first, "key")
+    rest = throttle_attempts(
+        df.where("ts >= timestamp_seconds(3000)"), "key", "ts", ["id"], hot_rows=hot_rows, open_windows=windows
+    )
+    assert sorted(first.collect() + rest.collect()) == sorted(whole)
+    assert last_windows(rest, "key", windows).count() == 2
