@@ -112,7 +112,9 @@ def audit_coverage(
             )
     med_faults = medication_faults(required_meds, meds)
     keys = ["generic_name", "gene", "phenotype"]
-    rule_faults = missing_members(required_rules, rules_with_medication(rules, meds), keys).select(
+    have = rules_with_medication(rules, meds).distinct().withColumn("_have", F.lit(True))
+    met = required_rules.join(have, keys, "left")
+    rule_faults = met.where("_have is null").select(
         F.lit("failure").alias("kind"),
         F.concat(F.lit("Missing MVP drug-gene rule: "), rule_key_label(*keys)).alias("message"),
     )
@@ -120,9 +122,9 @@ def audit_coverage(
     meds_passed = med_faults.agg(F.count_if("absent").alias("n")).where("n = 0").select(
         F.lit("passed").alias("kind"), F.lit("MVP medications exist with active rows and IDs.").alias("message")
     )
-    n_required = required_rules.agg(F.count(F.lit(1)).alias("n"))
-    n_missing = rule_faults.agg(F.count(F.lit(1)).alias("m"))
-    rules_passed = n_required.join(n_missing, F.col("m") == 0).select(
+    rules_passed = met.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_have").isNull()).alias("m")).where(
+        "m = 0"
+    ).select(
         F.lit("passed").alias("kind"),
         F.concat(
             F.lit("Required MVP drug-gene rules exist ("), F.col("n").cast("string"), F.lit(" phenotype rules).")
