@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -23,9 +24,27 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply SETTINGS to a session that someone else made."""
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_allelegate_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="allelegate-")), "allelegate.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._allelegate_shipped = True
+
+
 def local_session(cores: int | str = 8, partitions: int = 8, app: str = "allelegate") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     return tune(
@@ -42,11 +61,13 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "alleleg
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only where none is named."""
+    """The cluster's checkpoint folder; a fresh local one only for a local master without one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
         if not named:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="allelegate-")
             spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
