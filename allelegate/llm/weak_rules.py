@@ -3,7 +3,7 @@
 Each rule looks at a document's counts and votes good (1), bad (-1) or abstains (0).  No rule decides alone:
 expectation-maximisation over the vote patterns of all documents estimates how often each rule votes what on good
 and on bad documents, and a document is kept if its posterior probability of being good is at least `least`.
-There are at most 3 ** 8 patterns, so the fit sees a table of fixed size, counted on Spark over all rows.
+There are at most 3 ** 9 patterns, so the fit sees a table of fixed size, counted on Spark over all rows.
 
 Base counts are exact.  Words are runs of characters other than U+0020 and U+0009 to U+000D.  No text has no
 words, counts 0 and fails the base rule, as every text below 50 words does.  Every row gives one row; repeated rows
@@ -22,9 +22,11 @@ from allelegate.llm.words import WordHashes, gram_hashes
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
+#: Bytes of letters, digits, white space and the signs of ordinary prose.
+COMMON = bytes(b for b in range(256) if b > 127 or chr(b).isalnum() or chr(b) in SPACES + ".,;:!?'\"()-")
 #: White space, then letters (with every byte of a character past ASCII), then the rest.
 STARTS = bytes(32 if chr(b) in SPACES else 97 if b > 127 or chr(b).isalpha() else 46 for b in range(256))
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_letters", "n_alpha_words", "n_marks"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_letters", "n_alpha_words", "n_marks", "n_others"]
 
 
 def repeated_words(words: np.ndarray) -> int:
@@ -68,6 +70,7 @@ def counts_of(text: str | None, known: WordHashes) -> tuple[int, ...]:
         n_upper + len(raw) - len(raw.translate(None, UPPER.lower())),
         (b" " + raw.translate(STARTS)).count(b" a"),
         text.count("!") + text.count("?"),
+        len(raw.translate(None, COMMON)),
     )
 
 
@@ -97,6 +100,7 @@ def votes() -> dict:
     return {
         "word_length": _vote(per_word("word_chars"), lambda v: v.between(3, 9), lambda v: (v < 2) | (v > 14)),
         "symbols": _vote(per_word("n_symbols"), lambda v: v < 0.05, lambda v: v > 0.3),
+        "characters": _vote(F.col("n_others") / F.greatest("word_chars", F.lit(1)), lambda v: v < 0.03, lambda v: v > 0.1),
         "marks": _vote(per_word("n_marks"), lambda v: v < 0.2, lambda v: v > 0.8),
         "capitals": _vote(F.col("n_upper") / F.greatest("n_letters", F.lit(1)), lambda v: v < 0.2, lambda v: v > 0.5),
         "alphabetic": _vote(per_word("n_alpha_words"), lambda v: v > 0.85, lambda v: v < 0.7),
@@ -140,13 +144,13 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float
     """Base counts, base_failed, kept, posterior and the votes of every row."""
     rules = votes()
     rows = stored(counted(docs, id, text).withColumns(rules), "votes")
-    # at most 3 ** 8 rows
-    table = rows.groupBy(*rules).count().orderBy(*rules).toArrow()
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # at most 3 ** 9 rows; documents that the base rule decides teach the model nothing
+    table = rows.groupBy(*rules).agg(F.count_if(~failed).alias("weight")).orderBy(*rules).toArrow()
     patterns = np.stack([table[r].to_numpy() for r in rules], axis=1).astype(int)
-    model = LabelModel(patterns, table["count"].to_numpy().astype(float))
+    model = LabelModel(patterns, table["weight"].to_numpy().astype(float))
     found = [(*map(int, p), float(g)) for p, g in zip(patterns, model.posterior(patterns), strict=True)]
     known = docs.sparkSession.createDataFrame(found, ", ".join(f"{r} int" for r in rules) + ", posterior double")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.join(F.broadcast(known), list(rules)).select(
         "doc_id",
         *COUNTS[:5],
