@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelegate.llm import forest, packed_ids, quality, weak_rules
+from allelegate.llm import decontaminate, forest, licenses, line_dedup, packed_ids, quality, url_rules, weak_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,11 +28,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_line_dedup", line_dedup.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+#: The url rules of the contract: verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query("op4_url_filters")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_packed_ids")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -48,3 +73,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scans", licenses.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
