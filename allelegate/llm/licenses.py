@@ -146,16 +146,16 @@ def _sql() -> str:
     cut = lambda t: f"string_split(regexp_replace({t}, '([.!?;])[ \\t\\n\\r]+', '\\1' || chr(10), 'g'), chr(10))"
     wrap = "regexp_replace(t, '[ \\t\\r]*\\n[ \\t]*([#*]+|//+)?[ \\t]*', ' ', 'g')"
     part = lambda way, source: (
-        f"select r, {way} as way, unnest({source}) as s, generate_subscripts({source}, 1) as at from d"
+        f"select r, {way} as way, unnest({source}) as s, generate_subscripts({source}, 1) as pos from d"
     )
     return f"""
 with known(i, sentence) as (values {values}),
 d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 s as ({part(0, cut("t"))} union all {part(1, cut(wrap))}),
-f as (select s.r, s.way, s.at, k.i from s join known k
+f as (select s.r, s.way, s.pos, k.i from s join known k
       on k.sentence = trim(regexp_replace(lower(s.s), '[^a-z0-9]+', ' ', 'g'))),
-w as (select r, way, count(*) as n, string_agg(i::varchar, ',' order by at) as ids,
-             string_agg('<' || i || '>', '' order by at) as marks from f group by r, way),
+w as (select r, way, count(*) as n, string_agg(i::varchar, ',' order by pos) as ids,
+             string_agg('<' || i || '>', '' order by pos) as marks from f group by r, way),
 m as (select r, max_by(ids, n * 2 - way) as ids, max_by(marks, n * 2 - way) as marks from w group by r),
 h as ({" union all ".join(cases)}),
 g as (select r, string_agg(distinct name, ',' order by name) as licenses, string_agg(distinct kind, ',' order by kind) as kinds from h group by r)

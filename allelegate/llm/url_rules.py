@@ -3,7 +3,7 @@
 1. A given rule names a host and a path: it fits its host and all subdomains if the url's path starts with the
    rule's path.  The longest fitting rule judges the url.
 2. The judged urls are the labels of the rest.  Spark's FP-growth mines the combinations of url tokens that come
-   with a verdict; rules below MIN_SUPPORT or MIN_CONFIDENCE go.
+   with a verdict; rules below MIN_SUPPORT (a share), MIN_URLS or MIN_CONFIDENCE go.
 3. Other urls take the verdict of the mined rule with the highest confidence (then support, then the longer one)
    among those whose tokens they have all, and `default` without one.  An inverted index from each rule's rarest
    token to the rule finds them; different token sets are matched, not urls, so a hot host costs a row or two.
@@ -18,7 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.9
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_URLS = 0.002, 0.9, 5
 ALLOW, BLOCK = "allow", "block"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,10 +60,11 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 def mined(judged: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(antecedent, verdict, confidence, support, anchor) from rows of (_tokens, _verdict)."""
     empty = "antecedent array<string>, verdict string, confidence double, support double, anchor string"
-    if judged.isEmpty():
+    n = judged.count()
+    if not n:
         return judged.sparkSession.createDataFrame([], empty)
     baskets = judged.select(F.concat("_tokens", F.array(F.concat(F.lit("verdict "), "_verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, MIN_URLS / n)), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.select(
         "antecedent", F.element_at("consequent", 1).alias("verdict"), "confidence", "support"
     ).where(F.col("verdict").startswith("verdict ") & ~F.exists("antecedent", lambda t: t.startswith("verdict ")))
