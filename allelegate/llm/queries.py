@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelegate.llm import decontaminate, forest, html_main, licenses, line_dedup, packed_ids, quality, url_rules, weak_rules
+from allelegate.llm import decontaminate, forest, html_main, licenses, line_dedup, packed_ids, piece_scan, quality, url_rules, weak_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extracted(table(spark, sf_dir, "pages"))
 
 
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_scan.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op3_line_dedup", line_dedup.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
