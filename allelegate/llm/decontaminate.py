@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelegate.llm.tables import computed
+from allelegate.llm.tables import computed, per_worker
 from allelegate.llm.words import WordHashes, gram_hashes
 
 N = 3
@@ -90,7 +90,7 @@ def counts_in(docs: DataFrame, text: str, items: Items) -> tuple[np.ndarray, int
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known = sent.value, WordHashes()
+        block, known = sent.value, per_worker("words", WordHashes)
         counts, documents = np.zeros(len(block.grams), np.int64), 0
         for batch in batches:
             documents += batch.num_rows
@@ -128,6 +128,7 @@ def best_scores(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarra
             text[row, : len(windows[i])] = windows[i]
             item[row, : len(items[i])] = items[i]
         ramp = (-GAP * np.arange(wide + 1)).astype(np.int32)
+        lengths = np.array([len(items[i]) for i in part])
         last, best = np.zeros((len(part), wide + 1), np.int32), np.zeros(len(part), np.int32)
         for k in range(long):
             now = np.zeros_like(last)
@@ -135,7 +136,7 @@ def best_scores(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarra
             np.maximum(now, 0, out=now)
             # a run of left-out words: the best cell to the left, less GAP for each step
             last = np.maximum.accumulate(now + ramp, axis=1) - ramp
-            best = np.maximum(best, last.max(axis=1))
+            best = np.where(k < lengths, np.maximum(best, last.max(axis=1)), best)
         out[part] = best
         start = stop
     return out
@@ -164,7 +165,7 @@ def span(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
 
 
 def _leaks(block: Items, least: float):
-    known = WordHashes()
+    known = per_worker("words", WordHashes)
 
     def step(values: list) -> list[list[dict]]:
         pairs: list[tuple[int, int, int, int]] = []

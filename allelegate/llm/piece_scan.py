@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelegate.llm.tables import computed, stored, widths
+from allelegate.llm.tables import computed, per_worker, stored, widths
 
 SPACE = "▁"
 START, OTHER = -2, -1
@@ -52,6 +52,12 @@ class Pieces:
         self.ids = {self.names[i]: i for i in range(len(self.names)) if plain[i]}
         self.rank = {name: (-model.get_score(i), i) for name, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        self.tree: dict = {}
+        for name, i in self.ids.items():
+            node = self.tree
+            for sign in name:
+                node = node.setdefault(sign, {})
+            node[0] = i
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(self.names) if model.is_byte(i)}
         if len(self.bytes) != 256 or any(SPACE in n.lstrip(SPACE) for n in self.ids):
             raise ValueError("needs a model with byte pieces and no piece across words")
@@ -61,42 +67,69 @@ class Pieces:
         # a character without a piece stands alone, so text splits there as well
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if "\n" in self.ids else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.pairs: dict[int, bool] = {}
+        self.made: dict[int, tuple[list, list, list]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The model's encoding of a short text, merge by merge."""
-        parts = list(text)
-        while True:
-            best = min(((self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank), default=None)
-            if best is None:
-                return parts
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    def history(self, piece: int) -> tuple[list, list, list]:
+        """How the model makes a piece of its characters: the rank of each join, and what stands first and last before each and at the end."""
+        found = self.made.get(piece)
+        if found is None:
+            parts, ranks = list(self.names[piece]), []
+            first, last = [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                rank, i = min((self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                ranks.append(rank)
+                first.append(parts[0])
+                last.append(parts[-1])
+            found = self.made[piece] = (ranks, first, last)
+        return found
 
     def compatible(self, a: int, b: int) -> bool:
+        """Whether the model keeps a and b apart when b follows a.
+
+        Both grow from characters, the join of best rank first and the left one of equals, until a join across
+        the border would come next, or both are done.
+        """
         if a < 0 or b < 0:
             return True
         key = a * len(self.names) + b
         found = self.pairs.get(key)
         if found is None:
-            left, right = self.names[a], self.names[b]
             if len(self.pairs) > 4 * CACHE:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == [left, right]
+            found = self.pairs[key] = self._apart(self.history(a), self.history(b))
         return found
 
+    def _apart(self, a: tuple[list, list, list], b: tuple[list, list, list]) -> bool:
+        i = j = 0
+        while True:
+            across = self.rank.get(a[2][i] + b[1][j])
+            left = a[0][i] if i < len(a[0]) else None
+            right = b[0][j] if j < len(b[0]) else None
+            if across is not None and (left is None or across < left) and (right is None or across <= right):
+                return False
+            if left is not None and (right is None or left <= right):
+                i += 1
+            elif right is not None:
+                j += 1
+            else:
+                return True
+
     def size(self, piece: int) -> int:
         return 1 if piece == OTHER else len(self.names[piece])
 
     def arcs(self, text: str, start: int) -> Iterator[tuple[int, int]]:
         """(end, piece) of every piece that starts there."""
-        ids = self.ids
-        if text[start] not in ids:
+        node = self.tree
+        if 0 not in node.get(text[start], ()):
             yield start + 1, OTHER
-        for end in range(start + 1, min(start + self.longest, len(text)) + 1):
-            piece = ids.get(text[start:end])
-            if piece is not None:
-                yield end, piece
+        for end in range(start, len(text)):
+            node = node.get(text[end])
+            if node is None:
+                return
+            if 0 in node:
+                yield end + 1, node[0]
 
     def lattice(self, text: str, start: int, stop: int, entering: list[dict[int, int]]) -> list[dict[int, int]]:
         """Per place, the pieces that end there on a path of weight 0, with the mask of states it may have entered by.
@@ -131,14 +164,42 @@ class Pieces:
         return out[::-1]
 
     def unit(self, text: str) -> tuple[int, ...]:
-        """Ids of one word."""
+        """Ids of one word: its lattice with one way in, and the path of weight 0 through it."""
         found = self.known.get(text)
-        if found is None:
-            at = self.lattice(text, 0, len(text), [{START: 1}])
-            pieces = self.trace(at, 0, 0, len(text), next(iter(at[len(text)])))
-            found = tuple(self.spelled(text, 0, pieces))
-            if len(self.known) < CACHE:
-                self.known[text] = found
+        if found is not None:
+            return found
+        pairs, wide, tree = self.pairs, len(self.names), self.tree
+        # per place, each piece that ends there on a path of weight 0, with the piece before it
+        at: list[dict[int, int]] = [{} for _ in range(len(text) + 1)]
+        at[0][START] = START
+        for place, here in enumerate(at[:-1]):
+            if not here:
+                continue
+            node = tree
+            if 0 not in node.get(text[place], ()):
+                at[place + 1][OTHER] = next(iter(here))
+            for end in range(place, len(text)):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                piece = node.get(0)
+                if piece is None:
+                    continue
+                for before in here:
+                    fits = True if before < 0 else pairs.get(before * wide + piece)
+                    if fits is None:
+                        fits = self.compatible(before, piece)
+                    if fits:
+                        at[end + 1][piece] = before
+                        break
+        end, piece = len(text), next(iter(at[-1]))
+        path = []
+        while end:
+            path.append(piece)
+            end, piece = end - self.size(piece), at[end][piece]
+        found = tuple(self.spelled(text, 0, path[::-1]))
+        if len(self.known) < CACHE:
+            self.known[text] = found
         return found
 
     def spelled(self, text: str, start: int, pieces: list[int]) -> Iterator[int]:
@@ -235,7 +296,7 @@ def _chunks(longest: int, chunk: int):
 
 def _matrices(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = per_worker(path, lambda: Pieces(path))
         for batch in batches:
             masks = [[str(m) for m in Chunk(pieces, *parts).matrix()] for parts in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.list_(pa.string()))], names=["key", "no", "masks"])
@@ -251,7 +312,7 @@ def _scan(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _traced(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = per_worker(path, lambda: Pieces(path))
         for batch in batches:
             r = batch.to_pydict()
             ids = [
@@ -285,7 +346,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", chunk: int = CHUNK,
     long = F.coalesce(F.length("_text") >= chunk, F.lit(False))
 
     def short():
-        pieces = Pieces(path)
+        pieces = per_worker(path, lambda: Pieces(path))
 
         def step(values: list) -> dict:
             ids = [np.array(pieces.encode(t), np.int32) for t in values]
@@ -303,7 +364,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", chunk: int = CHUNK,
     found = stored(long_texts(texts, path, chunk).join(texts, "key"), "long_ids")
 
     def back():
-        pieces = Pieces(path)
+        pieces = per_worker(path, lambda: Pieces(path))
         return lambda values: {"round_trip": [pieces.decode(v["ids"]) == v["text"].replace(SPACE, " ") for v in values]}
 
     checked = computed(found.withColumn("_both", F.struct("ids", "text")).drop("text"), "_both", "round_trip boolean", back)
@@ -315,7 +376,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns but `ids`, with the text of these; null ids give no text."""
 
     def make():
-        pieces = Pieces(path)
+        pieces = per_worker(path, lambda: Pieces(path))
         return lambda values: {"text": [None if v is None else pieces.decode(v) for v in values]}
 
     return computed(rows.drop("text"), ids, "text string", make)

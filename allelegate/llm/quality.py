@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelegate.llm.tables import computed
+from allelegate.llm.tables import computed, per_worker
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 #: Tokens handled at once, in long texts too.
@@ -87,7 +87,7 @@ def _add_context(total: np.ndarray, tokens: np.ndarray, places: np.ndarray) -> N
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    buckets, (places, _) = Buckets(), index_vectors()
+    buckets, (places, _) = per_worker("buckets", Buckets), index_vectors()
     total, waiting, n = np.zeros(BUCKETS * DIM, np.int64), [], 0
     end = np.full(WINDOW, BUCKETS)
     for batch in batches:
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
     texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(marks), "_id").groupBy("_id", "_mark").agg(F.min("_text").alias("_text"))
 
     def make():
-        buckets = Buckets()
+        buckets = per_worker("buckets", Buckets)
         return lambda values: {"_vector": [pooled(buckets, vectors, t) for t in values]}
 
     rows = computed(texts.select("_id", "_mark", "_text"), "_text", "_vector array<double>", make).toArrow().sort_by("_id")
@@ -217,7 +217,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "
     sent = docs.sparkSession.sparkContext.broadcast((vectors, network))  # BUCKETS x 2 DIM numbers and the weights
 
     def make():
-        buckets, (table, model) = Buckets(), sent.value
+        buckets, (table, model) = per_worker("buckets", Buckets), sent.value
 
         def step(values: list) -> dict:
             x = np.array([pooled(buckets, table, t) for t in values]).reshape(len(values), table.shape[1])

@@ -49,3 +49,14 @@ def pa_types(schema: StructType) -> dict[str, pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return {f.name: to_arrow_type(f.dataType) for f in schema}
+
+
+_KEPT: dict = {}
+
+
+def per_worker(key: object, make: Callable):
+    """What `make` gives, kept for the next tasks of this Python worker; one such object at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

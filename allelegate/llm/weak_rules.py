@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelegate.llm.tables import computed, stored
+from allelegate.llm.tables import computed, per_worker, stored
 from allelegate.llm.words import WordHashes, gram_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -78,7 +78,7 @@ def counted(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     """doc_id and COUNTS of every row."""
 
     def make():
-        known = WordHashes()
+        known = per_worker("words", WordHashes)
 
         def step(values: list) -> dict:
             rows = [counts_of(t, known) for t in values]
