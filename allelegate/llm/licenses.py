@@ -5,7 +5,7 @@ gives the document's sequence of sentence ids.  A licence rule is an ordered lis
 in this order, with others allowed between them.  A rule that another fitting rule contains as a part of its
 list says less, and is left out.
 
-Sentences end at line ends and after . ! ? or ;.  A second cut reads lines as one paragraph, for texts that
+Sentences end at line ends and after . ! ? or ;.  A second cut reads the lines between two blank ones as one paragraph, for texts that
 are wrapped inside sentences.  Only sentences with one of CUES are looked up; every known sentence has one.
 
 Nulls and odd rows: no text, and a text without a known sentence, has an empty sequence and no licence.
@@ -87,6 +87,7 @@ RULES = [
 CUES = "licen|copyright|reserved|warrant|permission|permitted|redistribut|public domain|at your option"
 
 ENDS = r"([.!?;])[ \t\n\r]+"
+GAP = r"\n[ \t\r]*\n"
 WRAP = r"[ \t\r]*\n[ \t]*([#*]+|//+)?[ \t]*"
 
 
@@ -104,7 +105,7 @@ def sentence_ids(text: Column) -> Column:
     """The longer of the two cuts' sequences, the line-wise one if they are equal."""
     table = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
     cut = lambda t: F.split(F.regexp_replace(t, ENDS, "$1\n"), "\n")
-    by_line, joined = _known(cut(text), table), _known(cut(F.regexp_replace(text, WRAP, " ")), table)
+    by_line, joined = _known(cut(text), table), _known(cut(F.regexp_replace(F.regexp_replace(text, GAP, ". "), WRAP, " ")), table)
     longer = F.when(F.size(joined) > F.size(by_line), joined).otherwise(by_line)
     return F.when(F.lower(text).rlike(CUES), longer).otherwise(F.array().cast("array<int>"))
 
@@ -144,7 +145,7 @@ def _sql() -> str:
         over = "".join(f" and not {like(larger)}" for _, _, larger in RULES if _inside(ids, larger))
         cases.append(f"select r, '{name}' as name, '{kind}' as kind from m where {like(ids)}{over}")
     cut = lambda t: f"string_split(regexp_replace({t}, '([.!?;])[ \\t\\n\\r]+', '\\1' || chr(10), 'g'), chr(10))"
-    wrap = "regexp_replace(t, '[ \\t\\r]*\\n[ \\t]*([#*]+|//+)?[ \\t]*', ' ', 'g')"
+    wrap = "regexp_replace(regexp_replace(t, '\\n[ \\t\\r]*\\n', '. ', 'g'), '[ \\t\\r]*\\n[ \\t]*([#*]+|//+)?[ \\t]*', ' ', 'g')"
     part = lambda way, source: (
         f"select r, {way} as way, unnest({source}) as s, generate_subscripts({source}, 1) as pos from d"
     )

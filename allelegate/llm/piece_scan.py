@@ -368,7 +368,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", chunk: int = CHUNK,
         return lambda values: {"round_trip": [pieces.decode(v["ids"]) == v["text"].replace(SPACE, " ") for v in values]}
 
     checked = computed(found.withColumn("_both", F.struct("ids", "text")).drop("text"), "_both", "round_trip boolean", back)
-    ids = large.drop("_text").join(checked, large["_key"] == checked["key"])
+    ids = large.drop("_text").join(checked.withColumnRenamed("key", "_found"), F.col("_key") == F.col("_found"))
     return out.union(ids.select(*keep, "ids", F.size("ids").cast("long").alias("n_tokens"), "n_chunks", "round_trip"))
 
 
