@@ -21,6 +21,7 @@ Rows with the same id stay separate rows, in the order of their texts.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelegate.llm.tables import widths
+from allelegate.llm.tables import per_worker, widths
 from allelegate.plans.session import scratch_path
 
 BLOCK = 1 << 16
 #: Places in a worker's memory of encoded words.
-CACHE = 300_000
+CACHE = 700_000
 FORMAT = "shard int, block int, bits int, first long, doc_ids array<long>, starts array<long>, payload binary"
 
 
@@ -64,34 +65,51 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return np.packbits(flags, axis=1, bitorder="little").view("<u4").ravel()
 
 
+#: A word of letters that normalisation only lower-cases, and signs that stand apart from it.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?%&*#$|()]*)")
+
+
 class Encoder:
     """Ids of whole texts by the `tokenizers` library.
 
     The vocabulary's pattern never joins text across a space or line feed and drops both, so the ids of a
-    text are those of its parts between them one after the other; repeated parts are encoded once.
+    text are those of its parts between them one after the other; repeated parts are encoded once.  Likewise
+    it sets letters apart from the signs after them, and folds case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {"": b""}
+
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of new parts, as bytes of unsigned 32-bit numbers; remembered while there is room."""
+        known = self.known
+        plain = {}
+        for part in parts:
+            found = PLAIN.fullmatch(part)
+            plain[part] = (found[1].lower(), found[2]) if found else (part,)
+        new = list({piece for pieces in plain.values() for piece in pieces if piece not in known})
+        fresh = {"": b""}
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            fresh[piece] = np.array(found.ids, "<u4").tobytes()
+        out = {part: b"".join([fresh[x] if x in fresh else known[x] for x in pieces]) for part, pieces in plain.items()}
+        if len(known) < CACHE:
+            known.update(fresh)
+            known.update(out)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        if len(known) > CACHE:
-            self.known = known = {}
-        new = list({w for words in parts for w in words if w not in known})
-        for w, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = found.ids
-        out = []
-        for words in parts:
-            ids: list[int] = []
-            for found in map(known.__getitem__, words):
-                ids += found
-            out.append(np.array(ids, np.uint32))
-        return out
+        new = {w for words in parts for w in words if w not in known}
+        learned = self.learn(new) if new else {}
+        if new and len(known) >= CACHE:
+            find = lambda w: known[w] if w in known else learned[w]
+        else:
+            find = known.__getitem__
+        return [np.frombuffer(b"".join(map(find, words)), "<u4") for words in parts]
 
 
 def _blocks(path: str, end: int, bits: int):
@@ -99,7 +117,7 @@ def _blocks(path: str, end: int, bits: int):
         from pyspark import TaskContext
 
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        encoder = Encoder(path)
+        encoder = per_worker(path, lambda: Encoder(path))
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         starts = [0]
