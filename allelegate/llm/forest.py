@@ -14,10 +14,12 @@ group is whatever links connect.
 3. Inside a region, classes whose remaining values agree well enough become candidates.
    A small region gives all of these pairs.  A large one first gives, for each class, its
    best neighbour and the smallest neighbour; once those are confirmed, classes that are
-   already connected need no further pair, and all pairs between unconnected ones follow.
+   already connected need no further pair, and all pairs between unconnected ones follow whose finer
+   sketches (one byte for the first shingle of each of BINS ranges of hashes) come near the wanted similarity.
    Past WIDE classes a region is taken at a greater depth, one more common value at a
    time, and its parts stay tied by their neighbours in the order.
-4. A candidate counts only after the whole texts of both were compared.
+4. A candidate counts only after the whole texts of both were compared; the finer sketches sort out most that
+   would not.
 
 A pair at 80 % similarity agrees in three values of a tree with probability 0.51, so all
 of 20 trees miss it once in 1.6 million pairs; at 85 % once in 180 million.
@@ -34,11 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelegate.llm.components import components
-from allelegate.llm.tables import computed, stored, widths
+from allelegate.llm.tables import computed, per_worker, stored, widths
 from allelegate.llm.words import WordHashes, lower_words, scramble, shingle_set
 
 TREES, DEPTH = 20, 3
@@ -50,7 +52,9 @@ SMALL = 8
 #: Rows of a region that are compared with each other at one depth.
 WIDE = 2048
 #: How far the share of equal carried values may fall below the wanted similarity.
-SLACK = 0.22
+SLACK = 0.16
+#: Values of the finer sketch, and how many deviations its agreement may fall below the wanted similarity.
+BINS, DEVIATIONS = 512, 4
 SEEDS = scramble(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -62,9 +66,17 @@ def signature(shingles: np.ndarray) -> bytes:
     return (scramble(low) & np.uint64(0xFFFF)).astype(">u2").tobytes()
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each of BINS ranges of hashes a byte of the first shingle there; 0 without one."""
+    starts = np.searchsorted(shingles, np.arange(BINS, dtype=np.uint64) * np.uint64(2**64 // BINS))
+    ends = np.append(starts[1:], len(shingles))
+    low = shingles[np.minimum(starts, len(shingles) - 1)] % np.uint64(255) + np.uint64(1)
+    return np.where(starts < ends, low, 0).astype(np.uint8).tobytes()
+
+
 def _signatures(words: int):
     def make():
-        known = WordHashes()
+        known = per_worker("words", WordHashes)
 
         def step(texts: list) -> dict:
             sets = [shingle_set(known.of(lower_words(text)), words) for text in texts]
@@ -72,6 +84,7 @@ def _signatures(words: int):
                 "_size": [len(x) for x in sets],
                 "_set": [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets],
                 "_sign": [signature(x) if len(x) else None for x in sets],
+                "_fine": [sketch(x) if len(x) else None for x in sets],
             }
 
         return step
@@ -79,6 +92,16 @@ def _signatures(words: int):
     return make
 
 
+def may_be_linked(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of sketches that a link does not contradict."""
+    equal = ((a == b) & (a > 0)).sum(axis=1)
+    used = ((a > 0) | (b > 0)).sum(axis=1)
+    # `used` of the united shingles were drawn, without putting any back
+    united = (size_a + size_b) / (1 + percent / 100)
+    spread = np.sqrt(percent / 100 * (1 - percent / 100) / used * np.maximum(1 - used / united, 0))
+    return equal >= (percent / 100 - DEVIATIONS * spread - 0.01) * used
+
+
 class Region:
     """Classes that agree in their first values, in the order of one tree."""
 
@@ -117,15 +140,20 @@ class Region:
         return in_order(self.ids[i], self.ids[j])
 
     def unconnected(self, percent: int) -> np.ndarray:
-        """All like pairs with different roots."""
+        """All pairs with different roots that are like in both sketches."""
         parts = []
+        fine = self.columns["fine"]
         for start in range(0, len(self), 256):
             stop = min(start + 256, len(self))
             like = self.likeness(start, stop, percent) >= least_equal(percent)
             like &= self.roots[start:stop, None] != self.roots[None, :]
-            i, j = np.nonzero(like)
-            parts.append(in_order(self.ids[i + start], self.ids[j]))
-        return np.unique(np.concatenate(parts), axis=0)
+            i, j = np.nonzero(np.triu(like, start + 1))
+            i += start
+            for at in range(0, len(i), 20_000):
+                a, b = i[at : at + 20_000], j[at : at + 20_000]
+                near = may_be_linked(fine[a], fine[b], self.sizes[a], self.sizes[b], percent)
+                parts.append(in_order(self.ids[a[near]], self.ids[b[near]]))
+        return np.unique(np.concatenate([np.empty((0, 2), np.int64), *parts]), axis=0)
 
     def narrow(self, depth: int = DEPTH) -> Iterator[Region]:
         """This region, or where it is wide its parts of a greater depth, without those of one root."""
@@ -150,9 +178,14 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names) if n != "key"}
-    keys = batch.column(batch.schema.get_field_index("key")).to_pylist()
-    out["key"] = np.frombuffer(b"".join(keys), ">u2").astype(np.uint16).reshape(len(keys), CARRIED)
+    out = {}
+    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+        if pa.types.is_binary(column.type):
+            kind = ">u2" if name == "key" else np.uint8
+            out[name] = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+        else:
+            out[name] = column.to_numpy(zero_copy_only=False)
+    out["key"] = out["key"].astype(np.uint16)
     return out
 
 
@@ -224,9 +257,21 @@ def _second_round(percent: int):
     return run
 
 
+def _compare(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, BINS) for k in (2, 3))
+            near = may_be_linked(left, right, batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+
+    return run
+
+
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = per_worker("words", WordHashes)
         last, own = None, shingle_set(np.empty(0, np.uint64), words)
         for batch in batches:
             kept = []
@@ -245,6 +290,17 @@ def _in_order(rows: DataFrame, tasks: int) -> DataFrame:
     return rows.repartitionByRange(tasks, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
 
+def _sketched(signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose finer sketches allow a link."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    own = signs.where("_size > 0").join(ends, "_id", "left_semi").select("_id", "_size", "_fine").distinct()
+    both = pairs.join(own.select(F.col("_id").alias("a"), F.col("_fine").alias("left"), F.col("_size").alias("n_left")), "a").join(
+        own.select(F.col("_id").alias("b"), F.col("_fine").alias("right"), F.col("_size").alias("n_right")), "b"
+    )
+    rows = both.select("a", "b", "left", "right", "n_left", "n_right")
+    return stored(rows.mapInArrow(_compare(percent), "a long, b long").distinct(), "sketched")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose whole texts are similar enough."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
@@ -264,7 +320,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     """
     tasks = widths(docs)
     docs = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    signs = stored(computed(docs, "_text", "_size long, _set binary, _sign binary", _signatures(words)), "signatures")
+    signs = stored(computed(docs, "_text", "_size long, _set binary, _sign binary, _fine binary", _signatures(words)), "signatures")
     classes = stored(
         signs.where("_size > 0 and _id is not null")
         .groupBy("_set")
@@ -285,11 +341,19 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     # one id with several texts ties their classes
     tied = classes.join(signs.where("_size > 0").select("_set", F.col("_id").alias("b")).distinct(), "_set").where("rep <> b")
     tied = tied.join(classes.select(F.col("rep").alias("b")), "b", "left_semi").select(F.col("rep").alias("a"), "b")
-    links = stored(_links(docs, pairs, words, percent).union(tied), "links")
+    links = stored(_links(docs, _sketched(signs, pairs, percent), words, percent).union(tied), "links")
     roots = stored(components(links), "roots")
 
-    members = first.where("rep is not null").select("tree", "key", "rep", "size").distinct()
-    rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("tree", "key", "rep", "size", F.coalesce("root", "rep").alias("root"))
+    # regions that hold more than one group, with the finer sketch of their classes
+    known = classes.join(roots, classes["rep"] == roots["node"], "left").select("rep", F.coalesce("root", "rep").alias("root"), "_set")
+    members = first.where("rep is not null").select("tree", "key", "rep", "size").distinct().join(known, "rep")
+    region = ["tree", F.substring("key", 1, 2 * DEPTH).alias("region")]
+    mixed = members.select(*region, "root").groupBy("tree", "region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    mixed = mixed.select(F.col("tree").alias("_tree"), "region")
+    open_members = stored(members.join(mixed, (F.col("tree") == F.col("_tree")) & (F.substring("key", 1, 2 * DEPTH) == F.col("region")), "left_semi"), "open")
+    needed = open_members.select("_set").distinct()
+    fine = signs.select("_set", F.col("_fine").alias("fine")).join(needed, "_set", "left_semi").groupBy("_set").agg(F.first("fine").alias("fine"))
+    rooted = open_members.join(fine, "_set").select("tree", "key", "rep", "size", "root", "fine")
     more = _in_order(rooted, tasks).mapInArrow(_second_round(percent), "a long, b long").distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
     if not more.isEmpty():
@@ -304,3 +368,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
         F.coalesce("root", "_id").alias("component_id"),
         F.col("_id").eqNullSafe(F.coalesce("root", "_id")).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, one for each group: that of its smallest id.
+
+    Of several rows with that id the one with the smallest text stays.  Rows without an id cannot stand for a
+    group and stay as they are.
+    """
+    kept = near_duplicates(docs.where(F.col(id).isNotNull()), id, text, words, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    first = Window.partitionBy("_id").orderBy("_text")
+    ids = rows.where("_id is not null").join(kept, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return ids.select("_row.*").union(rows.where("_id is null").select("_row.*"))
