@@ -5,8 +5,8 @@ Per host, a line is boilerplate if more than `percent` of the host's different p
 Every copy of a boilerplate line goes from every page of that host; other lines stay as they are, in order.
 
 A host has at most (lines per page * 100 / percent) boilerplate lines, so its list is short whatever its number of
-pages; lists are joined to pages on the host, where adaptive execution splits a hot host's pages.  Lines travel as
-128-bit hashes and are counted before they are shuffled.
+pages.  Lists are joined to pages on the host and one of SALTS numbers, so a hot host's pages go to many tasks.
+Lines travel as 128-bit hashes and are counted before they are shuffled.
 
 Nulls and odd rows: no text stays null, with 0 lines; lines without a word stay; a null host is the host ''.
 A page of nothing but boilerplate keeps its row, with an empty text.
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PERCENT, MIN_PAGES = 8, 4
+#: Parts of a host; each has a copy of the host's list.
+SALTS = 64
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -51,7 +53,9 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", perce
 def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
     """All columns of `docs`, `text` without boilerplate lines, then n_lines and n_dropped (of the text as it was)."""
     dropped = boilerplate(docs, host, text, percent, min_pages)
-    rows = docs.withColumn("_host", F.coalesce(F.col(host), F.lit(""))).join(dropped, "_host", "left")
+    dropped = dropped.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("_host", "_of")
+    rows = docs.withColumns({"_site": F.coalesce(F.col(host), F.lit("")), "_part": F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")})
+    rows = rows.join(dropped, (F.col("_site") == F.col("_of")) & (F.col("_part") == F.col("_salt")), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.when(F.col("_lines").isNull(), lines).otherwise(F.filter(lines, lambda line: ~F.array_contains("_lines", _key(line))))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
