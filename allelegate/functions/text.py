@@ -170,5 +170,13 @@ def expires_at(start: Column | str, hours: int = 12) -> Column:
 
 
 def stable_id(*parts: Column | str) -> Column:
-    """Id from the business key: the same on every retry."""
-    return F.md5(F.concat_ws("|", *[_col(p).cast("string") for p in parts]))
+    """Id from the business key: the same on every retry, and different for different keys.
+
+    A | or \\ inside a part is escaped and a null part is marked, so parts cannot run into each other.
+    """
+
+    def part(p: Column | str) -> Column:
+        text = _col(p).cast("string")
+        return F.coalesce(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+
+    return F.md5(F.concat_ws("|", *[part(p) for p in parts]))

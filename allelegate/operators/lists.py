@@ -18,7 +18,7 @@ from allelegate.functions.text import (
 )
 from allelegate.operators.match import active_medications
 from allelegate.plans import domains as D
-from allelegate.plans.skew import HOT_ROWS, with_position, with_prior
+from allelegate.plans.skew import with_position, with_prior
 
 IdTest = Callable[[str], Column]
 
@@ -150,7 +150,7 @@ def apply_list_removes(items: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def change_outcomes(
     changes: DataFrame, items: DataFrame, meds: DataFrame, order: list[str],
-    id_test: IdTest = is_uuid, hot_rows: int = HOT_ROWS,
+    id_test: IdTest = is_uuid,
 ) -> DataFrame:
     """Outcome of every change in an ordered mix of adds, updates and removes.
 
@@ -179,7 +179,7 @@ def change_outcomes(
         .withColumn("notes", blank_to_null("notes"))
         .withColumn("_sets", F.when(F.col("_bad").isNull() & (F.col("op") != "update"), F.col("op") == "add"))
     )
-    rows = with_prior(rows, ["patient_id", "medication_id"], order, "_sets", "_prior", hot_rows)
+    rows = with_prior(rows, ["patient_id", "medication_id"], order, "_sets", "_prior")
     there = F.coalesce("_prior", "_start", F.lit(False))
     return rows.withColumn(
         "code",
@@ -281,9 +281,9 @@ def medication_list(items: DataFrame, meds: DataFrame) -> DataFrame:
     )
 
 
-def list_by_created(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def list_by_created(items: DataFrame) -> DataFrame:
     """Position of each item in its patient's list, oldest first."""
-    return with_position(items, ["patient_id"], ["created_at", "id"], hot_rows=hot_rows)
+    return with_position(items, ["patient_id"], ["created_at", "id"])
 
 
 def owned_by(items: DataFrame, requests: DataFrame) -> DataFrame:

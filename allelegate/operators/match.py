@@ -1,16 +1,13 @@
 """Risk matching: every (patient, medication) request against the approved rules.
 
-Two plans give the same result.
-
-`array`: rules are gathered per medication and results per patient, and each
-request is decided by expressions on its own row.  A hot medication or patient
-only repeats a joined row; nothing is exploded.
-
-`rows`: one row per (request pair, rule) and (request pair, gene), gathered per
-pair at the end.  It needs no bound on the rules of a medication.
-
-`match_risk` measures the rules and picks the first plan where its arrays are
-small, else the second.
+Rules are gathered per medication and results per patient, and each request is decided by expressions on its own
+row; nothing is exploded, and a hot medication or patient only repeats a joined row.  The arrays depend on the
+curated rules, not on the number of requests, patients or results: one medication's rules, which its matches list
+anyway, and per patient at most the gene and phenotype pairs that rules use.  This plan is taken at every size, on
+tables and on streams.
+
+`plan="rows"` gives the same rows from one row per (request pair, rule) and (request pair, gene), for a caller whose
+medications have very many rules.
 """
 
 from __future__ import annotations
@@ -28,15 +25,6 @@ from allelegate.functions.text import (
 )
 from allelegate.plans import domains as D
 
-# Array plan limits: rules of one medication, and distinct (gene, phenotype)
-# pairs over all rules, which bounds what is gathered per patient.
-RULES_PER_MEDICATION = 500
-RULE_PAIRS = 2_000
-
-# Broadcast limit of medications with their rules, and what a row takes beside its texts.
-BROADCAST_BYTES = 64 * 1024 * 1024
-ROW_BYTES = 200
-
 RULE_TEXTS = ["patient_summary", "clinician_summary", "recommended_action", "evidence_source"]
 
 BRANCHES = [
@@ -142,50 +130,28 @@ def match_risk(
     meds: DataFrame,
     rules: DataFrame,
     pgx: DataFrame,
-    plan: str = "auto",
-    broadcast_meds: bool = False,
+    plan: str = "array",
 ) -> DataFrame:
     """Decide every request; the columns of `requests` are kept.
 
+    `decided_patient` and `decided_medication` are the trimmed ids that the decision is about.
+
     `branch` names the decision (see BRANCHES); `matches` holds the matched
     rules by falling risk, then rule id, and its first element is the primary
-    one that the flat columns repeat.  With `auto` the plan and the broadcast
-    are chosen from measured sizes; a caller who names a plan answers for both.
+    one that the flat columns repeat.
     """
-    if plan == "auto":
-        plan, broadcast_meds = choose_plan(meds, rules)
+    if plan not in ("array", "rows"):
+        raise ValueError(f"unknown plan: {plan}")
     requests = requests.withColumns(
         {"_patient": _clean(requests, "patient_id"), "_medication": _clean(requests, "medication_id")}
     )
     if plan == "array":
-        facts = _facts_by_arrays(requests, patients, meds, rules, pgx, broadcast_meds)
+        facts = _facts_by_arrays(requests, patients, meds, rules, pgx)
     else:
         facts = _facts_by_rows(requests, patients, meds, rules, pgx)
     return _decide(facts)
 
 
-def choose_plan(meds: DataFrame, rules: DataFrame) -> tuple[str, bool]:
-    """The plan, and whether medications with their rules are small enough to broadcast.
-
-    One job over rules and medications brings back three counts and a size.
-    """
-    keyed = keyed_rules(rules)
-    texts = F.octet_length(F.concat_ws("", "gene", "phenotype", *RULE_TEXTS))
-    none = F.lit(0).cast("bigint")
-    per_med = keyed.groupBy("medication_id").agg(F.count(F.lit(1)).alias("n"), F.sum(texts + ROW_BYTES).alias("b"))
-    pairs = keyed.select("gene_key", "phenotype_key").distinct()
-    widest, n_pairs, n_meds = (
-        per_med.agg(F.lit(0).alias("i"), F.max("n").alias("n"), F.sum("b").alias("b"))
-        .unionByName(pairs.agg(F.lit(1).alias("i"), F.count(F.lit(1)).alias("n"), none.alias("b")))
-        .unionByName(meds.agg(F.lit(2).alias("i"), F.count(F.lit(1)).alias("n"), none.alias("b")))
-        .orderBy("i")
-        .collect()
-    )
-    plan = "array" if (widest.n or 0) <= RULES_PER_MEDICATION and n_pairs.n <= RULE_PAIRS else "rows"
-    size = (widest.b or 0) + n_meds.n * ROW_BYTES
-    return plan, size <= BROADCAST_BYTES
-
-
 def _clean(df: DataFrame, name: str) -> Column:
     """Trimmed id, null when blank; ids that are not text can only be null."""
     if isinstance(df.schema[name].dataType, T.StringType):
@@ -249,7 +215,7 @@ def patient_profiles(patients: DataFrame, rules: DataFrame, pgx: DataFrame) -> D
         .groupBy(F.col("gene_key").alias("_gene"))
         .agg(F.collect_set("phenotype_key").alias("_phenotypes"))
     )
-    keyed = keyed_results(pgx).join(F.broadcast(used), F.col("gene_key") == F.col("_gene"), "left")
+    keyed = keyed_results(pgx).join(used, F.col("gene_key") == F.col("_gene"), "left")
     reduced = (
         keyed.select(
             "patient_id",
@@ -276,10 +242,8 @@ def patient_profiles(patients: DataFrame, rules: DataFrame, pgx: DataFrame) -> D
     )
 
 
-def _facts_by_arrays(requests, patients, meds, rules, pgx, broadcast_meds) -> DataFrame:
+def _facts_by_arrays(requests, patients, meds, rules, pgx) -> DataFrame:
     meds_side = medication_profiles(meds, rules)
-    if broadcast_meds:
-        meds_side = F.broadcast(meds_side)
     joined = requests.join(
         patient_profiles(patients, rules, pgx), F.col("_patient") == F.col("_patient_id"), "left"
     ).join(meds_side, F.col("_medication") == F.col("_med_id"), "left")
@@ -398,6 +362,8 @@ def _decide(facts: DataFrame) -> DataFrame:
     ).withColumn("_primary", F.get(F.col("matches"), F.lit(0)))
     return staged.select(
         *plain,
+        F.col("_patient").alias("decided_patient"),
+        F.col("_medication").alias("decided_medication"),
         by_decision(*BRANCHES).alias("branch"),
         (d > 3).alias("supported"),
         (d == 8).alias("matched"),
@@ -444,16 +410,18 @@ def matches_by_risk(matches: DataFrame) -> DataFrame:
     return with_position(falling, ["patient_id", "medication_id"], ["_falling", "rule_id"]).drop("_falling")
 
 
-def risk_history_rows(decided: DataFrame, run_id: str, run_ts: Column) -> DataFrame:
+def risk_history_rows(decided: DataFrame, run_id: str, run_ts: Column, request: list[str]) -> DataFrame:
     """Rows to keep: one per match, or one without rule and result; none when unsupported.
 
     A missing gene is stored with the message as clinician text, which the
-    returned result does not carry.  Ids derive from the run and the business
-    key, so a retried task writes the same rows.
+    returned result does not carry.  Patient and medication are the trimmed ids.  Ids derive from the run, the
+    columns `request` that tell requests apart, and the rule, so a retried task writes the same rows and two
+    requests for one pair have different ones.
     """
     rows = decided.where("supported").select(
-        "patient_id",
-        "medication_id",
+        *[F.col(c).alias(f"_q{i}") for i, c in enumerate(request)],
+        F.col("decided_patient").alias("patient_id"),
+        F.col("decided_medication").alias("medication_id"),
         F.col("patient_summary").alias("_patient_text"),
         F.when(F.col("branch") == "missing_genes", F.col("message"))
         .otherwise(F.col("clinician_summary"))
@@ -463,7 +431,7 @@ def risk_history_rows(decided: DataFrame, run_id: str, run_ts: Column) -> DataFr
     )
     hit = F.col("m").isNotNull()
     return rows.select(
-        stable_id(F.lit(run_id), "patient_id", "medication_id", F.coalesce(F.col("m.rule_id").cast("string"), F.lit(""))).alias("id"),
+        stable_id(F.lit(run_id), *[f"_q{i}" for i in range(len(request))], "patient_id", "medication_id", F.coalesce(F.col("m.rule_id").cast("string"), F.lit(""))).alias("id"),
         "patient_id",
         "medication_id",
         F.col("m.pgx_result_id").alias("pgx_result_id"),

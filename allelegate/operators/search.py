@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from allelegate.functions.text import trim_all
 from allelegate.operators.match import active_medications
 from allelegate.plans import domains as D
-from allelegate.plans.skew import HOT_ROWS, with_position
+from allelegate.plans.skew import with_position
 
 GRAM = 3
 
@@ -94,9 +94,9 @@ def search_medications(meds: DataFrame, queries: DataFrame, top: int = 10) -> Da
     )
 
 
-def results_by_gene(pgx: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def results_by_gene(pgx: DataFrame) -> DataFrame:
     """Position of each result in its patient's profile, by gene."""
-    return with_position(pgx, ["patient_id"], ["gene", "id"], hot_rows=hot_rows)
+    return with_position(pgx, ["patient_id"], ["gene", "id"])
 
 
 def gene_profile(requests: DataFrame, patients: DataFrame, pgx: DataFrame) -> DataFrame:

@@ -7,17 +7,16 @@ session windows do not fit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from allelegate.functions.text import match_key
-from allelegate.plans.session import shared_dir
-from allelegate.plans.skew import HOT_ROWS, split_hot, with_position, with_prior
+from allelegate.plans.skew import in_ranges
 
 # Window length and maximum of sign-ins and of registrations.
 WINDOW_SECONDS = 15 * 60
@@ -38,44 +37,56 @@ def throttle_attempts(
     order: list[str],
     window_seconds: int = WINDOW_SECONDS,
     maximum: int = MAX_ATTEMPTS,
-    hot_rows: int = HOT_ROWS,
     open_windows: DataFrame | None = None,
+    segments: int | None = None,
 ) -> DataFrame:
     """Each attempt with its window start, its number in the window and `throttled`.
 
-    `order` breaks ties of equal times.  Ordinary keys stream through sorted
-    partitions with one (start, count) of state.  A key above `hot_rows` is
-    never given to one task: see `_window_starts`.  `open_windows` (the key,
-    `start_us`, `count`) holds the last window of keys seen before.
+    `order` breaks ties of equal times.  Attempts are cut into ranges of (key, time), so a key of any size is
+    spread over tasks.  A range needs one thing from the one before it: the window that its first key has open.
+    All ranges are worked on at once, first without it; then those are done again whose entering window turned
+    out different, until none does (a window that opens at the same attempt either way ends the difference).
+
+    `open_windows` (the key, `start_us`, `count`) holds the last window of keys seen before.  A null key is one
+    key; an attempt without time has no window, no number and is not throttled.  Columns pass through as Arrow
+    arrays, unchanged.
     """
     width = window_seconds * 1_000_000
     timed = attempts.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     if open_windows is None:
         seeded = timed.withColumns({"_seed": F.lit(None).cast("bigint"), "_seen": F.lit(0).cast("bigint")})
     else:
-        seeds = open_windows.select(key, F.col("start_us").alias("_seed"), F.col("count").alias("_seen"))
-        seeded = timed.join(seeds, key, "left").withColumn("_seen", F.coalesce("_seen", F.lit(0)))
-    split = split_hot(seeded, [key], hot_rows)
-    numbered = _number_in_order(split.cold, key, order, width)
-    if split.hot is not None:
-        numbered = numbered.unionByName(_number_hot(split.hot, key, order, width, hot_rows))
+        seeds = open_windows.select(F.col(key).alias("_k"), F.col("start_us").alias("_seed"), F.col("count").alias("_seen"))
+        seeded = timed.join(seeds, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k").withColumn("_seen", F.coalesce("_seen", F.lit(0)))
+    cut = in_ranges(seeded, [key], ["_us", *order], segments)
+    sort = [key, "_us", *order]
+    entering = _entering(cut, sort, width)
+    numbered = cut.groupBy("_seg").applyInArrow(_numbering(sort, width, entering), _numbered_schema(cut.schema))
     back = F.make_dt_interval(secs=((F.col("_us") - F.col("_start")) / 1_000_000).cast("decimal(18,6)"))
     return numbered.select(
         *attempts.columns,
         (F.col(ts) - back).alias("window_start"),
         "attempt_no",
-        (F.col("attempt_no") > maximum).alias("throttled"),
+        F.coalesce(F.col("attempt_no") > maximum, F.lit(False)).alias("throttled"),
     )
 
 
-def last_windows(numbered: DataFrame, key: str, open_windows: DataFrame | None = None) -> DataFrame:
-    """The open window of each key after `numbered`, to go on from with the next attempts."""
+def last_windows(numbered: DataFrame, key: str, open_windows: DataFrame | None = None, keep_seconds: int | None = None) -> DataFrame:
+    """The open window of each key after `numbered`, to go on from with the next attempts.
+
+    With `keep_seconds`, windows that opened longer than that before the newest one are left out.
+    """
     start = F.unix_micros(F.col("window_start").cast("timestamp"))
-    new = numbered.select(key, start.alias("start_us"), F.col("attempt_no").alias("count"))
+    new = numbered.where("attempt_no is not null").select(key, start.alias("start_us"), F.col("attempt_no").alias("count"))
     if open_windows is not None:
         new = new.unionByName(open_windows.select(*new.columns))
     last = new.groupBy(key).agg(F.max(F.struct("start_us", "count")).alias("w"))
-    return last.select(key, "w.start_us", "w.count")
+    last = last.select(key, "w.start_us", "w.count")
+    if keep_seconds is None:
+        return last
+    newest = last.agg(F.max("start_us").alias("_newest"))
+    recent = last.join(F.broadcast(newest), F.col("start_us") >= F.col("_newest") - keep_seconds * 1_000_000)
+    return recent.drop("_newest")
 
 
 def number_sorted(values: np.ndarray, width: int, start: int | None, count: int):
@@ -94,91 +105,81 @@ def number_sorted(values: np.ndarray, width: int, start: int | None, count: int)
     return starts, numbers, start, count
 
 
-def _number_in_order(rows: DataFrame, key: str, order: list[str], width: int) -> DataFrame:
+def _numbered_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("_start", T.LongType()), T.StructField("attempt_no", T.LongType())])
+
+
+def _in_order(table: pa.Table, sort: list[str]) -> tuple[pa.Table, list[int]]:
+    """A range in order, and where its keys begin, with the end."""
+    table = table.take(pc.sort_indices(table, [(c, "ascending") for c in sort], null_placement="at_start"))
+    keys = table.column(sort[0]).combine_chunks()
+    new = pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True).to_numpy(zero_copy_only=False)
+    both_null = pc.and_(keys[1:].is_null(), keys[:-1].is_null()).to_numpy(zero_copy_only=False)
+    return table, [0, *(np.flatnonzero(new & ~both_null) + 1).tolist(), table.num_rows]
+
+
+def _number_range(table: pa.Table, cuts: list[int], width: int, entering: tuple[int, int] | None):
+    """Starts, numbers (0: no time) and the last key's open window of a range in order."""
+    times = table.column("_us").combine_chunks()
+    timeless = times.is_null().to_numpy(zero_copy_only=False)
+    times = pc.fill_null(times, 0).to_numpy(zero_copy_only=False)
+    starts, numbers = np.zeros(len(times), "int64"), np.zeros(len(times), "int64")
+    start, count = None, 0
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        start, count = table.column("_seed")[a].as_py(), table.column("_seen")[a].as_py()
+        if k == 0 and entering is not None:
+            start, count = entering
+        a += int(timeless[a:b].sum())  # attempts without time come first
+        starts[a:b], numbers[a:b], start, count = number_sorted(times[a:b], width, start, count)
+    return starts, numbers, start, count
+
+
+def _numbering(sort: list[str], width: int, entering: dict[int, tuple[int, int]]):
+    def number(group: tuple, table: pa.Table) -> pa.Table:
+        table, cuts = _in_order(table, sort)
+        starts, numbers, _, _ = _number_range(table, cuts, width, entering.get(group[0].as_py()))
+        none = numbers == 0
+        return table.append_column("_start", pa.array(starts, mask=none)).append_column("attempt_no", pa.array(numbers, mask=none))
+
+    return number
+
+
+def _entering(cut: DataFrame, sort: list[str], width: int) -> dict[int, tuple[int, int]]:
+    """The window that is open where each range begins, for ranges whose first key goes on from the one before.
+
+    The driver sees one row per range: its first and last key, and the last key's open window.
+    """
+    key = T.StructField("first", cut.schema[sort[0]].dataType)
     schema = T.StructType(
-        [*rows.schema.fields, T.StructField("_start", T.LongType()), T.StructField("attempt_no", T.LongType())]
+        [T.StructField("seg", T.IntegerType()), key, T.StructField("last", key.dataType), T.StructField("start", T.LongType()), T.StructField("count", T.LongType())]
     )
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    slim = cut.select("_seg", *sort, "_seed", "_seen")
+    entering: dict[int, tuple[int, int]] = {}
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, start, count = None, None, 0
-        for batch in batches:
-            if batch.empty:
-                continue
-            times = batch["_us"].to_numpy(dtype="int64")
-            names = batch[key].to_numpy()
-            seeds, seen = batch["_seed"].to_numpy(), batch["_seen"].to_numpy()
-            cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
-            starts = np.empty(len(batch), dtype="int64")
-            numbers = np.empty(len(batch), dtype="int64")
-            for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-                if last is None or names[a] != last:
-                    last, count = names[a], int(seen[a])
-                    start = None if pd.isna(seeds[a]) else int(seeds[a])
-                starts[a:b], numbers[a:b], start, count = number_sorted(times[a:b], width, start, count)
-            yield batch.assign(_start=starts, attempt_no=numbers)
-
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, "_us", *order).mapInPandas(number, schema)
-
-
-def _number_hot(rows: DataFrame, key: str, order: list[str], width: int, hot_rows: int) -> DataFrame:
-    starts = _window_starts(rows, key, width).withColumn("_opens", F.col("_us"))
-    marked = rows.join(starts, [key, "_us"], "left")
-    held = with_prior(marked, [key], ["_us", *order], "_opens", "_held", hot_rows)
-    # Before the first start of these rows, the window that was open before them goes on.
-    opened = held.withColumn("_start", F.coalesce("_opens", "_held", "_seed")).drop("_opens", "_held")
-    placed = with_position(opened, [key, "_start"], ["_us", *order], "attempt_no", hot_rows)
-    earlier = F.when(F.col("_start") == F.col("_seed"), F.col("_seen")).otherwise(F.lit(0))
-    return placed.withColumn("attempt_no", F.col("attempt_no") + earlier)
-
-
-def _window_starts(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """Times at which windows open, found without going through a key in order.
-
-    Every time points to the first time at or after its window's end.  The
-    starts are what the first time reaches; doubling the pointers finds all of
-    them in log2(windows) rounds.  Each round is kept in the shared folder, so
-    a lost executor repeats one round at most.
-    """
-    shared_dir(rows.sparkSession)
-    times = rows.select(key, "_us").distinct().checkpoint()
-    jump = _next_start(times, key, width).checkpoint()
-    # The first start is the first time that a window open before does not cover.
-    free = F.col("_seed").isNull() | (F.col("_us") >= F.col("_seed") + width)
-    reached = rows.where(free).groupBy(key).agg(F.min("_us").alias("_us")).checkpoint()
-    known = reached.count()
+    def leaves(rows: DataFrame) -> dict[int, tuple]:
+        known = dict(entering)
+
+        def leave(group: tuple, table: pa.Table) -> pa.Table:
+            table, cuts = _in_order(table, sort)
+            seg, keys = group[0].as_py(), table.column(sort[0])
+            _, _, start, count = _number_range(table, cuts, width, known.get(seg))
+            values = [seg, keys[0].as_py(), keys[-1].as_py(), start, count]
+            return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=schema.names)
+
+        return {r["seg"]: (r["first"], r["last"], r["start"], r["count"]) for r in rows.groupBy("_seg").applyInArrow(leave, schema).collect()}
+
+    left = leaves(slim)
     while True:
-        further = reached.join(jump, [key, "_us"]).select(key, F.col("_next").alias("_us"))
-        reached = reached.unionByName(further).distinct().checkpoint()
-        now = reached.count()
-        if now == known:
-            return reached
-        known = now
-        hop = jump.select(key, F.col("_us").alias("_next"), F.col("_next").alias("_then"))
-        jump = jump.join(hop, [key, "_next"]).select(key, "_us", F.col("_then").alias("_next")).checkpoint()
-
-
-def _next_start(times: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, time, first time at or after time + width), looked up inside time slots.
-
-    A slot is a sixteenth of a window.  If a slot has no such time, the first
-    time of the next filled slot is the answer, and a key has only as many
-    slots as time has passed.
-    """
-    slot = max(width // 16, 1)
-    points = times.select(key, F.col("_us").alias("_at"), F.col("_us").alias("_point"), F.lit(None).cast("bigint").alias("_from"))
-    asks = times.select(
-        key, (F.col("_us") + width).alias("_at"), F.lit(None).cast("bigint").alias("_point"), F.col("_us").alias("_from")
-    )
-    both = points.unionByName(asks).withColumn("_slot", F.expr(f"_at div {slot}"))
-    # Later first; a point at the asked time itself comes before the ask.
-    down = Window.partitionBy(key, "_slot").orderBy(F.desc("_at"), F.desc_nulls_last("_point"))
-    inside = both.withColumn("_hit", F.last("_point", ignorenulls=True).over(down))
-    slots = both.groupBy(key, "_slot").agg(F.min("_point").alias("_first"))
-    later = Window.partitionBy(key).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("_after", F.last("_first", ignorenulls=True).over(later)).drop("_first")
-    return (
-        inside.where(F.col("_from").isNotNull())
-        .join(slots, [key, "_slot"])
-        .select(key, F.col("_from").alias("_us"), F.coalesce("_hit", "_after").alias("_next"))
-        .where(F.col("_next").isNotNull())
-    )
+        changed = []
+        order = sorted(left)
+        for before, seg in zip(order, order[1:], strict=False):
+            _, last, start, count = left[before]
+            if last == left[seg][0] and start is not None and entering.get(seg) != (start, count):
+                entering[seg] = (start, count)
+                # only a range of one key hands on what it was given
+                if left[seg][0] == left[seg][1]:
+                    changed.append(seg)
+        if not changed:
+            return entering
+        left.update(leaves(slim.where(F.col("_seg").isin(changed))))

@@ -139,7 +139,8 @@ VIEWS = {
     "fx_items": """
         select item_id as id, concat('00000000-0000-4000-8000-', lpad(cast(user_id as string), 12, '0')) as patient_id,
           medication_id, 'past' as status, min(notes) as notes, min(ts) as created_at, max(ts) as updated_at
-        from fx_changes where op = 'view' group by item_id, user_id, medication_id""",
+        from fx_changes group by item_id, user_id, medication_id
+        having max(case when op = 'view' then 1 else 0 end) = 1""",
     # Search texts: names and brands in either case, nations that match nothing, wildcards and a blank.
     "fx_queries": """
         select upper(p_name) as query from part union all select lower(p_brand) from part
@@ -224,8 +225,8 @@ VIEWS = {
     "fx_sessions": """
         select concat('s-', cast(user_id as string)) as id, user_id, concat('old-', cast(user_id as string)) as token_hash,
           max(ts) + interval 12 hour as expires_at, max(ts) as created_at
-        from events where event_type = 'view' group by user_id""",
-    "fx_attempts": "select event_id, user_id as subject, ts from events where event_type = 'error'",
+        from events group by user_id""",
+    "fx_attempts": "select event_id, user_id as subject, ts from events",
     "fx_users": """
         select cast(floor(c_custkey / 3) as bigint) as id,
           concat(' User', cast(cast(floor(c_custkey / 3) as bigint) as string), '@Example.org ') as email,
@@ -233,7 +234,7 @@ VIEWS = {
         from customer group by cast(floor(c_custkey / 3) as bigint)""",
     "fx_logins": """
         select event_id, user_id, concat('token-', cast(event_id as string)) as token, ts
-        from events where event_type = 'signup'""",
+        from events""",
 }
 
 

@@ -1,116 +1,65 @@
 """Ordered work on keys of any size.
 
-A window over a key puts the whole key into one task.  The helpers here give
-the same answers with no task bound to a key: keys above a measured size are
-cut into ordered segments, each segment is worked on alone, and the small
-per-segment totals are carried forward.
+A window over a key puts the whole key into one task.  The helpers here cut all rows into ranges of (key, order)
+instead, whatever the size of a key: each range is worked on alone, and per key and range one small total is
+carried forward.  There is one plan for every size, and a null key is a key like any other.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelegate.plans.session import shared_dir
-
-# No key may bring more rows than this to one task.
-HOT_ROWS = 1_000_000
-# At most this many keys can be hot: the limit grows with the data.
-HOT_KEYS = 10_000
-SEGMENTS = 256
+from allelegate.plans.session import scratch_path
 
 
-@dataclass
-class Split:
-    cold: DataFrame
-    hot: DataFrame | None
+def same_keys(keys: list[str], prefix: str = "_h_") -> Column:
+    """Null-safe equality of columns with their renamed counterparts."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return on
 
 
-def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Split:
-    """Rows of keys above the limit apart from the others.
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], segments: int | None = None) -> DataFrame:
+    """`df` cut into ranges of (keys, order), numbered in order by `_seg`, from a table in the shared folder.
 
-    The counts combine before the shuffle.  The limit is never below
-    1/HOT_KEYS of all rows, so the set of hot keys is small enough to broadcast.
+    The cut is written because it samples its input: a second evaluation could place a row elsewhere.  There are
+    as many ranges as the session has shuffle partitions, so they hold what any other task holds.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total, widest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(hot_rows, (total or 0) // HOT_KEYS)
-    if not widest or widest <= limit:
-        return Split(df, None)
-    hot = F.broadcast(counts.where(F.col("_n") > limit).select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
-    same = _same_keys(keys)
-    return Split(df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi"))
+    segments = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(df.sparkSession, "ranges")
+    cut = df.repartitionByRange(segments, *keys, *order).withColumn("_seg", F.spark_partition_id())
+    cut.write.parquet(path)
+    return df.sparkSession.read.schema(cut.schema).parquet(path)
 
 
-def _same_keys(keys: list[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    return on
+def _carried(cut: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Join what lies before a range to its rows: one row per (key, range), so no side is skewed."""
+    side = totals.select(*[F.col(k).alias(f"_h_{k}") for k in [*keys, "_seg"]], "_base")
+    return cut.join(side, same_keys([*keys, "_seg"]), "left").drop(*[f"_h_{k}" for k in [*keys, "_seg"]])
 
 
-def _segmented(hot: DataFrame, keys: list[str], order: list[str], segments: int) -> DataFrame:
-    """Hot rows in global order with a segment number that cannot change later.
+def _before(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
 
-    The cut is written to the shared folder: a range cut samples its input, so
-    a second evaluation could place a row elsewhere.
-    """
-    shared_dir(hot.sparkSession)
-    return (
-        hot.repartitionByRange(segments, *keys, *order)
-        .withColumn("_seg", F.spark_partition_id())
-        .checkpoint()
-    )
-
-
-def _carry(cut: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    """Join per-segment values back; one row per (key, segment), so it is small."""
-    side = totals.select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys],
-        F.col("_seg").alias("_h__seg"),
-        *[c for c in totals.columns if c not in (*keys, "_seg")],
-    )
-    on = _same_keys([*keys, "_seg"])
-    return cut.join(F.broadcast(side), on, "left").drop(*[f"_h_{k}" for k in keys], "_h__seg")
-
-
-def with_position(
-    df: DataFrame, keys: list[str], order: list[str], name: str = "position",
-    hot_rows: int = HOT_ROWS, segments: int = SEGMENTS,
-) -> DataFrame:
+
+def with_position(df: DataFrame, keys: list[str], order: list[str], name: str = "position", segments: int | None = None) -> DataFrame:
     """1-based position of each row inside its key, in ascending `order` (unique per key)."""
-    split = split_hot(df, keys, hot_rows)
-    cold = split.cold.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    if split.hot is None:
-        return cold
-    cut = _segmented(split.hot, keys, order, segments)
-    totals = cut.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    cut = in_ranges(df, keys, order, segments)
+    counts = cut.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.withColumn("_base", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)))
     local = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order))
-    hot = _carry(cut, totals, keys).withColumn(name, (local + F.col("_base")).cast("bigint"))
-    return cold.unionByName(hot.select(*cold.columns))
+    placed = _carried(cut, totals, keys).withColumn(name, (local + F.col("_base")).cast("bigint"))
+    return placed.select(*df.columns, name)
 
 
-def with_prior(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str,
-    hot_rows: int = HOT_ROWS, segments: int = SEGMENTS,
-) -> DataFrame:
+def with_prior(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, segments: int | None = None) -> DataFrame:
     """Last non-null `value` among the earlier rows of the same key."""
-    split = split_hot(df, keys, hot_rows)
-    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    cold = split.cold.withColumn(name, F.last(value, ignorenulls=True).over(earlier))
-    if split.hot is None:
-        return cold
-    cut = _segmented(split.hot, keys, order, segments)
+    cut = in_ranges(df, keys, order, segments)
     at = F.when(F.col(value).isNotNull(), F.struct(*order))
-    totals = cut.groupBy(*keys, "_seg").agg(F.max_by(value, at).alias("_last"))
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_seg", F.last("_last", ignorenulls=True).over(before).alias("_base"))
+    lasts = cut.groupBy(*keys, "_seg").agg(F.max_by(value, at).alias("_last"))
+    totals = lasts.withColumn("_base", F.last("_last", ignorenulls=True).over(_before(keys)))
     inside = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    hot = _carry(cut, totals, keys).withColumn(
-        name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_base"))
-    )
-    return cold.unionByName(hot.select(*cold.columns))
+    placed = _carried(cut, totals, keys).withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_base")))
+    return placed.select(*df.columns, name)

@@ -168,11 +168,7 @@ def match_risk(spark, sf):
 
 @query("match_risk_unknown_ids", f"with {REQ_TEXT}, {DECISION} {FLAT}")
 def match_risk_unknown_ids(spark, sf):
-    requests, patients, meds, rules, pgx = inputs(spark, sf, "fx_requests_text")
-    as_text = lambda df, *names: df.withColumns({n: F.col(n).cast("string") for n in names})
-    decided = M.match_risk(
-        requests, as_text(patients, "id"), as_text(meds, "id"), as_text(rules, "medication_id"), as_text(pgx, "patient_id")
-    )
+    decided = M.match_risk(*text_inputs(spark, sf))
     return flat(decided)
 
 
@@ -181,10 +177,12 @@ def match_risk_by_rows(spark, sf):
     return flat(M.match_risk(*inputs(spark, sf), plan="rows"))
 
 
-HISTORY = f"""
-    with {REQ_PLAIN}, {DECISION},
+def history_sql(req: str) -> str:
+    """Kept rows without their id, from the decision in plain joins."""
+    return f"""
+    with {req}, {DECISION},
     history as (
-      select d.patient_id, d.medication_id, h.pgx_result_id, h.rule_id,
+      select d.order_id, d.line_no, d.pid as patient_id, d.mid as medication_id, h.pgx_result_id, h.rule_id,
         coalesce(h.risk_level, 'insufficient_data') as risk_level,
         coalesce(h.patient_summary, d.patient_summary) as patient_summary,
         case when h.rule_id is not null then h.clinician_summary when d.branch = 'missing_genes' then d.message
@@ -192,14 +190,53 @@ HISTORY = f"""
         coalesce(h.recommended_action, d.recommended_action) as recommended_action,
         timestamp '{RUN_TS}' as created_at
       from decided d left join hit h on h.pid = d.pid and h.mid = d.mid and d.branch = 'matched'
-      where d.supported)
-    select md5(concat_ws('|', 'run', cast(patient_id as varchar), cast(medication_id as varchar),
-        coalesce(cast(rule_id as varchar), ''))) as id, * from history"""
+      where d.supported)"""
+
+
+KEPT = (
+    "patient_id, medication_id, pgx_result_id, rule_id, risk_level, patient_summary, clinician_summary, "
+    "recommended_action, created_at"
+)
+HISTORY = f"{history_sql(REQ_PLAIN)} select {KEPT} from history"
+REQUEST = ["order_id", "line_no"]
+
+
+def history(spark, sf) -> DataFrame:
+    return M.risk_history_rows(M.match_risk(*inputs(spark, sf)), "run", run_ts(), REQUEST)
 
 
 @query("risk_history", HISTORY)
 def risk_history(spark, sf):
-    return M.risk_history_rows(M.match_risk(*inputs(spark, sf)), "run", run_ts())
+    return history(spark, sf).drop("id")
+
+
+@query(
+    "history_ids_unique",
+    # the driver's line items repeat a few (order, line) keys
+    f"{history_sql(REQ_PLAIN)} select count(*) as n_rows, cast(0 as bigint) as n_null, "
+    "count(distinct (order_id, line_no, patient_id, medication_id, rule_id)) as n_ids from history",
+)
+def history_ids_unique(spark, sf):
+    return history(spark, sf).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.count_if(F.col("id").isNull()).alias("n_null")
+    )
+
+
+def text_inputs(spark, sf):
+    """Requests with padded text ids, and tables whose ids are text."""
+    requests, patients, meds, rules, pgx = inputs(spark, sf, "fx_requests_text")
+    as_text = lambda df, *names: df.withColumns({n: F.col(n).cast("string") for n in names})
+    return requests, as_text(patients, "id"), as_text(meds, "id"), as_text(rules, "medication_id"), as_text(pgx, "patient_id")
+
+
+@query(
+    "history_of_padded_requests",
+    f"{history_sql(REQ_TEXT)} select cast(patient_id as varchar) as patient_id, cast(medication_id as varchar) as medication_id, "
+    "rule_id, pgx_result_id, risk_level, clinician_summary from history",
+)
+def history_of_padded_requests(spark, sf):
+    rows = M.risk_history_rows(M.match_risk(*text_inputs(spark, sf)), "run", run_ts(), REQUEST)
+    return rows.select("patient_id", "medication_id", "rule_id", "pgx_result_id", "risk_level", "clinician_summary")
 
 
 PARTS = f"with {REQ_PLAIN}, {DECISION}"

@@ -19,7 +19,7 @@ from allelegate.plans.fixtures import read_sql, view
 from allelegate.plans.schemas import STAGED_COLUMNS
 from allelegate.plans.session import scratch_path
 from allelegate.queries import query
-from allelegate.queries.match import HISTORY, inputs, run_ts
+from allelegate.queries.match import HISTORY, history
 from allelegate.queries.staging import raw_records
 from allelegate.sources import curated, delimited, envelopes, html_tables, routing, tables, workbook
 
@@ -315,7 +315,7 @@ def load_tables(spark, sf):
 @query("append_risk_results", f"select *, '2026-01-01' as run_date, 'run' as run_id from ({HISTORY}) t")
 def append_risk_results(spark, sf):
     path = scratch_path(spark, "history")
-    rows = M.risk_history_rows(M.match_risk(*inputs(spark, sf)), "run", run_ts())
+    rows = history(spark, sf).drop("id")
     tables.append_risk_results(rows, path, "2026-01-01", "run")
     return tables.read_risk_results(spark, path).withColumn("run_date", F.col("run_date").cast("string"))
 

@@ -15,9 +15,9 @@ ORDER_SQL = ", ".join(ORDER)
 PAYLOAD = ", ".join(STAGED_COLUMNS)
 
 ALIASES = """
-    select concat('med ', cast(p_partkey as string)) as alias, concat('generic ', cast(p_partkey as string)) as generic,
+    select concat(case when p_size > 10 then 'med ' else 'other ' end, cast(p_partkey as string)) as alias, concat('generic ', cast(p_partkey as string)) as generic,
       p_brand as brand, p_type as class
-    from part where p_size > 10"""
+    from part"""
 
 
 @query(

@@ -10,29 +10,29 @@ from allelegate.plans.fixtures import read_sql, view
 from allelegate.plans.session import scratch_path
 from allelegate.queries import query
 from allelegate.queries.accounts import THROTTLE
-from allelegate.queries.match import DECISION, FLAT, REQ_PLAIN, flat, inputs, run_ts
+from allelegate.queries.match import DECISION, FLAT, HISTORY, REQ_PLAIN, REQUEST, RUN_TS, flat, inputs, run_ts
 from allelegate.queries.merge import IN_ORDER, UPSERT_PGX
-from allelegate.sources.tables import current_version, load_table, write_version
+from allelegate.sources.tables import current_version, load_table, read_risk_results, write_version
 from allelegate.streaming.apply import apply_stream
-from allelegate.streaming.match import match_risk_stream
+from allelegate.streaming.match import keep_history, match_risk_stream
 from allelegate.streaming.throttle import throttle_batches, throttle_stream
 
 
-def as_stream(spark, slices: list[DataFrame], name: str) -> DataFrame:
-    """Files written slice after slice and streamed in that order, one slice or less per micro-batch."""
+def in_slices(spark, slices: list[DataFrame], name: str, start) -> None:
+    """Write slice after slice as files; after each, `start` streams all new files as one micro-batch."""
     path = scratch_path(spark, name)
     for part in slices:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.write.mode("append").parquet(path)
+        start(spark.readStream.schema(slices[0].schema).parquet(path)).awaitTermination()
+
+
+def to_files(stream: DataFrame, out: str, log: str):
+    return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
 
 
 def run_to_table(spark, stream: DataFrame, name: str) -> DataFrame:
     out, log = scratch_path(spark, name), scratch_path(spark, f"{name}-log")
-    job = (
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", log)
-        .trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
+    to_files(stream, out, log).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -45,8 +45,20 @@ def match_stream(spark, sf):
     return run_to_table(spark, flat(match_risk_stream(stream, patients, meds, rules, pgx)), "decisions")
 
 
-def attempts_by_week(spark, sf) -> DataFrame:
-    weeks = [
+@query("keep_history", HISTORY.replace("created_at from history", "true as has_time from history").replace(f"timestamp '{RUN_TS}' as created_at", "true as has_time"))
+def history_of_stream(spark, sf):
+    """Requests in two slices, decided per micro-batch against tables that are read anew."""
+    requests, *_ = inputs(spark, sf)
+    path, log = scratch_path(spark, "history"), scratch_path(spark, "history-log")
+    current = lambda: inputs(spark, sf)[1:]
+    slices = [requests.where("line_no <= 2"), requests.where("line_no > 2 or line_no is null")]
+    in_slices(spark, slices, "requests", lambda stream: keep_history(stream, current, path, log, REQUEST))
+    kept = read_risk_results(spark, path)
+    return kept.withColumn("has_time", F.col("created_at").isNotNull()).drop("id", "created_at", "run_date", "run_id")
+
+
+def attempts_by_week(spark, sf) -> list[DataFrame]:
+    return [
         read_sql(spark, sf, f"select * from fx_attempts where {test}")
         for test in (
             "ts < timestamp '2024-01-08 00:00:00'",
@@ -54,23 +66,23 @@ def attempts_by_week(spark, sf) -> DataFrame:
             "ts >= timestamp '2024-01-17 00:00:00'",
         )
     ]
-    return as_stream(spark, weeks, "attempts")
 
 
 @query("throttle_stream", THROTTLE)
 def throttle(spark, sf):
-    stream = attempts_by_week(spark, sf)
-    numbered = throttle_stream(stream, "subject", "ts", ["event_id"], window_seconds=10 * 24 * 3600, maximum=3)
-    return run_to_table(spark, numbered, "throttled")
+    out, log = scratch_path(spark, "throttled"), scratch_path(spark, "throttled-log")
+    number = lambda stream: throttle_stream(stream, "subject", "ts", ["event_id"], window_seconds=10 * 24 * 3600, maximum=3)
+    in_slices(spark, attempts_by_week(spark, sf), "attempts", lambda stream: to_files(number(stream), out, log))
+    return spark.read.parquet(out)
 
 
 @query("throttle_batches", THROTTLE)
 def throttle_by_batch(spark, sf):
-    stream = attempts_by_week(spark, sf)
     root, log = scratch_path(spark, "throttle"), scratch_path(spark, "throttle-log")
-    throttle_batches(
-        stream, "subject", "ts", ["event_id"], root, log, window_seconds=10 * 24 * 3600, maximum=3
-    ).awaitTermination()
+    run = lambda stream: throttle_batches(
+        stream, "subject", "ts", ["event_id"], root, log, window_seconds=10 * 24 * 3600, maximum=3, keep_seconds=30 * 24 * 3600
+    )
+    in_slices(spark, attempts_by_week(spark, sf), "attempts", run)
     return spark.read.parquet(f"{root}/attempts").drop("batch")
 
 
@@ -89,7 +101,7 @@ def apply_changes(spark, sf):
     def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
         return G.upsert_pgx(stored, G.checked_results(batch, patients), IN_ORDER, run_ts().cast("timestamp"))
 
-    apply_stream(as_stream(spark, parts, "results"), merge, root, "pgx_results", log).awaitTermination()
+    in_slices(spark, parts, "results", lambda stream: apply_stream(stream, merge, root, "pgx_results", log))
     final = load_table(spark, root, "pgx_results", current_version(spark, root, "pgx_results"))
     return final.select(
         "id",

@@ -7,7 +7,7 @@ by review status, which lets a match read the approved ones only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelegate.plans.schemas import TABLES
@@ -70,17 +70,10 @@ def stored_tables(spark: SparkSession, root: str) -> DataFrame:
 def append_risk_results(rows: DataFrame, path: str, run_date: str, run_id: str) -> None:
     """History rows of one run, beside those of all other runs.
 
-    A run owns its partition: running it again replaces its own rows instead
-    of adding them twice, and touches no other run.
+    A run owns its partition: running it again replaces its own rows instead of adding them twice, also when it has
+    none this time, and touches no other run.
     """
-    own: dict[str, Column] = {"run_date": F.lit(run_date), "run_id": F.lit(run_id)}
-    (
-        rows.withColumns(own)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date", "run_id")
-        .parquet(path)
-    )
+    rows.write.mode("overwrite").parquet(f"{path}/run_date={run_date}/run_id={run_id}")
 
 
 def read_risk_results(spark: SparkSession, path: str) -> DataFrame:

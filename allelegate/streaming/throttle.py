@@ -24,10 +24,13 @@ from allelegate.operators.throttle import (
     number_sorted,
     throttle_attempts,
 )
-from allelegate.plans.skew import HOT_ROWS
 from allelegate.sources.tables import version_before
 
 
+# Fixed value: how long a key without attempts is remembered by default.
+KEEP_SECONDS = 24 * 3600
+
+
 def throttle_stream(
     attempts: DataFrame,
     key: str,
@@ -35,22 +38,23 @@ def throttle_stream(
     order: list[str],
     window_seconds: int = WINDOW_SECONDS,
     maximum: int = MAX_ATTEMPTS,
-    idle_seconds: int | None = None,
+    watermark: str = "1 day",
 ) -> DataFrame:
     """Stream form of `throttle_attempts`, with the same columns.
 
-    Attempts of a key are taken in time order inside a micro-batch; across
-    micro-batches in the order they arrive, so an attempt older than the open
-    window counts in it.  With `idle_seconds`, at least the window, a key
-    without attempts for that long is forgotten; without it every key is kept,
-    which a replay of old attempts needs.
+    Attempts of a key are taken in time order inside a micro-batch; across micro-batches in the order they arrive,
+    so an attempt older than the open window counts in it.  Attempts later than `watermark` are dropped, and a window
+    that lies before it is forgotten: no attempt can fall into it any more.  Columns other than time and order
+    travel packed, so no value changes on the way.
     """
-    if idle_seconds is not None and idle_seconds < window_seconds:
-        raise ValueError("idle_seconds must cover the window")
     width = window_seconds * 1_000_000
-    timed = attempts.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    at = F.col(ts).cast("timestamp")
+    timed = attempts.withColumns({"_us": F.unix_micros(at), "_at": at}).withWatermark("_at", watermark)
+    # a struct keeps its values as they are in pandas, where a column of whole numbers with a null would not
+    packed = timed.select(F.col(key).alias("_key"), "_us", "_at", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*attempts.columns).alias("_row"))
+    by = ["_us", *[f"_o{i}" for i in range(len(order))]]
     schema = T.StructType(
-        [*timed.schema.fields, T.StructField("_start", T.LongType()), T.StructField("attempt_no", T.LongType())]
+        [packed.schema["_row"], T.StructField("_us", T.LongType()), T.StructField("_start", T.LongType()), T.StructField("attempt_no", T.LongType())]
     )
 
     def number(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,21 +62,27 @@ def throttle_stream(
             state.remove()
             return
         start, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["_us", *order], kind="stable")
-        starts, numbers, start, count = number_sorted(rows["_us"].to_numpy(dtype="int64"), width, start, count)
-        state.update((start, count))
-        if idle_seconds is not None:
-            state.setTimeoutDuration(idle_seconds * 1000)
-        yield rows.assign(_start=starts, attempt_no=numbers)
-
-    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
-    numbered = timed.groupBy(key).applyInPandasWithState(number, schema, "start bigint, count bigint", "append", timeout)
+        rows = pd.concat(list(batches)).sort_values(by, kind="stable", na_position="first")
+        timed_rows = rows[rows["_us"].notna()]
+        starts, numbers, start, count = number_sorted(timed_rows["_us"].to_numpy(dtype="int64"), width, start, count)
+        if start is not None:
+            state.update((start, count))
+            state.setTimeoutTimestamp(max((start + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        out = pd.DataFrame({"_row": timed_rows["_row"], "_us": timed_rows["_us"].astype("int64"), "_start": starts, "attempt_no": numbers})
+        yield out
+        none = rows[rows["_us"].isna()]
+        if len(none):
+            yield pd.DataFrame({"_row": none["_row"], "_us": None, "_start": None, "attempt_no": None})
+
+    timeout = GroupStateTimeout.EventTimeTimeout
+    numbered = packed.groupBy("_key").applyInPandasWithState(number, schema, "start bigint, count bigint", "append", timeout)
+    numbered = numbered.select("_row.*", "_us", "_start", "attempt_no")
     back = F.make_dt_interval(secs=((F.col("_us") - F.col("_start")) / 1_000_000).cast("decimal(18,6)"))
     return numbered.select(
         *attempts.columns,
         (F.col(ts) - back).alias("window_start"),
         "attempt_no",
-        (F.col("attempt_no") > maximum).alias("throttled"),
+        F.coalesce(F.col("attempt_no") > maximum, F.lit(False)).alias("throttled"),
     )
 
 
@@ -85,24 +95,24 @@ def throttle_batches(
     checkpoint: str,
     window_seconds: int = WINDOW_SECONDS,
     maximum: int = MAX_ATTEMPTS,
-    hot_rows: int = HOT_ROWS,
+    keep_seconds: int = KEEP_SECONDS,
     **trigger,
 ) -> StreamingQuery:
     """Numbered attempts under `root`/attempts, one folder per micro-batch, open windows beside them.
 
-    A batch reads the windows of the batch before and writes its own version,
-    so running it again gives the same files.
+    A batch reads the windows of the batch before and writes its own version, so running it again gives the
+    same files.  Windows that opened `keep_seconds` before the newest attempt seen are dropped.
     """
 
     def decide(batch: DataFrame, number: int) -> None:
         spark, version = batch.sparkSession, f"{number:010d}"
         before = version_before(spark, root, "windows", version)
         windows = spark.read.parquet(f"{root}/windows/version={before}") if before else None
-        numbered = throttle_attempts(batch, key, ts, order, window_seconds, maximum, hot_rows, windows)
+        numbered = throttle_attempts(batch, key, ts, order, window_seconds, maximum, windows)
         numbered.write.mode("overwrite").parquet(f"{root}/attempts/batch={version}")
         # Read back, so that the attempts are numbered once.
         done = spark.read.schema(numbered.schema).parquet(f"{root}/attempts/batch={version}")
-        last_windows(done, key, windows).write.mode("overwrite").parquet(f"{root}/windows/version={version}")
+        last_windows(done, key, windows, max(keep_seconds, window_seconds)).write.mode("overwrite").parquet(f"{root}/windows/version={version}")
 
     return (
         attempts.writeStream.foreachBatch(decide)

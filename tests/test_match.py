@@ -20,19 +20,21 @@ def rule(id, med, gene, phenotype, level, status="approved"):
     return (id, med, gene, phenotype, level, f"p-{id}", f"c-{id}", f"a-{id}", "CPIC", status)
 
 
-def decide(spark, requests, patients, meds, rules, pgx, plan="auto"):
-    out = M.match_risk(
+def tables_of(spark, requests, patients, meds, rules, pgx):
+    return (
         spark.createDataFrame(requests, "patient_id string, medication_id string"),
         spark.createDataFrame([(p,) for p in patients], "id string"),
         spark.createDataFrame([(m, f"g-{m}", None, None, a) for m, a in meds], MEDS),
         spark.createDataFrame(rules, RULES),
         spark.createDataFrame(pgx, PGX),
-        plan,
     )
-    return out
 
 
-def one(spark, request, *args, plan="auto"):
+def decide(spark, requests, patients, meds, rules, pgx, plan="array"):
+    return M.match_risk(*tables_of(spark, requests, patients, meds, rules, pgx), plan)
+
+
+def one(spark, request, *args, plan="array"):
     return decide(spark, [request], *args, plan=plan).first()
 
 
@@ -71,7 +73,7 @@ def test_branches(spark, plan, request_, rules, pgx, branch, message, genes):
 
 def test_stored_text_of_a_missing_gene_is_the_message(spark):
     out = decide(spark, [("p1", "m1")], PAT, MED, [POOR], [("x", "p1", "TPMT", "y", 1)])
-    shown, kept = out.first(), M.risk_history_rows(out, "run", F.current_timestamp()).first()
+    shown, kept = out.first(), M.risk_history_rows(out, "run", F.current_timestamp(), ["patient_id", "medication_id"]).first()
     assert shown.clinician_summary == D.INSUFFICIENT_CLINICIAN
     assert kept.clinician_summary == "Missing CYP2C19 PGx result for this medication."
     assert (kept.pgx_result_id, kept.rule_id, kept.risk_level) == (None, None, "insufficient_data")
@@ -84,13 +86,41 @@ def test_two_matches_rank_by_risk(spark):
     got = out.first()
     assert (got.risk_level, got.gene, got.rule_id, got.pgx_result_id) == ("caution", "SLCO1B1", "r2", "x2")
     assert [m.rule_id for m in got.matches] == ["r2", "r1"] and got.patient_summary == "p-r2"
-    kept = M.risk_history_rows(out, "run", F.current_timestamp()).collect()
+    kept = M.risk_history_rows(out, "run", F.current_timestamp(), ["patient_id", "medication_id"]).collect()
     assert {r.rule_id for r in kept} == {"r1", "r2"} and len({r.id for r in kept}) == 2
 
 
 def test_unsupported_leaves_no_history(spark):
     out = decide(spark, [("", ""), ("p1", "off"), ("no", "m1")], PAT, MED, [POOR], [])
-    assert M.risk_history_rows(out, "run", F.current_timestamp()).count() == 0
+    assert M.risk_history_rows(out, "run", F.current_timestamp(), ["patient_id", "medication_id"]).count() == 0
+
+
+def test_history_of_equal_and_padded_requests(spark):
+    """Two requests for one pair have different ids; ids are those that the decision is about."""
+    pgx = [("x1", "p1", "CYP2C19", "poor metabolizer", 1)]
+    for plan in ("array", "rows"):
+        out = decide(spark, [(" p1 ", "m1"), ("p1", " m1")], PAT, MED, [POOR], pgx, plan=plan)
+        kept = M.risk_history_rows(out, "run", F.current_timestamp(), ["patient_id", "medication_id"]).collect()
+        assert {(r.patient_id, r.medication_id) for r in kept} == {("p1", "m1")}
+        assert len({r.id for r in kept}) == len(kept) == 2
+
+
+def test_stream_sees_results_stored_between_batches(spark, tmp_path):
+    from allelegate.sources.tables import read_risk_results
+    from allelegate.streaming.match import keep_history
+
+    requests, patients, meds, rules, none = tables_of(spark, [("p1", "m1")], PAT, MED, [POOR], [])
+    _, _, _, _, stored = tables_of(spark, [("p1", "m1")], PAT, MED, [POOR], [("x1", "p1", "CYP2C19", "poor metabolizer", 1)])
+    now = {"pgx": none}
+    landed, path, log = (str(tmp_path / n) for n in ("landed", "history", "log"))
+    for results in (none, stored):
+        now["pgx"] = results
+        requests.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(requests.schema).parquet(landed)
+        keep_history(stream, lambda: (patients, meds, rules, now["pgx"]), path, log, ["patient_id"]).awaitTermination()
+    rows = {r.run_id: r for r in read_risk_results(spark, path).collect()}
+    assert [rows[k].rule_id for k in sorted(rows)] == [None, "r1"]
+    assert len({r.created_at for r in rows.values()}) == 2
 
 
 def brute(request, patients, meds, rules, pgx):
@@ -126,7 +156,7 @@ def brute(request, patients, meds, rules, pgx):
     return ("matched", [], [h[1:] for h in sorted(hits)]) if hits else ("no_match", [], [])
 
 
-@pytest.mark.parametrize("plan", ["array", "rows", "auto"])
+@pytest.mark.parametrize("plan", ["array", "rows"])
 def test_random_data_matches_a_loop(spark, plan):
     rng = random.Random(11)
     genes, phenos = ["CYP2C19", "cyp2c19 ", "SLCO1B1", "TPMT", " "], ["poor", "Poor ", "normal", ""]

@@ -133,6 +133,8 @@ def test_history_of_a_run_is_replaced_not_doubled(spark, tmp_path):
     rows = spark.createDataFrame([("h1", "p")], "id string, patient_id string")
     for run in ("a", "a", "b"):
         tables.append_risk_results(rows, path, "2026-01-01", run)
+    tables.append_risk_results(rows, path, "2026-01-01", "c")
+    tables.append_risk_results(rows.limit(0), path, "2026-01-01", "c")
     assert sorted(r.run_id for r in tables.read_risk_results(spark, path).collect()) == ["a", "b"]
 
 

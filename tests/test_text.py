@@ -79,3 +79,9 @@ def test_stable_ids(spark):
     df = spark.createDataFrame([(1, "a")], "x int, y string")
     first, again = (df.select(X.stable_id(F.lit("k"), "x", "y")).first()[0] for _ in range(2))
     assert first == again
+
+
+def test_parts_of_an_id_do_not_run_into_each_other(spark):
+    rows = [("A|B", "C"), ("A", "B|C"), ("A\\", "|B|C"), ("A|B|C", None), (None, "A|B|C"), ("A|B|C", ""), ("A|B|C", "\\N"), ("A\\|B", "C")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(X.stable_id("x", "y")).distinct().count() == len(rows)
