@@ -96,20 +96,20 @@ def medication_faults(required: DataFrame, meds: DataFrame) -> DataFrame:
 
 
 def audit_coverage(
-    required_meds: DataFrame, required_rules: DataFrame, meds: DataFrame, rules: DataFrame, existing: DataFrame | None = None
+    required_meds: DataFrame, required_rules: DataFrame, meds: DataFrame, rules: DataFrame, existing: DataFrame
 ) -> DataFrame:
-    """Passed and failed checks as (kind, message) rows.
+    """Passed and failed checks as (kind, message) rows, and one row `ok` that says whether none failed.
 
-    Missing tables end the audit.  The counts behind the pass rows are single
+    `existing` names the tables that there are; missing ones end the audit.  The counts behind the pass rows are single
     aggregates, so nothing is gathered.
     """
     spark = meds.sparkSession
-    if existing is not None:
-        gaps = [r.name for r in missing_tables(existing).collect()]
-        if gaps:
-            return spark.createDataFrame(
-                [("failure", f"Missing required tables: {', '.join(gaps)}")], "kind string, message string"
-            )
+    # at most as many names as there are required tables
+    gaps = [r.name for r in missing_tables(existing).collect()]
+    if gaps:
+        return spark.createDataFrame(
+            [("failure", f"Missing required tables: {', '.join(gaps)}"), ("ok", "false")], "kind string, message string"
+        )
     med_faults = medication_faults(required_meds, meds)
     keys = ["generic_name", "gene", "phenotype"]
     have = rules_with_medication(rules, meds).distinct().withColumn("_have", F.lit(True))
@@ -131,4 +131,6 @@ def audit_coverage(
         ).alias("message"),
     )
     parts = [tables_passed, meds_passed, rules_passed, med_faults.select("kind", "message"), rule_faults]
-    return reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, parts)
+    ok = found.agg((F.count_if(F.col("kind") == "failure") == 0).cast("string").alias("message"))
+    return found.unionByName(ok.select(F.lit("ok").alias("kind"), "message"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelegate.functions.text import latest, merged_notes, stable_id
+from allelegate.operators.audit import check_unique
 from allelegate.operators.merge import merge_on
 from allelegate.plans.schemas import REFERENCES
 
@@ -120,7 +121,11 @@ def drop_duplicates_of(patients: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def consolidate_patients(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All four tables after every user keeps one patient."""
+    """All four tables after every user keeps one patient.
+
+    Under `shared_users` are users that still have several, which must be none before the user of a patient
+    can be made unique.
+    """
     patients = tables["patients"]
     mapping = canonical_patient(patients)
     out = dict(tables)
@@ -128,6 +133,7 @@ def consolidate_patients(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out["patient_medications"] = merge_list(tables["patient_medications"], mapping)
     out["risk_results"] = repoint_history(tables["risk_results"], mapping, tables["pgx_results"])
     out["patients"] = drop_duplicates_of(patients, mapping)
+    out["shared_users"] = check_unique(out["patients"], ["user_id"])
     return out
 
 

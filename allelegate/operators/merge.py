@@ -19,7 +19,7 @@ from allelegate.functions.text import (
     token_hash,
     trim_all,
 )
-from allelegate.operators.staging import checked
+from allelegate.operators.staging import checked, invalid_reason
 from allelegate.plans import domains as D
 
 
@@ -43,11 +43,18 @@ def merge_on(target: DataFrame, incoming: DataFrame, keys: list[str], columns: d
     )
 
 
-def upsert_medications(target: DataFrame, incoming: DataFrame, order: list[str], run_ts: Column) -> DataFrame:
+def upsert_medications(target: DataFrame, incoming: DataFrame, order: list[str], run_ts: Column, strict: bool = True) -> DataFrame:
     """Stored medications with the staged ones: names fill in, and every named one becomes active.
 
-    `incoming` holds staged rules; their `medication_generic_name` is the key.
+    `incoming` holds staged rules; their `medication_generic_name` is the key.  A rule whose level or state is not
+    allowed names no medication: it fails the merge, or, if not `strict`, is left out.
     """
+    reason = invalid_reason("risk_level", "review_status")
+    if strict:
+        name = F.col("medication_generic_name")
+        incoming = incoming.withColumn("medication_generic_name", F.when(reason.isNull(), name).otherwise(F.raise_error(reason).cast("string")))
+    else:
+        incoming = incoming.where(reason.isNull())
     latest = incoming.groupBy(F.col("medication_generic_name").alias("generic_name")).agg(
         last_value("brand_name", order).alias("brand_name"), last_value("drug_class", order).alias("drug_class")
     )

@@ -104,8 +104,8 @@ AUDIT = f"""
     with {HAVE},
     stored as (select *, row_number() over (partition by lower(generic_name) order by generic_name desc) as rn from fx_meds),
     met as (select q.*, s.id, s.brand_name as stored_brand, s.is_active
-      from fx_required_meds q left join stored s on lower(s.generic_name) = q.generic_name and s.rn = 1)
-    select 'passed' as kind, 'Required tables exist.' as message
+      from fx_required_meds q left join stored s on lower(s.generic_name) = q.generic_name and s.rn = 1),
+    said as (select 'passed' as kind, 'Required tables exist.' as message
     union all select 'passed', 'MVP medications exist with active rows and IDs.'
       where not exists (select 1 from met where id is null)
     union all select 'passed', concat('Required MVP drug-gene rules exist (',
@@ -117,14 +117,37 @@ AUDIT = f"""
     union all select 'failure', concat('Medication is not active: ', generic_name, ' / ', brand_name)
       from met where id is not null and not is_active
     union all select 'failure', concat('Missing MVP drug-gene rule: ', generic_name, ' + ', gene, ' ', phenotype)
-      from rule_faults"""
+      from rule_faults)
+    select * from said
+    union all select 'ok', case when count(*) filter (where kind = 'failure') = 0 then 'true' else 'false' end from said"""
+
+
+def audited(spark, sf, without: str | None = None) -> DataFrame:
+    """Names of the tables in the session's catalog, where each required one stands for the driver's view of it."""
+    sources = {
+        "users": "fx_users", "medications": "fx_meds", "drug_gene_rules": "fx_rules", "patients": "fx_patients",
+        "patient_medications": "fx_list", "user_sessions": "fx_sessions", "pgx_results": "fx_pgx", "risk_results": "fx_history",
+    }
+    for name, source in sources.items():
+        view(spark, sf, source).createOrReplaceTempView(name)
+    if without:
+        spark.catalog.dropTempView(without)
+    return A.existing_tables(spark)
 
 
 @query("audit_coverage", AUDIT)
 def audit_coverage(spark, sf):
-    return A.audit_coverage(
-        *[view(spark, sf, v) for v in ("fx_required_meds", "fx_required_rules", "fx_meds", "fx_rules")]
-    )
+    views = [view(spark, sf, v) for v in ("fx_required_meds", "fx_required_rules", "fx_meds", "fx_rules")]
+    return A.audit_coverage(*views, audited(spark, sf))
+
+
+@query(
+    "audit_missing_table",
+    "select 'failure' as kind, 'Missing required tables: user_sessions' as message union all select 'ok', 'false'",
+)
+def audit_missing_table(spark, sf):
+    views = [view(spark, sf, v) for v in ("fx_required_meds", "fx_required_rules", "fx_meds", "fx_rules")]
+    return A.audit_coverage(*views, audited(spark, sf, without="user_sessions"))
 
 
 # The stored rules audited against themselves: nothing is missing, so both pass rows show.
@@ -141,9 +164,11 @@ FULL_RULES = """
         union all select 'passed', concat('Required MVP drug-gene rules exist (',
           cast((select count(*) from ({FULL_RULES}) t) as varchar), ' phenotype rules).')
         union all select 'failure', concat('Medication is not active: ', lower(generic_name), ' / ', coalesce(brand_name, ''))
-          from fx_meds where not is_active""",
+          from fx_meds where not is_active
+        union all select 'ok', case when count(*) = 0 then 'true' else 'false' end from fx_meds where not is_active""",
 )
 def audit_complete(spark, sf):
     return A.audit_coverage(
-        read_sql(spark, sf, FULL_MEDS), read_sql(spark, sf, FULL_RULES), view(spark, sf, "fx_meds"), view(spark, sf, "fx_rules")
+        read_sql(spark, sf, FULL_MEDS), read_sql(spark, sf, FULL_RULES), view(spark, sf, "fx_meds"), view(spark, sf, "fx_rules"),
+        audited(spark, sf),
     )

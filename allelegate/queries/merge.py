@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from allelegate.operators import consolidate as C
 from allelegate.operators import merge as G
+from allelegate.operators.audit import check_unique
 from allelegate.operators.ingest import run_ingest as ingest
 from allelegate.plans.fixtures import read_sql, view
 from allelegate.queries import query
@@ -261,6 +262,19 @@ def remaining_patients(spark, sf):
     return C.consolidate_patients(tables(spark, sf))["patients"]
 
 
+@query(
+    "shared_users",
+    "select 'before' as state, count(*) as n from (select user_id from fx_patients where user_id is not null group by user_id having count(*) > 1) t "
+    "union all select 'after', 0",
+)
+def shared_users(spark, sf):
+    """Users with several patients before and after consolidation."""
+    before = check_unique(tables(spark, sf)["patients"], ["user_id"])
+    after = C.consolidate_patients(tables(spark, sf))["shared_users"]
+    count = lambda df, state: df.agg(F.lit(state).alias("state"), F.count("*").alias("n"))
+    return count(before, "before").unionByName(count(after, "after"))
+
+
 # Patients whose name ends in 7 leave; everything they own goes with them.
 LEAVING = "select id from fx_patients where first_name like '%7'"
 

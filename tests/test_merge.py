@@ -130,3 +130,14 @@ def test_deletes_follow_references(spark):
     tables["medications"] = spark.createDataFrame([("m1",), ("m2",)], "id string")
     out = C.cascade_delete(tables, "medications", spark.createDataFrame([("m1",), ("m2",)], "id string"))
     assert [r.id for r in out["medications"].collect()] == ["m1"] and [r.id for r in out["restricted"].collect()] == ["m1"]
+
+
+def test_invalid_rules_name_no_medication(spark):
+    good = ("new", "b", "c", "g", "p", "caution", "p", "c", "a", "e", "u", "v", "approved", 0)
+    bad = ("odd", *good[1:5], "nonsense", *good[6:])
+    staged = spark.createDataFrame([good, bad], ", ".join(f"{c} string" for c in STAGED_COLUMNS) + ", n int")
+    at = F.lit(RUN).cast("timestamp")
+    merge = lambda strict: G.upsert_medications(frame(spark, "medications", []), staged, ["n"], at, strict)
+    assert [r.generic_name for r in merge(False).collect()] == ["new"]
+    with pytest.raises(Exception, match="Invalid risk level: nonsense"):
+        merge(True).collect()

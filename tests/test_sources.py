@@ -144,14 +144,15 @@ def test_audit_of_an_empty_and_a_seeded_store(spark):
     names = [m for m in D.MEDICATION_ALIASES if m[0] == m[1]]
     want_meds = spark.createDataFrame([(m[1], m[2]) for m in names], "generic_name string, brand_name string")
     want_rules = spark.createDataFrame([s[:3] for s in D.CURATED], "generic_name string, gene string, phenotype string")
-    got = {r.message for r in A.audit_coverage(want_meds, want_rules, none_meds, none_rules).collect()}
+    all_there = spark.createDataFrame([(t,) for t in D.REQUIRED_TABLES], "name string")
+    got = {r.message for r in A.audit_coverage(want_meds, want_rules, none_meds, none_rules, all_there).collect()}
     assert "Missing MVP medication: clopidogrel / Plavix" in got
-    assert "Missing MVP drug-gene rule: simvastatin + SLCO1B1 poor function" in got and len(got) == 18
+    assert "Missing MVP drug-gene rule: simvastatin + SLCO1B1 poor function" in got and len(got) == 19 and "false" in got
     meds = spark.createDataFrame([(m[1], m[1].upper(), m[2].lower(), True) for m in names], none_meds.schema)
     rules = spark.createDataFrame([(str(i), s[0], s[1].lower(), s[2].upper()) for i, s in enumerate(D.CURATED)], none_rules.schema)
-    got = {(r.kind, r.message) for r in A.audit_coverage(want_meds, want_rules, meds, rules).collect()}
+    got = {(r.kind, r.message) for r in A.audit_coverage(want_meds, want_rules, meds, rules, all_there).collect()}
     assert got == {("passed", "Required tables exist."), ("passed", "MVP medications exist with active rows and IDs."),
-                   ("passed", "Required MVP drug-gene rules exist (14 phenotype rules).")}
+                   ("passed", "Required MVP drug-gene rules exist (14 phenotype rules)."), ("ok", "true")}
     existing = spark.createDataFrame([("users",)], "name string")
     assert A.audit_coverage(want_meds, want_rules, meds, rules, existing).first().message == (
         "Missing required tables: medications, drug_gene_rules, patients, patient_medications, user_sessions, pgx_results, risk_results")
