@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelegate.llm.tables import computed, per_worker
-from allelegate.llm.words import WordHashes, gram_hashes
+from allelegate.llm.words import MIX, WordHashes
 
 N = 3
 MATCH, MISS, GAP = 2, -1, -1
 COMMON = 1e-3
 LEAST = 0.45
 BLOCK_WORDS = 500_000
+MAP_BITS = 22
 
 ASCII_SIGNS = bytes(32 if chr(b) in string.punctuation or b < 32 else b for b in range(256))
 OTHER_SIGNS = re.compile("[\u0080-©«-´¶-¹»-¿ -⁯←-⯿　-〿]+")
@@ -52,25 +53,43 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(ASCII_SIGNS).split()
 
 
+def windows(words: np.ndarray) -> np.ndarray:
+    """One hash per window of N words; the words' own hashes are spread already."""
+    total = np.zeros(max(0, len(words) - N + 1), np.uint64)
+    for i in range(N):
+        total += words[i : len(words) - N + 1 + i] * MIX[i]
+    return total
+
+
+class Known:
+    """A sorted set of window hashes, with a bit map that rules out most others."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.map = np.zeros(1 << MAP_BITS, bool)
+        self.map[hashes >> np.uint64(64 - MAP_BITS)] = True
+
+    def find(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in `found` that are in the set, and where there."""
+        may = np.flatnonzero(self.map[found >> np.uint64(64 - MAP_BITS)])
+        if not len(may):
+            return may, may
+        at = np.searchsorted(self.hashes, found[may])
+        at[at == len(self.hashes)] = 0
+        hit = self.hashes[at] == found[may]
+        return may[hit], at[hit]
+
+
 class Items:
     """A block of benchmark items, their windows and which of these are seeds."""
 
     def __init__(self, ids: list[int | None], words: list[np.ndarray]):
         self.ids, self.words = ids, words
-        grams = [gram_hashes(w, N) if len(w) >= N else np.empty(0, np.uint64) for w in words]
+        grams = [windows(w) for w in words]
         self.grams = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]))
         self.places: dict[int, list[tuple[int, int]]] = {}
         self.rows = [np.searchsorted(self.grams, g) for g in grams]
 
-    def find(self, grams: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in `grams` that are in the sorted `known`, and where there."""
-        if not len(known) or not len(grams):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.searchsorted(known, grams)
-        at[at == len(known)] = 0
-        hit = np.flatnonzero(known[at] == grams)
-        return hit, at[hit]
-
     def choose(self, counts: np.ndarray, documents: int) -> None:
         """Fix the seeds, given how many documents hold each window."""
         chosen: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -81,7 +100,7 @@ class Items:
                     if counts[row] <= bar:
                         chosen[int(row)].append((item, place))
         self.places = dict(chosen)
-        self.seeds = self.grams[sorted(self.places)]
+        self.seeds = Known(self.grams[sorted(self.places)])
         self.seed_rows = np.array(sorted(self.places), np.int64)
 
 
@@ -91,13 +110,14 @@ def counts_in(docs: DataFrame, text: str, items: Items) -> tuple[np.ndarray, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, known = sent.value, per_worker("words", WordHashes)
+        grams = Known(block.grams)
         counts, documents = np.zeros(len(block.grams), np.int64), 0
         for batch in batches:
             documents += batch.num_rows
             for value in batch.column(0).to_pylist():
                 words = known.of(plain_words(value))
                 if len(words) >= N:
-                    _, rows = block.find(gram_hashes(words, N), block.grams)
+                    _, rows = grams.find(windows(words))
                     counts[np.unique(rows)] += 1
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(counts[held], documents))], names=["gram", "n"])
@@ -174,7 +194,7 @@ def _leaks(block: Items, least: float):
             words = known.of(plain_words(value))
             if len(words) < N:
                 continue
-            places, found = block.find(gram_hashes(words, N), block.seeds)
+            places, found = block.seeds.find(windows(words))
             diagonals: dict[int, set[int]] = defaultdict(set)
             for place, seed in zip(places, block.seed_rows[found], strict=True):
                 for item, at in block.places[int(seed)]:
