@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows that a Python worker holds at once; ten times fewer than Spark's own number, because rows carry whole texts.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
