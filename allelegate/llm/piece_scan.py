@@ -37,7 +37,7 @@ START, OTHER = -2, -1
 #: Characters of a chunk; longer texts are encoded in several.
 CHUNK = 1 << 15
 #: Places in a worker's memory of encoded words.
-CACHE = 500_000
+CACHE = 400_000
 
 
 class Pieces:
@@ -96,7 +96,7 @@ class Pieces:
         key = a * len(self.names) + b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
             found = self.pairs[key] = self._apart(self.history(a), self.history(b))
         return found

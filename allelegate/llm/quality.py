@@ -35,7 +35,7 @@ SLICE = 1 << 16
 #: Default bound of the labelled documents that the network sees.
 SAMPLE = 20_000
 #: Places in a worker's memory of token buckets.
-CACHE = 400_000
+CACHE = 250_000
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 

@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Entries of a worker's word cache; past it, words are hashed anew each time.
-CACHE = 400_000
+CACHE = 250_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
