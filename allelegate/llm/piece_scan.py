@@ -34,6 +34,8 @@ from allelegate.llm.tables import computed, per_worker, stored, widths
 
 SPACE = "▁"
 START, OTHER = -2, -1
+#: A word and the signs after it.
+TAIL = re.compile(r"(.*\w)([^\w▁]+)", re.S)
 #: Characters of a chunk; longer texts are encoded in several.
 CHUNK = 1 << 15
 #: Places in a worker's memory of encoded words.
@@ -67,6 +69,7 @@ class Pieces:
         # a character without a piece stands alone, so text splits there as well
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if "\n" in self.ids else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.pairs: dict[int, bool] = {}
+        self.spell = set(self.bytes.values())
         self.made: dict[int, tuple[list, list, list]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -168,6 +171,13 @@ class Pieces:
         found = self.known.get(text)
         if found is not None:
             return found
+        tail = TAIL.fullmatch(text)
+        if tail:
+            # two paths of weight 0 make one if the pieces that meet are compatible
+            left, right = self.unit(tail[1]), self.unit(tail[2])
+            ends = (OTHER if i in self.spell else i for i in (left[-1], right[0]))
+            if self.compatible(*ends):
+                return self.kept(text, left + right)
         pairs, wide, tree = self.pairs, len(self.names), self.tree
         # per place, each piece that ends there on a path of weight 0, with the piece before it
         at: list[dict[int, int]] = [{} for _ in range(len(text) + 1)]
@@ -197,10 +207,12 @@ class Pieces:
         while end:
             path.append(piece)
             end, piece = end - self.size(piece), at[end][piece]
-        found = tuple(self.spelled(text, 0, path[::-1]))
+        return self.kept(text, tuple(self.spelled(text, 0, path[::-1])))
+
+    def kept(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(self.known) < CACHE:
-            self.known[text] = found
-        return found
+            self.known[text] = ids
+        return ids
 
     def spelled(self, text: str, start: int, pieces: list[int]) -> Iterator[int]:
         """Ids of pieces that stand in `text` from `start` on; characters without a piece give their bytes."""
@@ -215,8 +227,9 @@ class Pieces:
         """Ids of a text that is one chunk."""
         out: list[int] = []
         if text:
-            for ids in map(self.unit, self.units.findall(SPACE + text.replace(" ", SPACE))):
-                out += ids
+            known, unit = self.known.get, self.unit
+            for word in self.units.findall(SPACE + text.replace(" ", SPACE)):
+                out += known(word) or unit(word)
         return out
 
     def decode(self, ids) -> str:
