@@ -12,12 +12,15 @@ group is whatever links connect.
    region.  Ranges of the order, not regions, make up a task, so a region of any size
    is spread over tasks.
 3. Inside a region, classes whose remaining values agree well enough become candidates.
-   A small region gives all of these pairs.  A large one first gives, for each class, its
-   best neighbour and the smallest neighbour; once those are confirmed, classes that are
-   already connected need no further pair, and all pairs between unconnected ones follow whose finer
+   A small region gives all of these pairs.  A large one, or one that a task's end may
+   cut, first gives, for each class, its best neighbour and the smallest neighbour in a
+   piece; once those are confirmed, classes that are already connected need no further
+   pair.  All pairs between unconnected ones follow, of each whole region, whose finer
    sketches (one byte for the first shingle of each of BINS ranges of hashes) come near the wanted similarity.
-   Past WIDE classes a region is taken at a greater depth, one more common value at a
-   time, and its parts stay tied by their neighbours in the order.
+   Classes of regions past WIDE are joined instead on their rarest shingles: of two linked
+   sets, the first common shingle in any one order of all shingles stands so early in both
+   that the rest suffices for the wanted similarity.  This misses no link of these classes,
+   and there is no region that is too large for it.
 4. A candidate counts only after the whole texts of both were compared; the finer sketches sort out most that
    would not.
 
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +53,10 @@ VALUES = TREES * DEPTH
 CARRIED = 20
 #: Regions up to this size give all their pairs at once.
 SMALL = 8
-#: Rows of a region that are compared with each other at one depth.
+#: Classes of a region that one task compares with each other; a wider one is joined on rare shingles.
 WIDE = 2048
+#: Bits of a shingle's hash that choose its count; a shared count only makes a shingle look more frequent.
+COUNTED = 18
 #: How far the share of equal carried values may fall below the wanted similarity.
 SLACK = 0.16
 #: Values of the finer sketch, and how many deviations its agreement may fall below the wanted similarity.
@@ -103,9 +109,10 @@ def may_be_linked(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.n
 
 
 class Region:
-    """Classes that agree in their first values, in the order of one tree."""
+    """Classes that agree in their first values, in the order of one tree; `part` if other tasks may have more of them."""
 
-    def __init__(self, columns: dict[str, np.ndarray], start: int, stop: int):
+    def __init__(self, columns: dict[str, np.ndarray], start: int, stop: int, part: bool = False):
+        self.part = part
         self.columns = {k: v[start:stop] for k, v in columns.items()}
         self.ids, self.sizes, self.values = (self.columns[k] for k in ("rep", "size", "key"))
         self.roots = self.columns.get("root")
@@ -142,6 +149,8 @@ class Region:
     def unconnected(self, percent: int) -> np.ndarray:
         """All pairs with different roots that are like in both sketches."""
         parts = []
+        if (self.roots == self.roots[0]).all():
+            return np.empty((0, 2), np.int64)
         fine = self.columns["fine"]
         for start in range(0, len(self), 256):
             stop = min(start + 256, len(self))
@@ -155,19 +164,6 @@ class Region:
                 parts.append(in_order(self.ids[a[near]], self.ids[b[near]]))
         return np.unique(np.concatenate([np.empty((0, 2), np.int64), *parts]), axis=0)
 
-    def narrow(self, depth: int = DEPTH) -> Iterator[Region]:
-        """This region, or where it is wide its parts of a greater depth, without those of one root."""
-        if len(self) < 2 or (self.roots == self.roots[0]).all():
-            return
-        if len(self) <= WIDE or depth >= CARRIED:
-            yield self
-            return
-        cuts = np.flatnonzero(self.values[1:, depth] != self.values[:-1, depth]) + 1
-        for start, stop in zip([0, *cuts], [*cuts, len(self)], strict=True):
-            yield from Region(self.columns, start, stop).narrow(depth + 1)
-        for cut in cuts:  # parts stay tied by their neighbours in the order
-            yield Region(self.columns, max(0, cut - 4), min(len(self), cut + 4))
-
 
 def least_equal(percent: int) -> int:
     return max(1, int(CARRIED * (percent / 100 - SLACK)))
@@ -190,8 +186,9 @@ def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[Region]:
-    """Regions of two or more of the sorted rows; one of more than 4 * WIDE rows comes in overlapping parts."""
+    """Regions of two or more of the sorted rows, the first and the last of any size; one of more than 4 * WIDE rows comes in overlapping parts."""
     rest: dict[str, np.ndarray] = {}
+    first = True
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -200,14 +197,16 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[Region]:
         tree, key = rest["tree"], rest["key"]
         cuts = np.flatnonzero((tree[1:] != tree[:-1]) | (key[1:, :DEPTH] != key[:-1, :DEPTH]).any(axis=1)) + 1
         starts = np.concatenate([[0], cuts])
-        for k in np.flatnonzero(np.diff(starts) > 1):
-            yield Region(rest, starts[k], starts[k + 1])
+        for k in range(len(cuts)):
+            if first or starts[k + 1] - starts[k] > 1:
+                yield Region(rest, starts[k], starts[k + 1], part=first)
+            first = False
         rest = {k: v[starts[-1] :] for k, v in rest.items()}
         while len(rest["tree"]) > 4 * WIDE:
-            yield Region(rest, 0, 4 * WIDE)
+            yield Region(rest, 0, 4 * WIDE, part=True)
             rest = {k: v[3 * WIDE :] for k, v in rest.items()}
-    if rest and len(rest["tree"]) > 1:
-        yield Region(rest, 0, len(rest["tree"]))
+    if rest:
+        yield Region(rest, 0, len(rest["tree"]), part=True)
 
 
 def _rows(pairs: list[np.ndarray], members: list[Region]) -> pa.RecordBatch:
@@ -237,7 +236,7 @@ def _first_round(percent: int):
         for region in _regions(batches):
             for start in range(0, len(region), WIDE):
                 pairs.append(Region(region.columns, start, min(start + WIDE, len(region))).few(percent))
-            if len(region) > SMALL:
+            if region.part or len(region) > SMALL:
                 members.append(region)
             if len(pairs) > 2000 or sum(map(len, members)) > 20_000:
                 yield _rows(pairs, members)
@@ -250,13 +249,76 @@ def _first_round(percent: int):
 def _second_round(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for region in _regions(batches):
-            for part in region.narrow():
-                pairs = part.unconnected(percent)
+            pairs = region.unconnected(percent)
+            if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
+def _counts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = per_worker("words", WordHashes)
+        total = np.zeros(1 << COUNTED, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = shingle_set(known.of(lower_words(text)), words)
+                total += np.bincount((found >> np.uint64(64 - COUNTED)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    return run
+
+
+def _prefixes(words: int, percent: int, sent: Broadcast):
+    """For each set its rarest shingles, as many as may stand before the first one that a linked set shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = per_worker("words", WordHashes)
+        often = sent.value
+        for batch in batches:
+            tokens, left, rows, sizes = [], [], [], []
+            for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = shingle_set(known.of(lower_words(text)), words)
+                if xxhash.xxh3_128_digest(found.tobytes()) != key:  # another text of the same id
+                    found = found[:0]
+                n = len(found)
+                order = np.lexsort((found, often[(found >> np.uint64(64 - COUNTED)).astype(np.int64)]))
+                some = found[order[: n - -(-percent * n // 100) + 1]]
+                tokens.append(some.view(np.int64))
+                left.append(n - np.arange(len(some)))
+                rows.append(len(some))
+                sizes.append(n)
+            take = lambda k: pa.array(np.repeat(batch.column(k).to_numpy(), rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(left)), pa.array(np.repeat(sizes, rows)), take(2), take(3)],
+                names=["token", "left", "n", "rep", "root"],
+            )
+
+    return run
+
+
+def _rare_pairs(docs: DataFrame, wide: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of the classes `wide` (rep, root, _set) with different roots that may be linked; every linked one is among them.
+
+    They are joined on (shingle, root) first, so that classes of one root, however many, meet only those of another.
+    """
+    texts = docs.join(wide, docs["_id"] == wide["rep"]).select("_text", "_set", "rep", "root").distinct()
+    texts = stored(texts, "wide_texts")
+    counts = texts.select("_text").mapInArrow(_counts(words), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << COUNTED, np.int64)  # a fixed number of counts, whatever the size of the input
+    often[counts["at"].to_numpy()] = counts["n"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(often)
+    rare = stored(texts.mapInArrow(_prefixes(words, percent, sent), "token long, left long, n long, rep long, root long"), "rare")
+    # the smaller set of a pair meets the larger one still earlier
+    early = rare.where((100 + percent) * F.col("left") >= 2 * percent * F.col("n"))
+    a, b = (x.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("left", "n", "rep", "root"))) for x, s in ((early, "a"), (rare, "b")))
+    meet = a.select("token", "root_a").distinct().join(b.select("token", "root_b").distinct(), "token").where("root_a <> root_b")
+    both = meet.join(a, ["token", "root_a"]).join(b, ["token", "root_b"]).where("n_a <= n_b")
+    both = both.where((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
+    return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,6 +352,11 @@ def _in_order(rows: DataFrame, tasks: int) -> DataFrame:
     return rows.repartitionByRange(tasks, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
 
+def _whole(rows: DataFrame, tasks: int) -> DataFrame:
+    """Each region in one task."""
+    return rows.repartition(tasks, "tree", F.substring("key", 1, 2 * DEPTH)).sortWithinPartitions("tree", "key", "rep")
+
+
 def _sketched(signs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose finer sketches allow a link."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
@@ -348,13 +415,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     known = classes.join(roots, classes["rep"] == roots["node"], "left").select("rep", F.coalesce("root", "rep").alias("root"), "_set")
     members = first.where("rep is not null").select("tree", "key", "rep", "size").distinct().join(known, "rep")
     region = ["tree", F.substring("key", 1, 2 * DEPTH).alias("region")]
-    mixed = members.select(*region, "root").groupBy("tree", "region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    mixed = mixed.select(F.col("tree").alias("_tree"), "region")
-    open_members = stored(members.join(mixed, (F.col("tree") == F.col("_tree")) & (F.substring("key", 1, 2 * DEPTH) == F.col("region")), "left_semi"), "open")
+    mixed = members.select(*region, "root").groupBy("tree", "region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    mixed = mixed.select(F.col("tree").alias("_tree"), "region", (F.col("n") > WIDE).alias("wide"))
+    open_members = stored(members.join(mixed, (F.col("tree") == F.col("_tree")) & (F.substring("key", 1, 2 * DEPTH) == F.col("region"))).drop("_tree", "region"), "open")
+    wide = open_members.where("wide").select("rep", "root", "_set").distinct()
+    open_members = open_members.where("not wide")
     needed = open_members.select("_set").distinct()
     fine = signs.select("_set", F.col("_fine").alias("fine")).join(needed, "_set", "left_semi").groupBy("_set").agg(F.first("fine").alias("fine"))
     rooted = open_members.join(fine, "_set").select("tree", "key", "rep", "size", "root", "fine")
-    more = _in_order(rooted, tasks).mapInArrow(_second_round(percent), "a long, b long").distinct()
+    more = _whole(rooted, tasks).mapInArrow(_second_round(percent), "a long, b long").distinct()
+    if not wide.isEmpty():
+        more = more.union(_sketched(signs, _rare_pairs(docs, wide, words, percent), percent)).distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
     if not more.isEmpty():
         late = _links(docs, more, words, percent)

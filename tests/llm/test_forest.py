@@ -96,3 +96,79 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(41)} == {0}
     assert {got[100 + i] for i in range(30)} == {100}
     assert got[201] == 200 and got[200] == 200
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+def test_wide_regions_agree_with_all_pairs(spark, monkeypatch, words, percent):
+    """One site template of distinct texts with few near pairs among them: every region is wide."""
+    monkeypatch.setattr(forest, "WIDE", 16)
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        own = base + [f"x{i}y{k}" for k in range(20)]
+        rows.append((i, " ".join(own)))
+        if i % 5 == 0:
+            rows += [(1000 + 10 * i + k, edited(own, rnd, rnd.choice([1, 2, 3, 4]))) for k in range(3)]
+    rows += [(0, "another text for an id that is there"), (0, rows[9][1])]
+    rnd.shuffle(rows)
+    asked = []
+    monkeypatch.setattr(forest, "_rare_pairs", lambda *a, f=forest._rare_pairs: asked.append(1) or f(*a))
+    got = sorted((tuple(r) for r in forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=words, percent=percent).collect()), key=repr)
+    assert asked and got == brute(rows, words, percent)
+
+
+def test_rare_pairs_hold_every_link(spark):
+    """The join alone, without the trees: all linked pairs of a family, and few others."""
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, edited(base + [f"x{i // 3}y{k}" for k in range(25)], rnd, i % 4)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "_id long, _text string")
+    sets = [shingles(t, 3) for _, t in rows]
+    linked = {(a, b) for b in range(len(rows)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    keys = [(i, i, forest.xxhash.xxh3_128_digest(forest.shingle_set(forest.WordHashes().of(forest.lower_words(t)), 3).tobytes())) for i, t in rows]
+    wide = spark.createDataFrame(keys, "rep long, root long, _set binary")
+    got = set(map(tuple, forest._rare_pairs(docs, wide, 3, 85).collect()))
+    assert linked and linked <= got
+    assert len(got) < len(rows) * len(rows) / 20
+
+
+def test_regions_cut_by_the_end_of_a_task_are_whole_in_the_second_round(spark):
+    """More tasks than classes: ranges end inside the regions."""
+    rnd = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, edited(base, rnd, 2)) for i in range(6)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((tuple(r) for r in forest.near_duplicates(docs).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute(rows, 3, 85)
+
+
+def region_rows(n, roots=None):
+    """Classes of one region in the order of a tree; the fourth value tells them apart, the first and the last class have equal sketches."""
+    keys = [forest.np.array([1, 1, 1, k, *range(100 * k, 100 * k + 5), *[7] * 11], ">u2").tobytes() for k in range(n)]
+    rnd = random.Random(n)
+    fine = [rnd.randbytes(forest.BINS) for _ in range(n)]
+    fine[-1] = fine[0]
+    columns = {"tree": forest.pa.array([0] * n, "int32"), "key": forest.pa.array(keys, "binary"), "rep": forest.pa.array(range(n), "int64"), "size": forest.pa.array([600] * n, "int64")}
+    if roots:
+        columns |= {"root": forest.pa.array(roots, "int64"), "fine": forest.pa.array(fine, "binary")}
+    return forest.pa.RecordBatch.from_pydict(columns)
+
+
+def test_pairs_across_a_whole_region(monkeypatch):
+    """Also where the region is wider than WIDE and the two stand far apart in it."""
+    monkeypatch.setattr(forest, "WIDE", 16)
+    found = [(a, b) for out in forest._second_round(85)(iter([region_rows(60, list(range(60)))])) for a, b in zip(*map(list, out.to_pydict().values()), strict=True)]
+    assert (0, 59) in found
+
+
+def test_a_region_at_the_end_of_a_task_goes_on():
+    """Its classes reach the second round, however few of them a task saw."""
+    both = region_rows(4)
+    reps = {r for task in (both.slice(0, 1), both.slice(1)) for out in forest._first_round(85)(iter([task])) for r in out.column("rep").to_pylist() if r is not None}
+    assert reps == {0, 1, 2, 3}
