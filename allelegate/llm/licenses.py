@@ -3,13 +3,15 @@
 A text is cut into sentences, each is normalised and looked up in a table of known licence sentences; what is found
 gives the document's sequence of sentence ids.  A licence rule is an ordered list of ids: it fits if these ids come
 in this order, with others allowed between them.  A rule that another fitting rule contains as a part of its
-list says less, and is left out.
+list says less, and is left out, unless it fits more often than that one in hits of their own: then it also stands elsewhere.
 
 Sentences end at line ends and after . ! ? or ;.  A second cut reads the lines between two blank ones as one paragraph, for texts that
-are wrapped inside sentences.  Only sentences with one of CUES are looked up; every known sentence has one.
+are wrapped inside sentences.  What either cut finds counts, in the order of the text; what both find at one place counts once.  Places are
+counted in letters a to z and digits, which are the same in both cuts.  Only sentences with one of CUES are looked up; every known sentence has one.
 
 Nulls and odd rows: no text, and a text without a known sentence, has an empty sequence and no licence.
-A sentence said again counts again; order is that of the text.
+A sentence said again counts again; order is that of the text.  SQL knows neither the merging of the cuts nor the counting of fits: it
+takes the longer cut, and leaves a contained rule out everywhere.
 """
 
 from __future__ import annotations
@@ -96,18 +98,25 @@ def normalised(value: Column) -> Column:
 
 
 def _known(sentences: Column, table: Column) -> Column:
-    """Ids of the known sentences among some, in order."""
-    cued = F.filter(sentences, lambda s: F.lower(s).rlike(CUES))
-    return F.filter(F.transform(cued, lambda s: F.element_at(table, normalised(s))), lambda i: i.isNotNull())
+    """(at, end, id) of the known sentences among all of a text, in order."""
+    none = F.array().cast("array<struct<at:int,end:int,id:int>>")
+
+    def step(so_far: Column, sentence: Column) -> Column:
+        end = so_far["at"] + F.length(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", ""))
+        id = F.when(F.lower(sentence).rlike(CUES), F.element_at(table, normalised(sentence)))
+        hit = F.array(F.struct(so_far["at"].alias("at"), end.alias("end"), id.alias("id")))
+        return F.struct(end.alias("at"), F.when(id.isNull(), so_far["hits"]).otherwise(F.concat(so_far["hits"], hit)).alias("hits"))
+
+    return F.aggregate(sentences, F.struct(F.lit(0).alias("at"), none.alias("hits")), step, lambda x: x["hits"])
 
 
 def sentence_ids(text: Column) -> Column:
-    """The longer of the two cuts' sequences, the line-wise one if they are equal."""
+    """What the two cuts find, in the order of the text."""
     table = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
     cut = lambda t: F.split(F.regexp_replace(t, ENDS, "$1\n"), "\n")
     by_line, joined = _known(cut(text), table), _known(cut(F.regexp_replace(F.regexp_replace(text, GAP, ". "), WRAP, " ")), table)
-    longer = F.when(F.size(joined) > F.size(by_line), joined).otherwise(by_line)
-    return F.when(F.lower(text).rlike(CUES), longer).otherwise(F.array().cast("array<int>"))
+    both = F.transform(F.array_sort(F.array_union(by_line, joined)), lambda hit: hit["id"])
+    return F.when(F.lower(text).rlike(CUES), both).otherwise(F.array().cast("array<int>"))
 
 
 def _inside(small: list[int], large: list[int]) -> bool:
@@ -119,6 +128,18 @@ def _fits(marks: Column, ids: list[int]) -> Column:
     return marks.like("%" + "%".join(f"<{i}>" for i in ids) + "%")
 
 
+def _times(found: Column, ids: list[int]) -> Column:
+    """How many fits of a rule there are that share no hit; its ids are different."""
+
+    def step(open_: Column, id: Column) -> Column:
+        # open_[k]: fits that have come as far as their k-th id
+        goes = [(id == i) & (F.lit(True) if k == 0 else open_[k - 1] > 0) for k, i in enumerate(ids)]
+        left = [*goes[1:], F.lit(False)]
+        return F.array(*(open_[k] + goes[k].cast("int") - left[k].cast("int") for k in range(len(ids))))
+
+    return F.aggregate(found, F.array(*(F.lit(0) for _ in ids)), step, lambda x: x[len(ids) - 1])
+
+
 def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, sentence_ids, licenses, kinds) of every row; the last two are sorted and joined by commas."""
     rows = docs.select(F.col(id).alias("doc_id"), sentence_ids(F.coalesce(F.col(text), F.lit(""))).alias("_ids"))
@@ -129,7 +150,7 @@ def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         over = [larger for _, _, larger in RULES if _inside(ids, larger)]
         fits = _fits(F.col("_marks"), ids)
         for larger in over:
-            fits = fits & ~_fits(F.col("_marks"), larger)
+            fits = fits & (~_fits(F.col("_marks"), larger) | (_times(F.col("_ids"), ids) > _times(F.col("_ids"), larger)))
         found.append(F.when(fits, F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"))))
     hits = F.filter(F.array(*found), lambda r: r.isNotNull())
     rows = rows.withColumn("_hits", F.when(F.size("_ids") == 0, F.array().cast("array<struct<name:string,kind:string>>")).otherwise(hits))

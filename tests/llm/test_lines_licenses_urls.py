@@ -94,3 +94,22 @@ def test_mined_rules_are_the_frequent_confident_ones(spark):
 
 def test_urls_of_an_empty_table(spark):
     assert url_rules.judged(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
+
+
+def test_licenses_of_mixed_documents(spark):
+    """What either cut finds counts, and a contained rule that also stands elsewhere."""
+    mit = "\n".join(licenses.SENTENCES[i].replace(" software ", " software\n", 1).capitalize() + "." for i in (4, 5, 6))
+    gpl = "This work is licensed under the GNU General\nPublic License version 3."
+    bsd = [". ".join(licenses.SENTENCES[i] for i in ids) + ".\n" for ids in ([24, 25, 26], [24, 25, 26, 27])]
+    rows = [
+        (1, "Licensed under CC BY 4.0\nfurther prose\n\n" + mit, "19,4,5,6", "cc-by-4.0,mit"),
+        (2, "All rights reserved\nmore prose\n\n" + gpl, "1,12", "all-rights-reserved,gpl-3.0"),
+        (3, gpl + "\n\nAll rights reserved\nmore prose", "12,1", "all-rights-reserved,gpl-3.0"),
+        (4, bsd[0] + bsd[1], "24,25,26,24,25,26,27", "bsd-2-clause,bsd-3-clause"),
+        (5, bsd[1] + bsd[0], "24,25,26,27,24,25,26", "bsd-2-clause,bsd-3-clause"),
+        (6, bsd[1] + bsd[1], "24,25,26,27,24,25,26,27", "bsd-3-clause"),
+        (7, "Released under the MIT License.\nReleased under the MIT License.", "2,2", "mit"),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scanned(docs).collect()}
+    assert got == {i: (ids, names) for i, _, ids, names in rows}
