@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from allelegate.llm import decontaminate, forest, html_main, licenses, line_dedup, packed_ids, piece_scan, quality, url_rules, weak_rules
+from pyspark.sql import functions as F
+
+from allelegate.llm import (
+    decontaminate,
+    forest,
+    hard_negatives,
+    html_main,
+    licenses,
+    line_dedup,
+    packed_ids,
+    piece_scan,
+    quality,
+    spelling,
+    token_counts,
+    url_rules,
+    weak_rules,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,3 +106,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scans", licenses.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", hard_negatives.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.select("vec_id", moved.alias("label"), "embedding"), lambda id: id % 50 == 0)
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
