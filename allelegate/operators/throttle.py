@@ -7,20 +7,25 @@ session windows do not fit.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from allelegate.functions.text import match_key
+from allelegate.plans.session import scratch_path
 from allelegate.plans.skew import in_ranges
+from allelegate.plans.window_scan import entering_windows, map_of, map_schema, to_rows
 
 # Window length and maximum of sign-ins and of registrations.
 WINDOW_SECONDS = 15 * 60
 MAX_ATTEMPTS = 5
+#: Rows of a range, which a task holds at once.
+RANGE_ROWS = 500_000
 
 
 def throttle_key(action: str, ip: str, subject: str | None):
@@ -43,9 +48,10 @@ def throttle_attempts(
     """Each attempt with its window start, its number in the window and `throttled`.
 
     `order` breaks ties of equal times.  Attempts are cut into ranges of (key, time), so a key of any size is
-    spread over tasks.  A range needs one thing from the one before it: the window that its first key has open.
-    All ranges are worked on at once, first without it; then those are done again whose entering window turned
-    out different, until none does (a window that opens at the same attempt either way ends the difference).
+    spread over tasks, of about RANGE_ROWS rows each where the session has fewer shuffle partitions than that needs.
+    A range needs one thing from the one before it: the window that its first key has open.  Each range gives a map
+    from that window to the one it leaves open, a scan composes the maps (`plans.window_scan`), and then all ranges
+    are numbered at once.  The number of Spark jobs is the same for any data.
 
     `open_windows` (the key, `start_us`, `count`) holds the last window of keys seen before.  A null key is one
     key; an attempt without time has no window, no number and is not throttled.  Columns pass through as Arrow
@@ -58,9 +64,10 @@ def throttle_attempts(
     else:
         seeds = open_windows.select(F.col(key).alias("_k"), F.col("start_us").alias("_seed"), F.col("count").alias("_seen"))
         seeded = timed.join(seeds, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k").withColumn("_seen", F.coalesce("_seen", F.lit(0)))
+    segments = segments or max(int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(attempts.count() / RANGE_ROWS))
     cut = in_ranges(seeded, [key], ["_us", *order], segments)
     sort = [key, "_us", *order]
-    entering = _entering(cut, sort, width)
+    entering = _entering(cut, sort, width, segments)
     numbered = cut.groupBy("_seg").applyInArrow(_numbering(sort, width, entering), _numbered_schema(cut.schema))
     back = F.make_dt_interval(secs=((F.col("_us") - F.col("_start")) / 1_000_000).cast("decimal(18,6)"))
     return numbered.select(
@@ -144,42 +151,26 @@ def _numbering(sort: list[str], width: int, entering: dict[int, tuple[int, int]]
     return number
 
 
-def _entering(cut: DataFrame, sort: list[str], width: int) -> dict[int, tuple[int, int]]:
+def _maps(sort: list[str], width: int, schema: T.StructType):
+    """The window map of each range."""
+
+    def make(group: tuple, table: pa.Table) -> pa.Table:
+        table, cuts = _in_order(table, sort)
+        keys, a = table.column(sort[0]), cuts[-2]
+        times = table.column("_us")[a:].drop_null().to_numpy()
+        found = map_of(keys[0].as_py(), keys[-1].as_py(), times, width, table.column("_seed")[a].as_py(), table.column("_seen")[a].as_py())
+        return pa.Table.from_batches([to_rows(found, (group[0].as_py(),), schema)])
+
+    return make
+
+
+def _entering(cut: DataFrame, sort: list[str], width: int, ranges: int) -> dict[int, tuple[int, int]]:
     """The window that is open where each range begins, for ranges whose first key goes on from the one before.
 
-    The driver sees one row per range: its first and last key, and the last key's open window.
+    The number of passes does not depend on the data, and the driver sees one row per range.
     """
-    key = T.StructField("first", cut.schema[sort[0]].dataType)
-    schema = T.StructType(
-        [T.StructField("seg", T.IntegerType()), key, T.StructField("last", key.dataType), T.StructField("start", T.LongType()), T.StructField("count", T.LongType())]
-    )
-    kinds = [to_arrow_type(f.dataType) for f in schema]
-    slim = cut.select("_seg", *sort, "_seed", "_seen")
-    entering: dict[int, tuple[int, int]] = {}
-
-    def leaves(rows: DataFrame) -> dict[int, tuple]:
-        known = dict(entering)
-
-        def leave(group: tuple, table: pa.Table) -> pa.Table:
-            table, cuts = _in_order(table, sort)
-            seg, keys = group[0].as_py(), table.column(sort[0])
-            _, _, start, count = _number_range(table, cuts, width, known.get(seg))
-            values = [seg, keys[0].as_py(), keys[-1].as_py(), start, count]
-            return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=schema.names)
-
-        return {r["seg"]: (r["first"], r["last"], r["start"], r["count"]) for r in rows.groupBy("_seg").applyInArrow(leave, schema).collect()}
-
-    left = leaves(slim)
-    while True:
-        changed = []
-        order = sorted(left)
-        for before, seg in zip(order, order[1:], strict=False):
-            _, last, start, count = left[before]
-            if last == left[seg][0] and start is not None and entering.get(seg) != (start, count):
-                entering[seg] = (start, count)
-                # only a range of one key hands on what it was given
-                if left[seg][0] == left[seg][1]:
-                    changed.append(seg)
-        if not changed:
-            return entering
-        left.update(leaves(slim.where(F.col("_seg").isin(changed))))
+    spark, key = cut.sparkSession, cut.schema[sort[0]].dataType
+    schema, path = map_schema(key, ["seg"]), scratch_path(cut.sparkSession, "window_maps")
+    cut.select("_seg", *sort, "_seed", "_seen").groupBy("_seg").applyInArrow(_maps(sort, width, schema), schema).write.parquet(path)
+    maps = spark.read.schema(schema).parquet(path)
+    return {r["seg"]: (r["until"] - width, r["count"]) for r in entering_windows(maps, ranges, key).collect()}
