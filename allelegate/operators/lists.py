@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from allelegate.functions.text import (
     blank_to_null,
@@ -18,7 +20,10 @@ from allelegate.functions.text import (
 )
 from allelegate.operators.match import active_medications
 from allelegate.plans import domains as D
-from allelegate.plans.skew import with_position, with_prior
+from allelegate.plans.item_scan import ItemMaps, held_before, item_map
+from allelegate.plans.range_scan import entering_states
+from allelegate.plans.session import scratch_path
+from allelegate.plans.skew import in_order, in_ranges, segment_count, with_position
 
 IdTest = Callable[[str], Column]
 
@@ -150,91 +155,143 @@ def apply_list_removes(items: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def change_outcomes(
     changes: DataFrame, items: DataFrame, meds: DataFrame, order: list[str],
-    id_test: IdTest = is_uuid,
+    id_test: IdTest = is_uuid, named_by: list[str] | None = None, segments: int | None = None,
 ) -> DataFrame:
-    """Outcome of every change in an ordered mix of adds, updates and removes.
+    """Outcome of every change in an ordered mix of adds, updates and removes, with the item that it touched (`target_id`).
 
-    Whether an item is there before a change depends only on the last good add
-    or remove before it, so no state is folded row by row.
+    An add names a medication, an update or a remove an item by its id.  The item of an add has the id
+    `new_item_id(named_by)`, the columns of `order` by default, so a later change may name it.  An item that has
+    been removed is gone: a change by its id finds nothing, also when the medication is on the list again.
+
+    Each change maps "no item, or the item of some id" to the same, and the state before each one comes from a scan
+    that composes these maps over ranges of the changes (`plans.item_scan`), so a patient with any number of
+    changes is spread over tasks.
     """
     known = active_medications(meds).select(F.col("id").alias("_med"))
-    start = items.select(
-        F.col("patient_id").alias("_tp"), F.col("medication_id").alias("_tm"), F.lit(True).alias("_start")
-    )
+    new_id = new_item_id(named_by or order)
+    by_id = F.col("op").isin("update", "remove")
     clean = changes.withColumns({"status": trim_all("status"), "notes": trim_all("notes")})
-    ids = id_test("patient_id") & id_test("medication_id")
+    # every item that there is or may come to be, with its medication
+    may_be = clean.where("op = 'add'").select(new_id.alias("item_id"), "patient_id", F.col("medication_id").alias("_of"))
+    items_of = items.select(F.col("id").cast("string").alias("item_id"), "patient_id", F.col("medication_id").alias("_of"))
+    items_of = items_of.unionByName(may_be).distinct()
+    held = items.select(F.col("patient_id").alias("_tp"), F.col("medication_id").alias("_tm"), F.col("id").cast("string").alias("_stored"))
     rows = (
         clean.join(known, F.col("medication_id") == F.col("_med"), "left")
-        .join(start, (F.col("patient_id") == F.col("_tp")) & (F.col("medication_id") == F.col("_tm")), "left")
+        .join(items_of, ["item_id", "patient_id"], "left")
+        .select(*clean.columns, "_med", "_of")
+        .withColumn("_on", F.when(by_id, F.col("_of")).otherwise(F.col("medication_id")))
+        .join(held, (F.col("patient_id") == F.col("_tp")) & (F.col("_on") == F.col("_tm")), "left")
         .withColumn(
             "_bad",
-            F.when(~ids | ~F.col("op").isin("add", "update", "remove"), "INVALID_INPUT")
-            .when(
-                (F.col("op") == "update")
-                & ~(in_domain("status", D.LIST_STATUSES) & within_length("notes")),
-                "INVALID_INPUT",
-            )
+            F.when(~id_test("patient_id") | ~F.coalesce(F.col("op").isin("add", "update", "remove"), F.lit(False)), "INVALID_INPUT")
+            .when((F.col("op") == "add") & ~id_test("medication_id"), "INVALID_INPUT")
+            .when(by_id & ~id_test("item_id") & F.col("_of").isNull(), "INVALID_INPUT")
+            .when((F.col("op") == "update") & ~(in_domain("status", D.LIST_STATUSES) & within_length("notes")), "INVALID_INPUT")
             .when((F.col("op") == "add") & F.col("_med").isNull(), "MEDICATION_NOT_FOUND"),
         )
-        .withColumn("notes", blank_to_null("notes"))
-        .withColumn("_sets", F.when(F.col("_bad").isNull() & (F.col("op") != "update"), F.col("op") == "add"))
+        .withColumns(
+            {
+                "notes": blank_to_null("notes"),
+                "_pair": F.to_json(F.struct("patient_id", "_on")),
+                "_adds": F.when(F.col("_bad").isNull() & (F.col("op") == "add"), new_id),
+                "_drops": F.when(F.col("_bad").isNull() & (F.col("op") == "remove"), F.col("item_id").cast("string")),
+            }
+        )
     )
-    rows = with_prior(rows, ["patient_id", "medication_id"], order, "_sets", "_prior")
-    there = F.coalesce("_prior", "_start", F.lit(False))
-    return rows.withColumn(
+    there = F.col("_held").isNotNull()
+    found = F.coalesce(F.col("_held") == F.col("item_id").cast("string"), F.lit(False))
+    with_code = _with_held(rows, order, segments).withColumn(
         "code",
         F.coalesce(
             F.col("_bad"),
             F.when((F.col("op") == "add") & there, "DUPLICATE_MEDICATION")
             .when(F.col("op") == "add", "ADDED")
-            .when(~there, "NOT_FOUND")
+            .when(~found, "NOT_FOUND")
             .when(F.col("op") == "update", "UPDATED")
             .otherwise("REMOVED"),
         ),
-    ).drop("_med", "_tp", "_tm", "_start", "_bad", "_sets", "_prior")
+    )
+    touched = F.when(F.col("code") == "ADDED", F.col("_adds")).when(F.col("code").isin("UPDATED", "REMOVED"), F.col("_held"))
+    return with_code.withColumn("target_id", touched).select(*clean.columns, "code", "target_id")
+
+
+def new_item_id(named_by: list[str]) -> Column:
+    """Id of the item that an add makes, the same on every retry."""
+    return stable_id(F.lit("item"), "patient_id", "medication_id", *named_by)
+
+
+def _with_held(rows: DataFrame, order: list[str], segments: int | None) -> DataFrame:
+    """`rows` with the item that their pair holds before each, `_held`."""
+    spark, kind = rows.sparkSession, ItemMaps()
+    written = scratch_path(spark, "list_changes")
+    rows.write.parquet(written)
+    rows = spark.read.schema(rows.schema).parquet(written)
+    segments = segments or segment_count(rows)
+    cut = in_ranges(rows, ["_pair"], order, segments)
+    sort, schema, path = ["_pair", *order], kind.schema(["seg"]), scratch_path(spark, "item_maps")
+
+    def changes_of(table: pa.Table, a: int, b: int):
+        return zip(table.column("_adds")[a:b].to_pylist(), table.column("_drops")[a:b].to_pylist(), strict=True)
+
+    def make(group: tuple, table: pa.Table) -> pa.Table:
+        table, cuts = in_order(table, sort)
+        keys, a = table.column("_pair"), cuts[-2]
+        found = item_map(keys[0].as_py(), keys[-1].as_py(), table.column("_stored")[a].as_py(), changes_of(table, a, cuts[-1]))
+        return pa.Table.from_batches([kind.rows(found, (group[0].as_py(),), schema)])
+
+    cut.select("_seg", *sort, "_stored", "_adds", "_drops").groupBy("_seg").applyInArrow(make, schema).write.parquet(path)
+    maps = spark.read.schema(schema).parquet(path)
+    # the driver sees one row per range
+    entering = {r["seg"]: r["id"] for r in entering_states(maps, segments, kind).collect()}
+
+    def walk(group: tuple, table: pa.Table) -> pa.Table:
+        table, cuts = in_order(table, sort)
+        seg, held = group[0].as_py(), []
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            start = entering[seg] if k == 0 and seg in entering else table.column("_stored")[a].as_py()
+            held += held_before(start, changes_of(table, a, b))
+        return table.append_column("_held", pa.array(held, pa.string()))
+
+    return cut.groupBy("_seg").applyInArrow(walk, T.StructType([*cut.schema.fields, T.StructField("_held", T.StringType())]))
 
 
 def apply_list_changes(items: DataFrame, outcomes: DataFrame, order: list[str], at: str) -> DataFrame:
     """The list after all changes; `at` is the time column of a change.
 
-    Per pair only the last add, remove and update that took effect matter.
+    An id belongs to one item, from its add to its remove, so the last add, remove and update of each id decide.
     """
     place = F.struct(*order)
 
-    def last(code: str) -> Column:
-        return F.max(F.when(F.col("code") == code, F.struct(place.alias("o"), F.col(at).alias("at"))))
+    def last(code: str, value: Column) -> Column:
+        return F.max_by(value, F.when(F.col("code") == code, place))
 
+    pair = F.struct("patient_id", "medication_id", F.col(at).alias("at"))
     effect = (
-        outcomes.where(F.col("code").isin("ADDED", "UPDATED", "REMOVED"))
-        .groupBy("patient_id", "medication_id")
+        outcomes.where(F.col("target_id").isNotNull())
+        .groupBy(F.col("target_id").alias("_id"))
         .agg(
-            last("ADDED").alias("a"),
-            last("REMOVED").alias("r"),
-            last("UPDATED").alias("u"),
-            F.max_by(F.struct("status", "notes"), F.when(F.col("code") == "UPDATED", place)).alias("v"),
+            last("ADDED", pair).alias("_a"),
+            F.max(F.col("code") == "REMOVED").alias("_gone"),
+            last("UPDATED", F.struct("status", "notes", F.col(at).alias("at"))).alias("_u"),
         )
     )
-    t, e = items.alias("t"), effect.alias("e")
-    on = [F.col("t.patient_id") == F.col("e.patient_id"), F.col("t.medication_id") == F.col("e.medication_id")]
-    added, removed, updated = F.col("e.a.o"), F.col("e.r.o"), F.col("e.u.o")
-    # Still the stored item: never removed.  A fresh one: added after the last remove.
-    fresh = added.isNotNull() & (removed.isNull() | (added > removed))
-    kept = F.col("t.id").isNotNull() & removed.isNull()
-    touched = updated.isNotNull() & (kept | (fresh & (updated > added)))
-    base = lambda c, d: F.when(kept, F.col(f"t.{c}")).otherwise(d)
+    listed = items.withColumn("id", F.col("id").cast("string"))
+    fresh, touched = F.col("_a").isNotNull(), F.col("_u").isNotNull()
+    base = lambda c, d: F.when(fresh, d).otherwise(F.col(c))
     have = set(items.columns)
     return (
-        t.join(e, on, "full_outer")
-        .where(kept | fresh)
+        listed.join(effect, F.col("id") == F.col("_id"), "full_outer")
+        .where(~F.coalesce("_gone", F.lit(False)))
         .select(
-            base("id", stable_id(F.lit("item"), "e.patient_id", "e.medication_id", "e.a.at")).alias("id"),
-            F.coalesce("t.patient_id", "e.patient_id").alias("patient_id"),
-            F.coalesce("t.medication_id", "e.medication_id").alias("medication_id"),
-            F.when(touched, F.col("e.v.status")).otherwise(base("status", F.lit("active"))).alias("status"),
-            F.when(touched, F.col("e.v.notes")).otherwise(base("notes", F.lit(None).cast("string"))).alias("notes"),
-            *[F.when(kept, F.col(f"t.{c}")).alias(c) for c in ("started_at", "stopped_at") if c in have],
-            base("created_at", F.col("e.a.at")).alias("created_at"),
-            F.when(touched, F.col("e.u.at")).otherwise(base("updated_at", F.col("e.a.at"))).alias("updated_at"),
+            F.coalesce("id", "_id").alias("id"),
+            base("patient_id", F.col("_a.patient_id")).alias("patient_id"),
+            base("medication_id", F.col("_a.medication_id")).alias("medication_id"),
+            F.when(touched, F.col("_u.status")).otherwise(base("status", F.lit("active"))).alias("status"),
+            F.when(touched, F.col("_u.notes")).otherwise(base("notes", F.lit(None).cast("string"))).alias("notes"),
+            *[F.when(~fresh, F.col(c)).alias(c) for c in ("started_at", "stopped_at") if c in have],
+            base("created_at", F.col("_a.at")).alias("created_at"),
+            F.when(touched, F.col("_u.at")).otherwise(base("updated_at", F.col("_a.at"))).alias("updated_at"),
         )
     )
 

@@ -7,8 +7,6 @@ session windows do not fit.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,15 +16,13 @@ from pyspark.sql import types as T
 
 from allelegate.functions.text import match_key
 from allelegate.plans.session import scratch_path
-from allelegate.plans.skew import in_ranges
-from allelegate.plans.window_scan import entering_windows, map_of, map_schema, to_rows
+from allelegate.plans.range_scan import entering_states
+from allelegate.plans.skew import in_order, in_ranges, segment_count
+from allelegate.plans.window_scan import WindowMaps, map_of
 
 # Window length and maximum of sign-ins and of registrations.
 WINDOW_SECONDS = 15 * 60
 MAX_ATTEMPTS = 5
-#: Rows of a range, which a task holds at once.
-RANGE_ROWS = 500_000
-
 
 def throttle_key(action: str, ip: str, subject: str | None):
     """Key of a sign-in (with subject) or of a registration (one subject per address)."""
@@ -48,7 +44,7 @@ def throttle_attempts(
     """Each attempt with its window start, its number in the window and `throttled`.
 
     `order` breaks ties of equal times.  Attempts are cut into ranges of (key, time), so a key of any size is
-    spread over tasks, of about RANGE_ROWS rows each where the session has fewer shuffle partitions than that needs.
+    spread over tasks, at least as many as bounded ranges need.
     A range needs one thing from the one before it: the window that its first key has open.  Each range gives a map
     from that window to the one it leaves open, a scan composes the maps (`plans.window_scan`), and then all ranges
     are numbered at once.  The number of Spark jobs is the same for any data.
@@ -64,7 +60,7 @@ def throttle_attempts(
     else:
         seeds = open_windows.select(F.col(key).alias("_k"), F.col("start_us").alias("_seed"), F.col("count").alias("_seen"))
         seeded = timed.join(seeds, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k").withColumn("_seen", F.coalesce("_seen", F.lit(0)))
-    segments = segments or max(int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(attempts.count() / RANGE_ROWS))
+    segments = segments or segment_count(attempts)
     cut = in_ranges(seeded, [key], ["_us", *order], segments)
     sort = [key, "_us", *order]
     entering = _entering(cut, sort, width, segments)
@@ -116,15 +112,6 @@ def _numbered_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("_start", T.LongType()), T.StructField("attempt_no", T.LongType())])
 
 
-def _in_order(table: pa.Table, sort: list[str]) -> tuple[pa.Table, list[int]]:
-    """A range in order, and where its keys begin, with the end."""
-    table = table.take(pc.sort_indices(table, [(c, "ascending") for c in sort], null_placement="at_start"))
-    keys = table.column(sort[0]).combine_chunks()
-    new = pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True).to_numpy(zero_copy_only=False)
-    both_null = pc.and_(keys[1:].is_null(), keys[:-1].is_null()).to_numpy(zero_copy_only=False)
-    return table, [0, *(np.flatnonzero(new & ~both_null) + 1).tolist(), table.num_rows]
-
-
 def _number_range(table: pa.Table, cuts: list[int], width: int, entering: tuple[int, int] | None):
     """Starts, numbers (0: no time) and the last key's open window of a range in order."""
     times = table.column("_us").combine_chunks()
@@ -143,7 +130,7 @@ def _number_range(table: pa.Table, cuts: list[int], width: int, entering: tuple[
 
 def _numbering(sort: list[str], width: int, entering: dict[int, tuple[int, int]]):
     def number(group: tuple, table: pa.Table) -> pa.Table:
-        table, cuts = _in_order(table, sort)
+        table, cuts = in_order(table, sort)
         starts, numbers, _, _ = _number_range(table, cuts, width, entering.get(group[0].as_py()))
         none = numbers == 0
         return table.append_column("_start", pa.array(starts, mask=none)).append_column("attempt_no", pa.array(numbers, mask=none))
@@ -151,15 +138,15 @@ def _numbering(sort: list[str], width: int, entering: dict[int, tuple[int, int]]
     return number
 
 
-def _maps(sort: list[str], width: int, schema: T.StructType):
+def _maps(sort: list[str], width: int, kind: WindowMaps, schema: T.StructType):
     """The window map of each range."""
 
     def make(group: tuple, table: pa.Table) -> pa.Table:
-        table, cuts = _in_order(table, sort)
+        table, cuts = in_order(table, sort)
         keys, a = table.column(sort[0]), cuts[-2]
         times = table.column("_us")[a:].drop_null().to_numpy()
         found = map_of(keys[0].as_py(), keys[-1].as_py(), times, width, table.column("_seed")[a].as_py(), table.column("_seen")[a].as_py())
-        return pa.Table.from_batches([to_rows(found, (group[0].as_py(),), schema)])
+        return pa.Table.from_batches([kind.rows(found, (group[0].as_py(),), schema)])
 
     return make
 
@@ -169,8 +156,8 @@ def _entering(cut: DataFrame, sort: list[str], width: int, ranges: int) -> dict[
 
     The number of passes does not depend on the data, and the driver sees one row per range.
     """
-    spark, key = cut.sparkSession, cut.schema[sort[0]].dataType
-    schema, path = map_schema(key, ["seg"]), scratch_path(cut.sparkSession, "window_maps")
-    cut.select("_seg", *sort, "_seed", "_seen").groupBy("_seg").applyInArrow(_maps(sort, width, schema), schema).write.parquet(path)
+    spark, kind = cut.sparkSession, WindowMaps(cut.schema[sort[0]].dataType)
+    schema, path = kind.schema(["seg"]), scratch_path(spark, "window_maps")
+    cut.select("_seg", *sort, "_seed", "_seen").groupBy("_seg").applyInArrow(_maps(sort, width, kind, schema), schema).write.parquet(path)
     maps = spark.read.schema(schema).parquet(path)
-    return {r["seg"]: (r["until"] - width, r["count"]) for r in entering_windows(maps, ranges, key).collect()}
+    return {r["seg"]: (r["until"] - width, r["count"]) for r in entering_states(maps, ranges, kind).collect()}

@@ -135,6 +135,20 @@ VIEWS = {
           case when value < 5 then '  ' when value < 15 then null
             else concat(' note ', cast(event_id as string), ' ') end as notes
         from events""",
+    # The same changes as a client sends them: two of three updates and removes name the item of the patient's last
+    # add of the medication, if there is one, and the others the item that was there before.
+    "fx_item_changes": """
+        select c.event_id, c.ts, c.patient_id, c.medication_id, c.op, c.status, c.notes,
+          case when c.op in ('update', 'remove') and c.event_id % 3 > 0 and a.event_id is not null
+            then md5(concat_ws('|', 'item', a.patient_id, a.medication_id, cast(a.event_id as string)))
+            else c.item_id end as item_id
+        from (select x.*, max(case when op = 'add' then n end) over (
+                partition by patient_id, medication_id order by n rows between unbounded preceding and 1 preceding) as before
+              from (select y.*, row_number() over (partition by patient_id, medication_id order by ts, event_id) as n
+                from fx_changes y) x) c
+        left join (select z.*, row_number() over (partition by patient_id, medication_id order by ts, event_id) as n
+          from fx_changes z) a
+        on a.patient_id = c.patient_id and a.medication_id = c.medication_id and a.n = c.before""",
     # The list that the changes meet: what a patient viewed before.
     "fx_items": """
         select item_id as id, concat('00000000-0000-4000-8000-', lpad(cast(user_id as string), 12, '0')) as patient_id,

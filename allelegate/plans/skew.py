@@ -7,11 +7,19 @@ carried forward.  There is one plan for every size, and a null key is a key like
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allelegate.plans.session import scratch_path
 
+#: Rows of a range that one task holds at once.
+RANGE_ROWS = 500_000
+
 
 def same_keys(keys: list[str], prefix: str = "_h_") -> Column:
     """Null-safe equality of columns with their renamed counterparts."""
@@ -34,6 +42,20 @@ def in_ranges(df: DataFrame, keys: list[str], order: list[str], segments: int |
     return df.sparkSession.read.schema(cut.schema).parquet(path)
 
 
+def segment_count(df: DataFrame) -> int:
+    """Ranges for work that holds a whole range: as many as other tasks, or as RANGE_ROWS rows each need."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / RANGE_ROWS))
+
+
+def in_order(table: pa.Table, sort: list[str]) -> tuple[pa.Table, list[int]]:
+    """A range in order, and where its keys begin, with the end."""
+    table = table.take(pc.sort_indices(table, [(c, "ascending") for c in sort], null_placement="at_start"))
+    keys = table.column(sort[0]).combine_chunks()
+    new = pc.fill_null(pc.not_equal(keys[1:], keys[:-1]), True).to_numpy(zero_copy_only=False)
+    both_null = pc.and_(keys[1:].is_null(), keys[:-1].is_null()).to_numpy(zero_copy_only=False)
+    return table, [0, *(np.flatnonzero(new & ~both_null) + 1).tolist(), table.num_rows]
+
+
 def _carried(cut: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Join what lies before a range to its rows: one row per (key, range), so no side is skewed."""
     side = totals.select(*[F.col(k).alias(f"_h_{k}") for k in [*keys, "_seg"]], "_base")

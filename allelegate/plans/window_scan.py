@@ -6,25 +6,20 @@ time from which on a new window may open, it depends on the first attempt at or
 chain of openers is fixed, and its last one inside the range comes from doubling the links from each attempt to the
 next opener.  An `until` after the last attempt is handed on, with all attempts counted.
 
-Maps are rows, cut into chunks of CHUNK steps.  The scan has two levels and three passes, whatever the data: the ranges of
-a block (as many as there are blocks) are composed, one task walks over the blocks' maps with the window at hand,
-and each block walks over its ranges.  A map holds the attempts of one key in one window length at most, because no window
-that is open at a key's first attempt of a range lasts longer.
+Maps are rows for `plans.range_scan`, cut into chunks of CHUNK steps.  A map holds the attempts of one key in one window
+length at most, because no window that is open at a key's first attempt of a range lasts longer.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+
+from allelegate.plans.range_scan import Maps, as_batch
 
 CHUNK = 2048
 NO_STEPS = np.empty(0, "int64")
@@ -122,91 +117,33 @@ def map_of(first: Any, last: Any, times: np.ndarray, width: int, start: int | No
     return WindowMap(first, last, fresh, True, len(times), limit, *steps)
 
 
-FIELDS = ["first", "last", "until", "count", "same", "rows", "limit", "breaks", "untils", "counts"]
-
-
-def map_schema(key: T.DataType, places: list[str]) -> T.StructType:
-    steps = T.ArrayType(T.LongType())
-    kinds = [key, key, T.LongType(), T.LongType(), T.BooleanType(), T.LongType(), T.LongType(), steps, steps, steps]
-    return T.StructType([T.StructField(p, T.IntegerType()) for p in [*places, "chunk"]] + [T.StructField(n, k) for n, k in zip(FIELDS, kinds, strict=True)])
+class WindowMaps(Maps):
+    """Window maps as rows of at most CHUNK steps."""
 
+    STEPS = ["breaks", "untils", "counts"]
 
-def to_rows(m: WindowMap, places: tuple[int, ...], schema: T.StructType) -> pa.RecordBatch:
-    """A map as rows of at most CHUNK steps."""
-    head = [m.first, m.last, m.fresh.until, m.fresh.count, m.same, m.rows, m.limit]
-    cuts = range(0, max(len(m.breaks), 1), CHUNK)
-    rows = [[*places, i, *head, *(x[a : a + CHUNK] for x in (m.breaks, m.untils, m.counts))] for i, a in enumerate(cuts)]
-    arrays = [pa.array(column, to_arrow_type(f.dataType)) for column, f in zip(zip(*rows, strict=True), schema, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+    def __init__(self, key: T.DataType):
+        self.key = key
+        self.state = [("until", T.LongType()), ("count", T.LongType())]
 
+    def schema(self, places: list[str]) -> T.StructType:
+        whole, steps = T.LongType(), T.ArrayType(T.LongType())
+        names = [("first", self.key), ("last", self.key), ("until", whole), ("count", whole), ("same", T.BooleanType()), ("rows", whole), ("limit", whole)]
+        names += [(c, steps) for c in self.STEPS]
+        return T.StructType([T.StructField(p, T.IntegerType()) for p in [*places, "chunk"]] + [T.StructField(*n) for n in names])
 
-def from_rows(batches: Iterator[pa.RecordBatch], places: list[str]) -> Iterator[tuple[dict, WindowMap]]:
-    """Maps of rows in the order of `places` and chunk, each with its other columns."""
-    head, steps = None, []
+    def rows(self, m: WindowMap, places: tuple[int, ...], schema: T.StructType) -> pa.RecordBatch:
+        head = [m.first, m.last, m.fresh.until, m.fresh.count, m.same, m.rows, m.limit]
+        cuts = range(0, max(len(m.breaks), 1), CHUNK)
+        return as_batch([[*places, i, *head, *(x[a : a + CHUNK] for x in (m.breaks, m.untils, m.counts))] for i, a in enumerate(cuts)], schema)
 
-    def whole() -> tuple[dict, WindowMap]:
+    def whole(self, head: dict, steps: list[list[pa.ListScalar]]) -> WindowMap:
+        joined = [np.concatenate([x[i].values.to_numpy() for x in steps]) for i in range(3)]
         fresh = Window(head["last"], head["until"], head["count"])
-        joined = [np.concatenate(x) for x in zip(*steps, strict=True)]
-        return head, WindowMap(head["first"], head["last"], fresh, head["same"], head["rows"], head["limit"], *joined)
+        return WindowMap(head["first"], head["last"], fresh, head["same"], head["rows"], head["limit"], *joined)
 
-    for batch in batches:
-        slim = batch.select([c for c in batch.schema.names if c not in FIELDS[-3:]]).to_pylist()
-        for i, row in enumerate(slim):
-            if head is not None and any(row[p] != head[p] for p in places):
-                yield whole()
-                head, steps = None, []
-            head = head or row
-            steps.append([batch.column(c)[i].values.to_numpy() for c in FIELDS[-3:]])
-    if head is not None:
-        yield whole()
+    def pack(self, window: Window) -> tuple | None:
+        return None if window.until is None else (window.until, window.count)
 
-
-def entering_windows(maps: DataFrame, ranges: int, key: T.DataType) -> DataFrame:
-    """(seg, until, count): the open window of each range whose first key goes on from the range before.
-
-    `maps` has the columns of `map_schema(key, ["seg"])`, one map per non-empty range.
-    """
-    size = max(1, math.ceil(math.sqrt(ranges)))
-    placed = maps.withColumn("block", (F.col("seg") / size).cast("int"))
-    block_schema = map_schema(key, ["block"])
-    blocks = placed.repartition(size, "block").sortWithinPartitions("block", "seg", "chunk").mapInArrow(_composed(block_schema), block_schema)
-    window = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("key", key), T.StructField("known", T.LongType()), T.StructField("seen", T.LongType())])
-    before = blocks.repartition(1).sortWithinPartitions("block", "chunk").mapInArrow(_walked(["block"], window), window)
-    out = T.StructType([T.StructField("seg", T.IntegerType()), T.StructField("key", key), T.StructField("until", T.LongType()), T.StructField("count", T.LongType())])
-    ranges_of = placed.join(F.broadcast(before), "block", "left").repartition(size, "block").sortWithinPartitions("block", "seg", "chunk")
-    return ranges_of.mapInArrow(_walked(["block", "seg"], out), out).drop("key")
-
-
-def _composed(schema: T.StructType) -> Callable:
-    """One map per block of the maps of its ranges."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total = None, None
-        for row, m in from_rows(batches, ["block", "seg"]):
-            if total is not None and row["block"] != block:
-                yield to_rows(total, (block,), schema)
-                total = None
-            block, total = row["block"], m if total is None else total.then(m)
-        if total is not None:
-            yield to_rows(total, (block,), schema)
-
-    return run
-
-
-def _walked(places: list[str], schema: T.StructType) -> Callable:
-    """The window before each map that goes on with its key, walking from map to map; blocks may bring one along."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window, block = None, None
-        found: list[tuple] = []
-        for row, m in from_rows(batches, places):
-            if "known" in row and row["block"] != block:
-                block = row["block"]
-                window = Window(row["key"], row["known"], row["seen"]) if row["seen"] is not None else None
-            if window is not None and window.key == m.first and window.until is not None:
-                found.append((row[places[-1]], window.key, window.until, window.count))
-            window = m.after(window)
-        columns = list(zip(*found, strict=True)) if found else [()] * len(schema)
-        yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)], names=schema.names)
-
-    return run
+    def unpack(self, key: Any, until: int, count: int) -> Window:
+        return Window(key, until, count)

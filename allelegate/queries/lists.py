@@ -136,55 +136,61 @@ def list_after_removes(spark, sf):
 
 CHANGES = f"""
     base as (
-      select c.event_id, c.ts, c.patient_id, c.medication_id, c.op, trim(c.status) as status,
-        nullif(trim(coalesce(c.notes, '')), '') as notes, i.id as stored_id,
-        case when not {PATIENT_OK} or c.op not in ('add', 'update', 'remove') then 'INVALID_INPUT'
+      select c.*, trim(c.status) as new_status, nullif(trim(coalesce(c.notes, '')), '') as new_notes, m.id is not null as known,
+        md5(concat_ws('|', 'item', c.patient_id, c.medication_id, cast(c.event_id as varchar))) as new_id
+      from fx_item_changes c left join fx_list_meds m on m.id = c.medication_id and m.is_active),
+    owners as (
+      select id as item_id, patient_id, medication_id as own from fx_items
+      union select new_id, patient_id, medication_id from base where op = 'add'),
+    named as (
+      select b.*, o.own, case when b.op in ('update', 'remove') then o.own else b.medication_id end as med
+      from base b left join owners o on o.item_id = b.item_id and o.patient_id = b.patient_id),
+    checked as (
+      select c.*, case when not {PATIENT_OK} or c.op not in ('add', 'update', 'remove') then 'INVALID_INPUT'
+          when c.op in ('update', 'remove') and own is null and not regexp_full_match(lower(c.item_id), '{UUID}') then 'INVALID_INPUT'
           when c.op = 'update' and not ({STATUS_OK}) then 'INVALID_INPUT'
-          when c.op = 'add' and m.id is null then 'MEDICATION_NOT_FOUND' end as bad
-      from fx_changes c left join fx_list_meds m on m.id = c.medication_id and m.is_active
-      left join fx_items i on i.patient_id = c.patient_id and i.medication_id = c.medication_id),
-    state as (
-      select *, coalesce(last_value(case when bad is null and op <> 'update' then op = 'add' end ignore nulls) over (
-          partition by patient_id, medication_id order by ts, event_id rows between unbounded preceding and 1 preceding),
-          stored_id is not null) as there from base),
+          when c.op = 'add' and not known then 'MEDICATION_NOT_FOUND' end as bad,
+        row_number() over (partition by c.patient_id, c.med order by c.ts, c.event_id) as n
+      from named c),
+    fold as (
+      select k.patient_id, k.med, cast(0 as bigint) as n, i.id as held
+      from (select distinct patient_id, med from checked) k
+      left join fx_items i on i.patient_id = k.patient_id and i.medication_id = k.med
+      union all
+      select c.patient_id, c.med, c.n, case when c.bad is null and c.op = 'add' and f.held is null then c.new_id
+          when c.bad is null and c.op = 'remove' and f.held = c.item_id then null else f.held end
+      from fold f join checked c on c.patient_id = f.patient_id and c.med is not distinct from f.med and c.n = f.n + 1),
     outcome as (
-      select *, coalesce(bad, case when op = 'add' then case when there then 'DUPLICATE_MEDICATION' else 'ADDED' end
-        when not there then 'NOT_FOUND' when op = 'update' then 'UPDATED' else 'REMOVED' end) as code from state)"""
+      select c.*, coalesce(c.bad, case when c.op = 'add' then case when f.held is null then 'ADDED' else 'DUPLICATE_MEDICATION' end
+          when f.held is distinct from c.item_id then 'NOT_FOUND' when c.op = 'update' then 'UPDATED' else 'REMOVED' end) as code
+      from checked c join fold f on c.patient_id = f.patient_id and c.med is not distinct from f.med and c.n = f.n + 1)"""
 
 
 def changed(spark, sf):
-    items = view(spark, sf, "fx_items")
-    return items, L.change_outcomes(view(spark, sf, "fx_changes"), items, view(spark, sf, "fx_list_meds"), ORDER)
+    items, meds = view(spark, sf, "fx_items"), view(spark, sf, "fx_list_meds")
+    return items, L.change_outcomes(view(spark, sf, "fx_item_changes"), items, meds, ORDER, named_by=["event_id"])
 
 
-@query("list_change_outcomes", f"with {CHANGES} select event_id, patient_id, medication_id, op, code from outcome")
+@query("list_change_outcomes", f"with recursive {CHANGES} select event_id, patient_id, medication_id, item_id, op, code from outcome")
 def list_change_outcomes(spark, sf):
-    return changed(spark, sf)[1].select("event_id", "patient_id", "medication_id", "op", "code")
+    return changed(spark, sf)[1].select("event_id", "patient_id", "medication_id", "item_id", "op", "code")
 
 
 @query(
     "list_changes",
-    f"""with {CHANGES},
-        born as (
-          select *, sum(case when code in ('ADDED', 'REMOVED') then 1 else 0 end) over (
-            partition by patient_id, medication_id order by ts, event_id) as life from outcome),
-        lives as (
-          select patient_id, medication_id, life, max(life) over (partition by patient_id, medication_id) as last_life,
-            arg_min(code, (ts, event_id)) as opener, min(ts) as born_at, max(stored_id) as stored_id,
-            max(ts) filter (where code = 'UPDATED') as updated_at,
-            arg_max(status, (ts, event_id)) filter (where code = 'UPDATED') as status,
-            arg_max(coalesce(notes, '#'), (ts, event_id)) filter (where code = 'UPDATED') as notes
-          from born where code in ('ADDED', 'UPDATED', 'REMOVED') group by patient_id, medication_id, life),
-        final as (select * from lives where life = last_life)
-        select coalesce(case when f.life > 0 then md5(concat_ws('|', 'item', f.patient_id, f.medication_id,
-              regexp_replace(cast(f.born_at as varchar), '0+$', ''))) end, i.id) as id,
-          coalesce(i.patient_id, f.patient_id) as patient_id, coalesce(i.medication_id, f.medication_id) as medication_id,
-          coalesce(f.status, case when f.life > 0 then 'active' else i.status end) as status,
-          case when f.status is not null then nullif(f.notes, '#') when f.life > 0 then null else i.notes end as notes,
-          case when f.life > 0 then f.born_at else i.created_at end as created_at,
-          coalesce(f.updated_at, case when f.life > 0 then f.born_at else i.updated_at end) as updated_at
-        from fx_items i full join final f on f.patient_id = i.patient_id and f.medication_id = i.medication_id
-        where f.life is null or f.life = 0 or f.opener = 'ADDED'""",
+    f"""with recursive {CHANGES},
+        listed as (
+          select id, patient_id, medication_id, status, notes, created_at, updated_at from fx_items
+          union all
+          select new_id, patient_id, medication_id, 'active', null, ts, ts from outcome where code = 'ADDED'),
+        updated as (
+          select * from (select item_id, new_status, new_notes, ts, row_number() over (
+              partition by item_id order by ts desc, event_id desc) as rn from outcome where code = 'UPDATED') x where rn = 1)
+        select l.id, l.patient_id, l.medication_id, coalesce(u.new_status, l.status) as status,
+          case when u.item_id is null then l.notes else u.new_notes end as notes, l.created_at,
+          coalesce(u.ts, l.updated_at) as updated_at
+        from listed l left join updated u on u.item_id = l.id
+        where l.id not in (select item_id from outcome where code = 'REMOVED')""",
 )
 def list_changes(spark, sf):
     items, outcomes = changed(spark, sf)

@@ -1,13 +1,18 @@
 """Medication lists, search and profiles."""
 
+import hashlib
+import itertools
 import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from allelegate.operators import lists as L
 from allelegate.operators import search as S
 from allelegate.plans import domains as D
+from allelegate.plans.item_scan import Held, held_before, item_map
 
 ITEMS = "id string, patient_id string, medication_id string, status string, notes string, created_at int, updated_at int"
 any_id = lambda c: F.col(c).isNotNull()
@@ -17,39 +22,115 @@ def meds(spark, rows):
     return spark.createDataFrame(rows, "id string, generic_name string, brand_name string, drug_class string, is_active boolean")
 
 
-def test_ordered_changes_equal_a_fold(spark):
-    rng = random.Random(4)
-    pairs = [("p1", "m1"), ("p1", "m2"), ("p2", "m1"), ("p3", "off")]
-    items = [("i1", "p1", "m1", "past", "n", 0, 0), ("i4", "p3", "off", "past", None, 0, 0)]
-    state = {("p1", "m1"): ["past", "n", 0], ("p3", "off"): ["past", None, 0]}
-    changes, want = [], {}
-    for t in range(1, 90):
-        pair = pairs[0] if rng.random() < 0.4 else rng.choice(pairs)
-        op, status, notes = rng.choice(["add", "update", "remove", "other"]), rng.choice([" active", "past", "gone"]), rng.choice([None, " ", f" t{t} "])
-        changes.append((t, *pair, op, status, notes))
-        clean, kept = status.strip(), (notes or "").strip() or None
-        if op == "other" or (op == "update" and clean == "gone"):
-            want[t] = "INVALID_INPUT"
-        elif op == "add" and pair[1] == "off":
-            want[t] = "MEDICATION_NOT_FOUND"
+def folded(items, changes):
+    """Codes by time and the list at the end, one change after the other, each by the id that it names."""
+    held = {i[0]: [i[1], i[2], i[3], i[4], i[5]] for i in items}
+    codes = {}
+    for t, patient, med, item, op, status, notes in changes:
+        clean, kept = (status or "").strip(), (notes or "").strip() or None
+        own = item in held and held[item][0] == patient
+        if op not in ("add", "update", "remove") or (op != "add" and item is None) or (op == "update" and clean not in ("active", "past", "considering")):
+            codes[t] = "INVALID_INPUT"
+        elif op == "add" and med != "m1" and med != "m2":
+            codes[t] = "MEDICATION_NOT_FOUND"
         elif op == "add":
-            want[t] = "DUPLICATE_MEDICATION" if pair in state else "ADDED"
-            state.setdefault(pair, ["active", None, t])
-        elif pair not in state:
-            want[t] = "NOT_FOUND"
+            there = any(h[0] == patient and h[1] == med for h in held.values())
+            codes[t] = "DUPLICATE_MEDICATION" if there else "ADDED"
+            if not there:
+                held[md5(f"item|{patient}|{med}|{t}")] = [patient, med, "active", None, t]
+        elif not own:
+            codes[t] = "NOT_FOUND"
         elif op == "update":
-            want[t], state[pair][0], state[pair][1] = "UPDATED", clean, kept
+            codes[t] = "UPDATED"
+            held[item][2:4] = [clean, kept]
         else:
-            want[t] = "REMOVED"
-            del state[pair]
-    listed = spark.createDataFrame(items, ITEMS)
-    asked = spark.createDataFrame(changes, "t int, patient_id string, medication_id string, op string, status string, notes string").repartition(3)
+            codes[t] = "REMOVED"
+            del held[item]
+    return codes, held
+
+
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+CHANGE = "t int, patient_id string, medication_id string, item_id string, op string, status string, notes string"
+
+
+def changed(spark, items, changes, segments):
+    listed, asked = spark.createDataFrame(items, ITEMS), spark.createDataFrame(changes, CHANGE).repartition(3)
     known = meds(spark, [("m1", "a", None, None, True), ("m2", "b", None, None, True), ("off", "c", None, None, False)])
-    out = L.change_outcomes(asked, listed, known, ["t"], any_id)
-    assert {r.t: r.code for r in out.collect()} == want
+    out = L.change_outcomes(asked, listed, known, ["t"], any_id, segments=segments)
     final = L.apply_list_changes(listed, out, ["t"], "t").collect()
-    assert {(r.patient_id, r.medication_id): [r.status, r.notes, r.created_at] for r in final} == state
-    assert all(r.id in ("i1", "i4") for r in final if r.created_at == 0)
+    return {r.t: r.code for r in out.collect()}, {r.id: [r.patient_id, r.medication_id, r.status, r.notes, r.created_at] for r in final}
+
+
+@pytest.mark.parametrize("segments", [1, 7, 40])
+def test_ordered_changes_equal_a_fold(spark, segments):
+    rng = random.Random(4)
+    pairs = [("p1", "m1"), ("p1", "m2"), ("p2", "m1"), ("p3", "off")]
+    items = [("i1", "p1", "m1", "past", "n", 0, 0), ("i4", "p3", "off", "past", None, 0, 0)]
+    changes, made = [], {}
+    for t in range(1, 150):
+        patient, med = pairs[0] if rng.random() < 0.4 else rng.choice(pairs)
+        op, status, notes = rng.choice(["add", "update", "remove", "remove", "other"]), rng.choice([" active", "past", "gone", None]), rng.choice([None, " ", f" t{t} "])
+        if op == "add":
+            made.setdefault(patient, []).append(md5(f"item|{patient}|{med}|{t}"))
+        own = made.get(patient, [])
+        # a stored item, one of the last adds, an early one, one that is to come, another patient's, or none
+        item = rng.choice(["i1", "i4", *own[-2:], *own[-2:], *own[:1], md5(f"item|{patient}|{med}|{t + 5}"), *made.get("p2", [])[:1], None])
+        changes.append((t, patient, med, item, op, status, notes))
+    codes, held = folded(items, changes)
+    assert set(codes.values()) == {"INVALID_INPUT", "MEDICATION_NOT_FOUND", "ADDED", "DUPLICATE_MEDICATION", "NOT_FOUND", "UPDATED", "REMOVED"}
+    assert changed(spark, items, changes, segments) == (codes, held)
+
+
+@pytest.mark.parametrize("segments", [1, 3])
+def test_an_old_id_finds_nothing_after_remove_and_add(spark, segments):
+    """An item that was removed is gone, also when its medication is on the list again."""
+    items = [("i1", "p1", "m1", "past", "n", 0, 0)]
+    new = md5("item|p1|m1|2")
+    changes = [
+        (1, "p1", None, "i1", "remove", None, None), (2, "p1", "m1", None, "add", None, None),
+        (3, "p1", None, "i1", "update", "active", "old"), (4, "p1", None, "i1", "remove", None, None),
+        (5, "p2", None, new, "remove", None, None), (6, "p1", None, new, "update", "considering", "new"),
+    ]
+    codes, held = changed(spark, items, changes, segments)
+    assert [codes[t] for t in range(1, 7)] == ["REMOVED", "ADDED", "NOT_FOUND", "NOT_FOUND", "NOT_FOUND", "UPDATED"]
+    assert held == {new: ["p1", "m1", "considering", "new", 2]}
+
+
+def test_changes_take_odd_rows(spark):
+    items = [("i1", "p1", "m1", "past", "n", 0, 0)]
+    changes = [(1, None, None, None, None, None, None), (2, None, "m1", None, "add", None, None), (3, "p1", "m1", None, "add", None, None)]
+    codes, held = changed(spark, items, changes, 2)
+    assert codes == {1: "INVALID_INPUT", 2: "INVALID_INPUT", 3: "DUPLICATE_MEDICATION"}
+    assert held == {"i1": ["p1", "m1", "past", "n", 0]}
+    assert changed(spark, items, [], 2) == ({}, {"i1": ["p1", "m1", "past", "n", 0]})
+
+
+ids = st.sampled_from(["a", "b", "c", "d"])
+
+
+@given(st.lists(st.tuples(ids, st.booleans()), max_size=40), st.sampled_from([None, "a", "b"]), st.randoms())
+def test_maps_of_changes_compose_in_any_bracketing(ops, stored, rng):
+    changes = [(i, None) if add else (None, i) for i, add in ops]
+    after = lambda rows, held: held_before(held, [*rows, (None, None)])[-1]
+    cuts = sorted(rng.sample(range(len(changes) + 1), min(len(changes), rng.randrange(5))))
+    parts = [changes[a:b] for a, b in itertools.pairwise([0, *cuts, len(changes)])]
+    maps = [item_map("k", "k", stored, p) for p in parts]
+
+    def bracketed(some):
+        if len(some) == 1:
+            return some[0]
+        cut = rng.randrange(1, len(some))
+        return bracketed(some[:cut]).then(bracketed(some[cut:]))
+
+    whole = bracketed(maps)
+    for held in (None, "a", "b", "c", "z"):
+        assert whole.after(Held("k", held)).id == after(changes, held)
+    assert maps[0].after(None).id == after(parts[0], stored)
+    other = item_map("j", "j", "c", changes[:3])
+    assert maps[0].then(other).after(Held("k", "a")) == other.fresh
 
 
 def test_adds_updates_removes(spark):

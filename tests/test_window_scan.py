@@ -79,9 +79,9 @@ def test_maps_as_rows(chunk, monkeypatch):
     from pyspark.sql import types as T
 
     monkeypatch.setattr(ws, "CHUNK", chunk)
-    schema = ws.map_schema(T.StringType(), ["seg"])
+    kind = ws.WindowMaps(T.StringType())
     given_maps = maps([[("a", t) for t in range(0, 60, 3)], [("a", 61), ("b", 2)], [("b", 9)]], {"b": (1, 4)})
-    back = [m for _, m in ws.from_rows(iter([ws.to_rows(m, (i,), schema) for i, m in enumerate(given_maps)]), ["seg"])]
+    back = [m for _, m in kind.read(iter([kind.rows(m, (i,), kind.schema(["seg"])) for i, m in enumerate(given_maps)]), ["seg"])]
     for m, n in zip(given_maps, back, strict=True):
         assert (m.first, m.last, m.fresh, m.same, m.rows, m.limit) == (n.first, n.last, n.fresh, n.same, n.rows, n.limit)
         assert all((x == y).all() for x, y in ((m.breaks, n.breaks), (m.untils, n.untils), (m.counts, n.counts)))
