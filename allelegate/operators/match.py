@@ -152,6 +152,18 @@ def match_risk(
     return _decide(facts)
 
 
+def match_profiles(requests: DataFrame, patient_side: DataFrame, medication_side: DataFrame) -> DataFrame:
+    """`match_risk` against profiles that are there already.
+
+    `patient_side` has the columns of `patient_profiles`, for any superset of the genes and pairs that rules use;
+    `medication_side` those of `medication_profiles`.  Ids compare as text.
+    """
+    requests = requests.withColumns(
+        {"_patient": _clean(requests, "patient_id"), "_medication": _clean(requests, "medication_id")}
+    )
+    return _decide(_facts_of_profiles(requests, patient_side, medication_side))
+
+
 def _clean(df: DataFrame, name: str) -> Column:
     """Trimmed id, null when blank; ids that are not text can only be null."""
     if isinstance(df.schema[name].dataType, T.StringType):
@@ -243,10 +255,13 @@ def patient_profiles(patients: DataFrame, rules: DataFrame, pgx: DataFrame) -> D
 
 
 def _facts_by_arrays(requests, patients, meds, rules, pgx) -> DataFrame:
-    meds_side = medication_profiles(meds, rules)
-    joined = requests.join(
-        patient_profiles(patients, rules, pgx), F.col("_patient") == F.col("_patient_id"), "left"
-    ).join(meds_side, F.col("_medication") == F.col("_med_id"), "left")
+    return _facts_of_profiles(requests, patient_profiles(patients, rules, pgx), medication_profiles(meds, rules))
+
+
+def _facts_of_profiles(requests: DataFrame, patient_side: DataFrame, medication_side: DataFrame) -> DataFrame:
+    joined = requests.join(patient_side, F.col("_patient") == F.col("_patient_id"), "left").join(
+        medication_side, F.col("_medication") == F.col("_med_id"), "left"
+    )
     gaps = F.filter("_required", lambda g: ~F.array_contains("_genes", g["key"]))
     hits = F.filter("_rules", lambda r: F.map_contains_key(F.col("_found"), r["pair"]))
     found = F.transform(

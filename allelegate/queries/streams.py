@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ from allelegate.queries import query
 from allelegate.queries.accounts import THROTTLE
 from allelegate.queries.match import DECISION, FLAT, HISTORY, REQ_PLAIN, REQUEST, RUN_TS, flat, inputs, run_ts
 from allelegate.queries.merge import IN_ORDER, UPSERT_PGX
-from allelegate.sources.tables import current_version, load_table, read_risk_results, write_version
+from allelegate.sources.buckets import BucketTable
+from allelegate.sources.tables import read_risk_results
 from allelegate.streaming.apply import apply_stream
 from allelegate.streaming.match import keep_history, match_risk_stream
+from allelegate.streaming.profiles import Profiles
 from allelegate.streaming.throttle import throttle_batches, throttle_stream
 
 
@@ -45,7 +49,10 @@ def match_stream(spark, sf):
     return run_to_table(spark, flat(match_risk_stream(stream, patients, meds, rules, pgx)), "decisions")
 
 
-@query("keep_history", HISTORY.replace("created_at from history", "true as has_time from history").replace(f"timestamp '{RUN_TS}' as created_at", "true as has_time"))
+KEPT = HISTORY.replace("created_at from history", "true as has_time from history").replace(f"timestamp '{RUN_TS}' as created_at", "true as has_time")
+
+
+@query("keep_history", KEPT)
 def history_of_stream(spark, sf):
     """Requests in two slices, decided per micro-batch against tables that are read anew."""
     requests, *_ = inputs(spark, sf)
@@ -57,6 +64,45 @@ def history_of_stream(spark, sf):
     return kept.withColumn("has_time", F.col("created_at").isNotNull()).drop("id", "created_at", "run_date", "run_id")
 
 
+#: Two micro-batches of requests, and the results that are stored before each.
+EARLY, LATE = "line_no <= 2", "(line_no > 2 or line_no is null)"
+FIRST = "id % 3 > 0"
+
+
+def _history_of(requests: str, results: str) -> str:
+    """The history of some requests over some results."""
+    text = re.sub(r"\bfx_requests\b", f"(select * from fx_requests where {requests})", KEPT)
+    return f"select * from ({re.sub(r'\bfx_pgx\b', f'(select * from fx_pgx where {results})', text)}) x"
+
+
+@query("keep_history_by_profiles", f"{_history_of(EARLY, FIRST)} union all {_history_of(LATE, 'true')}")
+def history_by_profiles(spark, sf):
+    """Requests in two slices against stored profiles; a third of the results is stored between the two."""
+    requests, patients, meds, rules, pgx = inputs(spark, sf)
+    root, path, log, more = (scratch_path(spark, n) for n in ("profiles", "history", "history-log", "results-log"))
+    text = lambda df, *names: df.withColumns({c: F.col(c).cast("string") for c in names})
+    pgx = text(pgx, "patient_id")
+    profiles = Profiles.started(root, text(patients, "id"), text(meds, "id"), text(rules, "medication_id"), pgx.where(FIRST))
+    columns = requests.columns
+    asked = text(requests, "patient_id", "medication_id")
+    steps = iter([lambda: None, lambda: _stored_late(spark, profiles, pgx, more)])
+
+    def decide(stream):
+        next(steps)()
+        return profiles.history_stream(stream, path, log, REQUEST)
+
+    in_slices(spark, [asked.where(EARLY), asked.where(LATE)], "requests", decide)
+    kept = read_risk_results(spark, path)
+    plain = {c: F.col(c).cast(requests.schema[c].dataType) for c in columns if c in kept.columns}
+    return kept.withColumns(plain | {"has_time": F.col("created_at").isNotNull()}).drop("id", "created_at", "run_date", "run_id")
+
+
+def _stored_late(spark, profiles: Profiles, pgx: DataFrame, log: str) -> None:
+    union = lambda stored, batch: stored.unionByName(batch)
+    late = pgx.where(f"not ({FIRST})")
+    in_slices(spark, [late], "results", lambda stream: profiles.results_stream(stream, union, log))
+
+
 def attempts_by_week(spark, sf) -> list[DataFrame]:
     return [
         read_sql(spark, sf, f"select * from fx_attempts where {test}")
@@ -91,7 +137,8 @@ def apply_changes(spark, sf):
     """Results entered in two parts by ship date, merged one version after the other."""
     text = lambda df, c: df.withColumn(c, F.col(c).cast("string"))
     root, log = scratch_path(spark, "store"), scratch_path(spark, "store-log")
-    write_version(view(spark, sf, "fx_store_pgx"), root, "pgx_results", "-start")
+    table = BucketTable(spark, root, "pgx_results", "patient_id")
+    table.write(view(spark, sf, "fx_store_pgx"), "-start")
     parts = [
         text(read_sql(spark, sf, f"select * from fx_pgx_in where l_shipdate {test} timestamp '1998-01-01 00:00:00'"), "patient_id")
         for test in ("<", ">=")
@@ -101,9 +148,8 @@ def apply_changes(spark, sf):
     def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
         return G.upsert_pgx(stored, G.checked_results(batch, patients), IN_ORDER, run_ts().cast("timestamp"))
 
-    in_slices(spark, parts, "results", lambda stream: apply_stream(stream, merge, root, "pgx_results", log))
-    final = load_table(spark, root, "pgx_results", current_version(spark, root, "pgx_results"))
-    return final.select(
+    in_slices(spark, parts, "results", lambda stream: apply_stream(stream, merge, table, log))
+    return table.read().select(
         "id",
         F.col("patient_id").cast("bigint").alias("patient_id"),
         "gene",
