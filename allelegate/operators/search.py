@@ -2,87 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelegate.functions.text import trim_all
-from allelegate.operators.match import active_medications
+from allelegate.operators.search_index import SearchIndex, like_pattern, matches
 from allelegate.plans import domains as D
+from allelegate.plans.session import scratch_path
 from allelegate.plans.skew import with_position
 
-GRAM = 3
-
-
-def like_pattern(query: Column | str) -> Column:
-    """`%query%` for `ilike`.
-
-    `%`, `_` and `\\` keep their meaning.  A `\\` before any other character
-    stands for that character, which `ilike` would reject, so it is removed.
-    """
-    q = F.col(query) if isinstance(query, str) else query
-    whole = F.concat(F.lit("%"), q, F.lit("%"))
-    return F.regexp_replace(whole, r"(?s)(\\[%_\\])|\\(.)", "$1$2")
-
-
 def name_contains(meds: DataFrame, query: str) -> DataFrame:
     """Medications whose generic or brand name contains the query text."""
     pattern = F.lit(query)
     rows = meds.withColumn("_pattern", like_pattern(pattern))
-    return rows.where(_matches()).drop("_pattern")
-
-
-def _matches() -> Column:
-    return F.expr("generic_name ilike _pattern or coalesce(brand_name ilike _pattern, false)")
+    return rows.where(matches()).drop("_pattern")
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct substrings of `n` characters; empty when the text is shorter."""
-    last = F.length(text) - n + 1
-    places = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
-
-
-def _name_grams(meds: DataFrame) -> DataFrame:
-    """(id, gram) for all substrings of one to GRAM characters of either name, and '' once."""
-    names = [F.lower(F.coalesce(c, F.lit(""))) for c in ("generic_name", "brand_name")]
-    grams = [_grams(t, n) for t in names for n in range(1, GRAM + 1)]
-    every = F.array_distinct(F.concat(F.array(F.lit("")), *grams))
-    return meds.select("id", F.explode(every).alias("gram"))
-
-
-def search_medications(meds: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
+def search_medications(meds: DataFrame, queries: DataFrame, top: int = 10, index: SearchIndex | None = None) -> DataFrame:
     """First `top` active medications by name for each distinct query text.
 
-    A query without hits, or without text, gives one row with a message.
-    Any name that matches holds the longest plain run of the query, so names
-    and queries meet on a short substring of it, the rarest one, and `ilike`
-    decides.  Equal queries are searched once; each task keeps `top` rows per
-    query before the shuffle.
+    A query without hits, or without text, gives one row with a message.  `index` is a stored index of `meds`
+    (`SearchIndex.built`); without it one is made for these searches.
     """
-    active = active_medications(meds).select("id", "generic_name", "brand_name", "drug_class")
+    index = index or SearchIndex.built(meds, scratch_path(meds.sparkSession, "search_index"))
     asked = queries.select(trim_all("query").alias("query")).distinct()
-    runs = F.split(F.lower("query"), r"(?s)\\.|[%_\\]")
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
-    parsed = asked.where("query <> ''").select(
-        "query", like_pattern("query").alias("_pattern"), longest.alias("_run")
-    )
-    size = F.least(F.length("_run"), F.lit(GRAM))
-    tokens = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_run") - size + 1, F.lit(1))),
-        lambda i: F.substring(F.col("_run"), i, size),
-    )
-    query_grams = parsed.select("query", "_pattern", F.explode(F.array_distinct(tokens)).alias("gram"))
-    index = _name_grams(active)
-    used = query_grams.select("gram").distinct()
-    spread = index.join(used, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
-    best = (
-        query_grams.join(spread, "gram", "left")
-        .groupBy("query", "_pattern")
-        .agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), F.col("gram"))).alias("gram"))
-    )
-    hits = best.join(index, "gram").join(active, "id").where(_matches())
-    by_name = F.row_number().over(Window.partitionBy("query").orderBy("generic_name", "id"))
-    found = hits.withColumn("position", by_name).where(F.col("position") <= top).drop("_pattern", "gram")
+    found = index.search(asked.where("query <> ''"), top)
     return (
         asked.join(found, "query", "left")
         .withColumn("supported", F.col("id").isNotNull())

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import shutil
 
 import pytest
 from hypothesis import given
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from allelegate.operators import lists as L
 from allelegate.operators import search as S
+from allelegate.operators import search_index as X
 from allelegate.plans import domains as D
 from allelegate.plans.item_scan import Held, held_before, item_map
 
@@ -172,7 +174,9 @@ def like(text, pattern):
     return bool(text) and pattern[0] in ("_", text[0]) and like(text[1:], pattern[1:])
 
 
-def test_search_equals_brute_force(spark):
+@pytest.mark.parametrize("first", [64, 2])
+def test_search_equals_brute_force(spark, first, monkeypatch):
+    monkeypatch.setattr(X, "FIRST", first)
     rng = random.Random(2)
     rows = [(f"m{i:02d}", "".join(rng.choice("abC%_x1") for _ in range(rng.randrange(1, 9))), rng.choice([None, "Plavix", "a_b%"]), "c", i % 7 != 0)
             for i in range(60)]
@@ -189,6 +193,28 @@ def test_search_equals_brute_force(spark):
             assert {r.id for r in S.name_contains(known, q).where("is_active").collect()} == {i for _, i in hits}
 
 
+def test_a_wildcard_reads_the_head_of_the_name_order(spark, tmp_path):
+    """A search for anything costs the first segment, however many names there are, and its index may be kept."""
+    rows = [(f"m{i:05d}", f"name {i * 7919 % 3000:04d}", None, "c", True) for i in range(3000)]
+    index = X.SearchIndex.built(meds(spark, rows), str(tmp_path))
+    asked = lambda *qs: spark.createDataFrame([(q,) for q in qs], "query string")
+    listed = index.search(asked("%", "_", "n", "99"), 10).orderBy("query", "position").collect()
+    names = sorted(r[1] for r in rows)
+    assert [r.generic_name for r in listed if r["query"] == "%"] == names[:10]
+    assert [r.generic_name for r in listed if r["query"] == "99"] == [n for n in names if "99" in n][:10]
+    assert index.tokens.where("token = ''").isEmpty()
+    places = index.postings(0).groupBy("token").agg(F.sum(F.size("places")).alias("n"), F.max("block").alias("b"))
+    assert places.agg(F.max("n"), F.max("b")).first() == (64, 0)
+    assert max(r.n for r in index.postings(2).select(F.size("places").alias("n")).collect()) <= X.BLOCK
+    # only files of the first segment are there for a wildcard
+    for segment in (1, 2):
+        shutil.rmtree(f"{tmp_path}/postings/segment={segment}")
+    again = index.search(asked("%", "_", "n"), 10).collect()
+    assert sorted((r["query"], r.generic_name) for r in again) == sorted((q, n) for q in ("%", "_", "n") for n in names[:10])
+    found = S.search_medications(meds(spark, rows), asked("%", " "), index=index).collect()
+    assert len(found) == 11 and X.SearchIndex.built(meds(spark, rows[:0]), str(tmp_path / "none")).search(asked("%", "a"), 10).isEmpty()
+
+
 def test_profiles_and_options(spark):
     pgx = spark.createDataFrame([("2", "p", "SLCO1B1", "odd", None), ("1", "p", "CYP2C19", "rapid metabolizer", "g")], "id string, patient_id string, gene string, phenotype string, genotype string")
     patients = spark.createDataFrame([("p",), ("q",)], "id string")
