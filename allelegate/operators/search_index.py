@@ -2,12 +2,13 @@
 
     names       place in the order of (name, id), and what a result shows
     tokens      token, and how many names hold it
-    postings    token, places in order; the first FIRST of a token in segment 0, then GROWTH times as many in each next
+    postings    token, places in order; segment 0 has the first FIRST places, and up to each next one GROWTH times as many
 
 A token is a substring of one to GRAM letters, or "at least 2 ** k letters".  Every pattern has one that all its names
-hold: the rarest substring of its longest plain run, or its length if it has no plain letter.  As places are in
-name order, a search reads segment after segment and stops once it has its rows, so what it reads of a common token does not
-grow with the names.  Posting lists are cut into blocks of BLOCK places; no token is one row or one group.
+hold: the rarest substring of its longest plain run, or its length if it has no plain letter.  A search whose token up to
+RARE names hold reads all of its places.  Any other reads segment after segment, and stops once it has its rows: as
+places are in name order, what it reads does not grow with the names.  Posting lists are cut where every BLOCK names
+end, so no token is one row or one group.
 """
 
 from __future__ import annotations
@@ -16,14 +17,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from allelegate.operators.match import active_medications
 from allelegate.plans.session import scratch_path
 from allelegate.plans.skew import with_position
 
 GRAM = 3
-FIRST, GROWTH, BLOCK = 64, 16, 1024
+FIRST, GROWTH, BLOCK, RARE = 64, 256, 1024, 4096
 SHOWN = ["id", "generic_name", "brand_name", "drug_class"]
 #: Longest length that a token tells, as a power of two.
 LENGTHS = 30
@@ -93,9 +93,13 @@ class SearchIndex:
     def tokens(self) -> DataFrame:
         return self.spark.read.schema("token string, n long").parquet(f"{self.path}/tokens")
 
+    @property
+    def every_posting(self) -> DataFrame:
+        return self.spark.read.schema("token string, block int, places array<long>, segment int").parquet(f"{self.path}/postings")
+
     def postings(self, segment: int) -> DataFrame:
         """Posting blocks of a segment; the others' files are not opened."""
-        return self.spark.read.schema("token string, block int, places array<long>, segment int").parquet(f"{self.path}/postings").where(F.col("segment") == segment)
+        return self.every_posting.where(F.col("segment") == segment)
 
     @classmethod
     def built(cls, meds: DataFrame, path: str) -> SearchIndex:
@@ -103,46 +107,50 @@ class SearchIndex:
         index = cls(meds.sparkSession, path)
         active = active_medications(meds).select(*SHOWN)
         with_position(active, [], ["generic_name", "id"], "place").write.mode("overwrite").parquet(f"{path}/names")
-        held = index.names.select("place", F.explode(name_tokens()).alias("token"))
-        rank = F.col("rank") - 1
-        # whole powers of GROWTH = 16 past FIRST = 64: the hexadecimal digits of what is left after six bits
-        beyond = F.shiftright(rank, FIRST.bit_length() - 1)
-        ranked = with_position(held, ["token"], ["place"], "rank").select(
-            "token",
+        place = F.col("place") - 1
+        # powers of GROWTH = 256 past FIRST: pairs of hexadecimal digits of what is left after its bits
+        beyond = F.shiftright(place, FIRST.bit_length() - 1)
+        placed = index.names.select(
             "place",
-            F.when(beyond == 0, 0).otherwise(F.length(F.hex(beyond))).alias("segment"),
-            F.floor(rank / BLOCK).cast("int").alias("block"),
+            F.when(beyond == 0, 0).otherwise(F.ceil(F.length(F.hex(beyond)) / 2)).cast("int").alias("segment"),
+            F.floor(place / BLOCK).cast("int").alias("block"),
+            F.explode(name_tokens()).alias("token"),
         )
-        blocks = ranked.groupBy("segment", "token", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        blocks = placed.groupBy("segment", "token", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))
         blocks.sortWithinPartitions("segment", "token").write.mode("overwrite").partitionBy("segment").parquet(f"{path}/postings")
-        every = index.spark.read.schema("token string, block int, places array<long>, segment int").parquet(f"{path}/postings")
+        every = index.every_posting
         every.groupBy("token").agg(F.sum(F.size("places")).alias("n")).write.mode("overwrite").parquet(f"{path}/tokens")
         return index
 
     def search(self, asked: DataFrame, top: int) -> DataFrame:
         """(query, position, *SHOWN): the first `top` names for each distinct, non-blank `query`.
 
-        Searches that have not found `top` rows go on with the next segment of their token, if there is one: rounds
-        grow with the logarithm of the longest list, and only a search that finds little reads far.
+        Searches that have not found `top` rows go on with the next segment, while there is one: rounds grow with the
+        logarithm of the names.
         """
-        spark = self.spark
         parsed = asked.select("query", like_pattern("query").alias("_pattern"), F.explode(query_tokens("query")).alias("token"))
         rarest = F.min_by(F.struct("token", "n"), F.struct(F.coalesce("n", F.lit(0)), F.col("token"))).alias("t")
         best = parsed.join(self.tokens, "token", "left").groupBy("query", "_pattern").agg(rarest)
-        waiting = self._kept(best.where("t.n is not null").select("query", "_pattern", "t.token", "t.n"), "searches")
-        rows, reach, segment = [], FIRST, 0
-        while not waiting.isEmpty():
-            places = waiting.join(self.postings(segment), "token").select("query", "_pattern", "n", F.explode("places").alias("place"))
-            hits = places.join(self.names, "place").where(matches()).select("query", "place", *SHOWN)
-            rows.append(self._kept(_first(hits, top), "hits"))
-            full = _union(rows).groupBy("query").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= top).select("query")
-            waiting = self._kept(waiting.where(F.col("n") > reach).join(full, "query", "left_anti"), "searches")
+        searches = self._kept(best.where("t.n is not null").select("query", "_pattern", "t.token", "t.n"), "searches")
+        common = F.col("n") > RARE
+        head = self._hits(searches.where(common), self.postings(0), top)
+        rows = [self._kept(self._hits(searches.where(~common), self.every_posting, top).unionByName(head), "hits")]
+        waiting, segment, reach = self._unfilled(searches.where(common), rows, top), 1, FIRST
+        while not waiting.isEmpty() and not self.names.where(F.col("place") > reach).isEmpty():
+            rows.append(self._kept(self._hits(waiting, self.postings(segment), top), "hits"))
+            waiting = self._kept(self._unfilled(waiting, rows, top), "searches")
             segment, reach = segment + 1, reach * GROWTH
-        if not rows:
-            fields = [T.StructField("query", T.StringType()), T.StructField("position", T.IntegerType()), *[self.names.schema[c] for c in SHOWN]]
-            return spark.createDataFrame([], T.StructType(fields))
         return _first(_union(rows), top).select("query", "position", *SHOWN)
 
+    def _unfilled(self, searches: DataFrame, rows: list[DataFrame], top: int) -> DataFrame:
+        full = _union(rows).groupBy("query").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= top).select("query")
+        return searches.join(full, "query", "left_anti")
+
+    def _hits(self, searches: DataFrame, postings: DataFrame, top: int) -> DataFrame:
+        places = searches.join(postings, "token").select("query", "_pattern", F.explode("places").alias("place"))
+        hits = places.join(self.names, "place").where(matches()).select("query", "place", *SHOWN)
+        return _first(hits, top)
+
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
         df.write.parquet(path)

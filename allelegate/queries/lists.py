@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import functions as F
 
 from allelegate.functions import shapes as X
 from allelegate.operators import lists as L
 from allelegate.operators import match as M
 from allelegate.operators import search as S
+from allelegate.operators.search_index import SearchIndex
 from allelegate.plans.fixtures import read_sql, view
+from allelegate.plans.session import scratch_path
 from allelegate.queries import query
 from allelegate.queries.match import RUN_TS, run_ts
 
@@ -292,6 +296,33 @@ def shape_list_items(spark, sf):
     return items.select("patient_id", *[F.col(f"i.{c}") for c in ("id", "medicationId", "genericName", "status", "notes", "createdAt")])
 
 
+_indexes: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def stored_index(spark, sf) -> SearchIndex:
+    """The index of a folder's medications, built by the first search of a session and then read."""
+    kept = _indexes.setdefault(spark, {})
+    if sf not in kept:
+        kept[sf] = SearchIndex.built(view(spark, sf, "fx_meds"), scratch_path(spark, "search_index"))
+    return kept[sf]
+
+
+@query(
+    "search_index",
+    """with m as (
+          select id, lower(generic_name) as a, lower(coalesce(brand_name, '')) as b from fx_meds where is_active),
+        t as (
+          select id, substring(a, i, k) as token from m, range(1, 400) p(i), range(1, 4) s(k) where i + k - 1 <= length(a)
+          union select id, substring(b, i, k) from m, range(1, 400) p(i), range(1, 4) s(k) where i + k - 1 <= length(b)
+          union select id, concat('length ...', cast(k as varchar)) from m, range(-1, 31) s(k)
+          where k = -1 or greatest(length(a), length(b)) >= power(2, k))
+        select token, count(*) as n from t group by token""",
+)
+def search_index(spark, sf):
+    """Tokens of a new index with the number of names that hold them."""
+    return SearchIndex.built(view(spark, sf, "fx_meds"), scratch_path(spark, "search_index")).tokens
+
+
 @query(
     "search_top10",
     """with q as (select distinct trim(query) as query from fx_queries),
@@ -306,7 +337,7 @@ def shape_list_items(spark, sf):
         from q left join hit h on h.query = q.query and h.position <= 10""",
 )
 def search_top10(spark, sf):
-    found = S.search_medications(view(spark, sf, "fx_meds"), view(spark, sf, "fx_queries"))
+    found = S.search_medications(view(spark, sf, "fx_meds"), view(spark, sf, "fx_queries"), index=stored_index(spark, sf))
     return found.withColumn("position", F.col("position").cast("bigint"))
 
 
