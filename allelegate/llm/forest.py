@@ -15,13 +15,14 @@ group is whatever links connect.
    A small region gives all of these pairs.  A large one, or one that a task's end may
    cut, first gives, for each class, its best neighbour and the smallest neighbour in a
    piece; once those are confirmed, classes that are already connected need no further
-   pair.  All pairs between unconnected ones follow, of each whole region, whose finer
-   sketches (one byte for the first shingle of each of BINS ranges of hashes) come near the wanted similarity.
+   pair.  The task of a whole region then compares the sets of unconnected ones whose finer sketches (one byte for
+   the first shingle of each of BINS ranges of hashes) come near the wanted similarity, and gives only links, one for
+   each two groups that meet.
    Classes of regions past WIDE are joined instead on their rarest shingles: of two linked
    sets, the first common shingle in any one order of all shingles stands so early in both
    that the rest suffices for the wanted similarity.  This misses no link of these classes,
    and there is no region that is too large for it.
-4. A candidate counts only after the whole texts of both were compared; the finer sketches sort out most that
+4. A candidate counts only after the whole sets of both were compared; the finer sketches sort out most that
    would not.
 
 A pair at 80 % similarity agrees in three values of a tree with probability 0.51, so all
@@ -57,6 +58,8 @@ CARRIED = 20
 SMALL = 8
 #: Classes of a region that one task compares with each other; a wider one is joined on rare shingles.
 WIDE = 2048
+#: Shingles of a region that are numbered at once; the sets of a larger one are compared pair by pair.
+AT_ONCE = 1 << 22
 #: Bits of a shingle's hash that choose its count; a shared count only makes a shingle look more frequent.
 COUNTED = 18
 #: How far the share of equal carried values may fall below the wanted similarity.
@@ -148,23 +151,60 @@ class Region:
             i, j = np.concatenate([some, some]), np.concatenate([first[some], best[some]])
         return in_order(self.ids[i], self.ids[j])
 
-    def unconnected(self, percent: int) -> np.ndarray:
-        """All pairs with different roots that are like in both sketches."""
-        parts = []
-        if (self.roots == self.roots[0]).all():
-            return np.empty((0, 2), np.int64)
-        fine = self.columns["fine"]
+    def linked(self, percent: int) -> np.ndarray:
+        """Links between classes with different roots, as many as connect all that any link connects.
+
+        Both sketches sort out pairs, whole sets decide, and classes that a link has connected meet no more.
+        """
+        roots, fine, out = self.roots.copy(), self.columns["fine"], []
+        common = self._common()
         for start in range(0, len(self), 256):
+            if (roots == roots[0]).all():
+                break
             stop = min(start + 256, len(self))
-            like = self.likeness(start, stop, percent) >= least_equal(percent)
-            like &= self.roots[start:stop, None] != self.roots[None, :]
-            i, j = np.nonzero(np.triu(like, start + 1))
-            i += start
-            for at in range(0, len(i), 20_000):
-                a, b = i[at : at + 20_000], j[at : at + 20_000]
-                near = may_be_linked(fine[a], fine[b], self.sizes[a], self.sizes[b], percent)
-                parts.append(in_order(self.ids[a[near]], self.ids[b[near]]))
-        return np.unique(np.concatenate([np.empty((0, 2), np.int64), *parts]), axis=0)
+            like = np.triu(self.likeness(start, stop, percent) >= least_equal(percent), start + 1)
+            like &= roots[start:stop, None] != roots[None, :]
+            for i in np.flatnonzero(like.any(axis=1)):
+                others = np.flatnonzero(like[i])
+                i += start
+                others = others[roots[others] != roots[i]]
+                if not len(others):
+                    continue
+                near = may_be_linked(fine[others], fine[i][None, :], self.sizes[others], self.sizes[i], percent)
+                others = others[near]
+                shared = common(i, others)
+                united = self.sizes[i] + self.sizes[others] - shared
+                others = others[(shared > 0) & (100 * shared >= percent * united)]
+                met, first = np.unique(roots[others], return_index=True)
+                out += [(self.ids[i], self.ids[j]) for j in others[first]]
+                roots[np.isin(roots, met)] = roots[i]
+        return in_order(*np.array(out, np.int64).reshape(-1, 2).T)
+
+    def _common(self):
+        """Function of a row and some others: how many shingles each of them shares with it."""
+        sets = [np.frombuffer(x, np.uint64) for x in self.columns["hashes"]]
+        if self.sizes.sum() > AT_ONCE:
+            return lambda i, others: np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in others], np.int64)
+        numbers, ends = None, np.cumsum([len(x) for x in sets])
+
+        def count(i: int, others: np.ndarray) -> np.ndarray:
+            nonlocal numbers
+            if not len(others):
+                return np.empty(0, np.int64)
+            if numbers is None:
+                different, found = np.unique(np.concatenate(sets), return_inverse=True)
+                numbers = np.zeros(len(different), bool), found
+            here, found = numbers
+            own = found[ends[i] - len(sets[i]) : ends[i]]
+            here[own] = True
+            lengths = self.sizes[others]
+            starts = np.cumsum(lengths) - lengths
+            at = np.arange(lengths.sum()) + np.repeat(ends[others] - lengths - starts, lengths)
+            shared = np.add.reduceat(here[found[at]], starts, dtype=np.int64)
+            here[own] = False
+            return shared
+
+        return count
 
 
 def least_equal(percent: int) -> int:
@@ -178,7 +218,9 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     out = {}
     for name, column in zip(batch.schema.names, batch.columns, strict=True):
-        if pa.types.is_binary(column.type):
+        if name == "hashes":
+            out[name] = np.array([*column.to_pylist(), None], object)[:-1]
+        elif pa.types.is_binary(column.type):
             kind = ">u2" if name == "key" else np.uint8
             out[name] = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
         else:
@@ -251,13 +293,28 @@ def _first_round(percent: int):
 def _second_round(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for region in _regions(batches):
-            pairs = region.unconnected(percent)
+            pairs = region.linked(percent)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
+def _sets(words: int):
+    """(rep, hashes): the whole set of each class, from the text of its first id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = per_worker("words", WordHashes)
+        for batch in batches:
+            sets = [shingle_set(known.of(lower_words(text)), words) for text in batch.column(0).to_pylist()]
+            # an id may have other texts
+            own = [xxhash.xxh3_128_digest(x.tobytes()) == key for x, key in zip(sets, batch.column(1).to_pylist(), strict=True)]
+            rows = pa.RecordBatch.from_arrays([batch.column(2), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "hashes"])
+            yield rows.filter(pa.array(own, pa.bool_()))
+
+    return run
+
+
 def _counts(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = per_worker("words", WordHashes)
@@ -424,15 +481,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     open_members = open_members.where("not wide")
     needed = open_members.select("_set").distinct()
     fine = signs.select("_set", F.col("_fine").alias("fine")).join(needed, "_set", "left_semi").groupBy("_set").agg(F.first("fine").alias("fine"))
-    rooted = open_members.join(fine, "_set").select("tree", "key", "rep", "size", "root", "fine")
-    more = _whole(rooted, tasks).mapInArrow(_second_round(percent), "a long, b long").distinct()
+    named = open_members.select("rep", "_set").distinct()
+    texts = docs.join(named, docs["_id"] == named["rep"]).select("_text", "_set", "rep")
+    whole = texts.mapInArrow(_sets(words), "rep long, hashes binary").dropDuplicates(["rep"])
+    rooted = open_members.join(fine, "_set").join(whole, "rep").select("tree", "key", "rep", "size", "root", "fine", "hashes")
+    late = stored(_whole(rooted, tasks).mapInArrow(_second_round(percent), "a long, b long").distinct(), "late_links")
     if not wide.isEmpty():
-        more = more.union(_sketched(signs, _rare_pairs(docs, wide, words, percent), percent)).distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-    if not more.isEmpty():
-        late = _links(docs, more, words, percent)
-        if not late.isEmpty():
-            roots = stored(components(links.union(late)), "roots")
+        rare = _sketched(signs, _rare_pairs(docs, wide, words, percent), percent).join(pairs, ["a", "b"], "left_anti")
+        late = late.union(_links(docs, rare, words, percent))
+    if not late.isEmpty():
+        roots = stored(components(links.union(late)), "roots")
 
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("_set", F.coalesce("root", "rep").alias("root"))
     return signs.join(named, "_set", "left").select(

@@ -156,7 +156,9 @@ def region_rows(n, roots=None):
     fine[-1] = fine[0]
     columns = {"tree": forest.pa.array([0] * n, "int32"), "key": forest.pa.array(keys, "binary"), "rep": forest.pa.array(range(n), "int64"), "size": forest.pa.array([600] * n, "int64")}
     if roots:
-        columns |= {"root": forest.pa.array(roots, "int64"), "fine": forest.pa.array(fine, "binary")}
+        sets = [forest.np.sort(forest.np.frombuffer(rnd.randbytes(8 * 600), forest.np.uint64)) for _ in range(n - 1)]
+        sets.append(forest.np.sort(forest.np.append(sets[0][:-9], sets[1][:9])))
+        columns |= {"root": forest.pa.array(roots, "int64"), "fine": forest.pa.array(fine, "binary"), "hashes": forest.pa.array([x.tobytes() for x in sets], "binary")}
     return forest.pa.RecordBatch.from_pydict(columns)
 
 
@@ -164,7 +166,35 @@ def test_pairs_across_a_whole_region(monkeypatch):
     """Also where the region is wider than WIDE and the two stand far apart in it."""
     monkeypatch.setattr(forest, "WIDE", 16)
     found = [(a, b) for out in forest._second_round(85)(iter([region_rows(60, list(range(60)))])) for a, b in zip(*map(list, out.to_pydict().values()), strict=True)]
-    assert (0, 59) in found
+    assert found == [(0, 59)]
+
+
+@pytest.mark.parametrize("at_once", [0, 1 << 22])
+def test_a_region_gives_links_that_connect_and_no_more(monkeypatch, at_once):
+    """A family near the wanted similarity: rows stay below the classes, and groups are those of all pairs."""
+    monkeypatch.setattr(forest, "AT_ONCE", at_once)
+    rng = forest.np.random.default_rng(8)
+    pool = forest.np.sort(rng.integers(0, 2**63, 500).astype(forest.np.uint64))
+    sets = [forest.np.sort(pool[rng.permutation(500)[:445]]) for _ in range(150)]
+    n, roots = len(sets), [i // 3 * 3 for i in range(150)]
+    columns = {
+        "tree": forest.pa.array([0] * n, "int32"), "key": forest.pa.array([forest.np.full(20, 7, ">u2").tobytes()] * n, "binary"),
+        "rep": forest.pa.array(range(n), "int64"), "size": forest.pa.array([445] * n, "int64"), "root": forest.pa.array(roots, "int64"),
+        "fine": forest.pa.array([forest.sketch(x) for x in sets], "binary"), "hashes": forest.pa.array([x.tobytes() for x in sets], "binary"),
+    }
+    got = [tuple(r.values()) for out in forest._second_round(80)(iter([forest.pa.RecordBatch.from_pydict(columns)])) for r in out.to_pylist()]
+    shared = lambda a, b: len(forest.np.intersect1d(sets[a], sets[b]))
+    links = {(a, b) for b in range(n) for a in range(b) if 100 * shared(a, b) >= 80 * (890 - shared(a, b))}
+    assert 500 < len(links) < n * (n - 1) / 2 and set(got) <= links and len(got) < n
+
+    def groups(pairs):
+        root = list(roots)
+        for a, b in pairs:
+            old = root[b]
+            root = [root[a] if r == old else r for r in root]
+        return {tuple(i for i in range(n) if root[i] == r) for r in set(root)}
+
+    assert groups(got) == groups(links)
 
 
 def test_a_region_at_the_end_of_a_task_goes_on():
