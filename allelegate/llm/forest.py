@@ -60,6 +60,8 @@ SMALL = 8
 WIDE = 2048
 #: Shingles of a region that are numbered at once; the sets of a larger one are compared pair by pair.
 AT_ONCE = 1 << 22
+#: Bits of the filter of ids whose sets are made, as a power of two: 8 MB.
+FILTER = 26
 #: Bits of a shingle's hash that choose its count; a shared count only makes a shingle look more frequent.
 COUNTED = 18
 #: How far the share of equal carried values may fall below the wanted similarity.
@@ -300,17 +302,29 @@ def _second_round(percent: int):
     return run
 
 
-def _sets(words: int):
-    """(rep, hashes): the whole set of each class, from the text of its first id."""
+def _id_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit per hash of an id; a fixed number of them, so that many ids only let more others pass."""
+    place = F.pmod(F.xxhash64(column), F.lit(1 << FILTER))
+    bits = ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = np.zeros(1 << (FILTER - 6), np.int64)
+    words[found["word"].to_numpy()] = found["bit"].to_numpy()
+    return words.view(np.uint64)
+
+
+def _sets(words: int, sent: Broadcast):
+    """(rep, _set, hashes): the whole sets of the rows (id, hash of the id, text) whose id may be among those sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = per_worker("words", WordHashes)
+        known, bits = per_worker("words", WordHashes), sent.value
         for batch in batches:
-            sets = [shingle_set(known.of(lower_words(text)), words) for text in batch.column(0).to_pylist()]
-            # an id may have other texts
-            own = [xxhash.xxh3_128_digest(x.tobytes()) == key for x, key in zip(sets, batch.column(1).to_pylist(), strict=True)]
-            rows = pa.RecordBatch.from_arrays([batch.column(2), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "hashes"])
-            yield rows.filter(pa.array(own, pa.bool_()))
+            place = batch.column(1).to_numpy() & ((1 << FILTER) - 1)
+            asked = (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+            some = batch.filter(pa.array(asked, pa.bool_()))
+            sets = [shingle_set(known.of(lower_words(text)), words) for text in some.column(2).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            arrays = [some.column(0), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rep", "_set", "hashes"])
 
     return run
 
@@ -481,9 +495,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     open_members = open_members.where("not wide")
     needed = open_members.select("_set").distinct()
     fine = signs.select("_set", F.col("_fine").alias("fine")).join(needed, "_set", "left_semi").groupBy("_set").agg(F.first("fine").alias("fine"))
-    named = open_members.select("rep", "_set").distinct()
-    texts = docs.join(named, docs["_id"] == named["rep"]).select("_text", "_set", "rep")
-    whole = texts.mapInArrow(_sets(words), "rep long, hashes binary").dropDuplicates(["rep"])
+    # sets are made where the texts lie, so texts are not shuffled
+    sent = docs.sparkSession.sparkContext.broadcast(_id_bits(open_members.select("rep").distinct(), "rep"))
+    texts = docs.where("_id is not null").select("_id", F.xxhash64("_id").alias("hash"), "_text")
+    whole = texts.mapInArrow(_sets(words, sent), "rep long, _set binary, hashes binary")
+    # an id may have other texts, and a row may stand there twice
+    own = open_members.select("rep", "_set").distinct()
+    whole = whole.join(own, ["rep", "_set"], "left_semi").dropDuplicates(["rep"]).drop("_set")
     rooted = open_members.join(fine, "_set").join(whole, "rep").select("tree", "key", "rep", "size", "root", "fine", "hashes")
     late = stored(_whole(rooted, tasks).mapInArrow(_second_round(percent), "a long, b long").distinct(), "late_links")
     if not wide.isEmpty():
