@@ -498,11 +498,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     # sets are made where the texts lie, so texts are not shuffled
     sent = docs.sparkSession.sparkContext.broadcast(_id_bits(open_members.select("rep").distinct(), "rep"))
     texts = docs.where("_id is not null").select("_id", F.xxhash64("_id").alias("hash"), "_text")
-    whole = texts.mapInArrow(_sets(words, sent), "rep long, _set binary, hashes binary")
-    # an id may have other texts, and a row may stand there twice
-    own = open_members.select("rep", "_set").distinct()
-    whole = whole.join(own, ["rep", "_set"], "left_semi").dropDuplicates(["rep"]).drop("_set")
-    rooted = open_members.join(fine, "_set").join(whole, "rep").select("tree", "key", "rep", "size", "root", "fine", "hashes")
+    # a row may stand there twice; the join then finds the sets dealt as it needs them
+    whole = texts.mapInArrow(_sets(words, sent), "rep long, _set binary, hashes binary").groupBy("rep", "_set").agg(F.first("hashes").alias("hashes"))
+    rooted = open_members.join(fine, "_set").join(whole, ["rep", "_set"]).select("tree", "key", "rep", "size", "root", "fine", "hashes")
     late = stored(_whole(rooted, tasks).mapInArrow(_second_round(percent), "a long, b long").distinct(), "late_links")
     if not wide.isEmpty():
         rare = _sketched(signs, _rare_pairs(docs, wide, words, percent), percent).join(pairs, ["a", "b"], "left_anti")
