@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelegate.llm.tables import computed, per_worker
+from allelegate.llm.tables import computed, per_worker, release
 from allelegate.llm.words import MIX, WordHashes
 
 N = 3
@@ -121,6 +121,7 @@ def counts_in(docs: DataFrame, text: str, items: Items) -> tuple[np.ndarray, int
                     counts[np.unique(rows)] += 1
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(counts[held], documents))], names=["gram", "n"])
+        release()
 
     rows = docs.select(F.col(text).alias("_text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(rows["gram"].to_pylist(), rows["n"].to_pylist(), strict=True))
@@ -248,7 +249,7 @@ def flagged(docs: DataFrame, block: Items, least: float, text: str) -> DataFrame
         step = _leaks(sent.value, least)
         return lambda values: {"_leaks": step(values)}
 
-    return computed(docs.withColumn("_leak_text", F.col(text)), "_leak_text", f"_leaks {LEAK}", make)
+    return computed(docs, text, f"_leaks {LEAK}", make, keep=True)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

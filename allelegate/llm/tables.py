@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,13 +24,13 @@ def widths(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def computed(df: DataFrame, column: str, added: str, make: Callable[[], Callable[[list], dict]]) -> DataFrame:
-    """`df` without `column`, with the columns `added` (a schema) computed from its values.
+def computed(df: DataFrame, column: str, added: str, make: Callable[[], Callable[[list], dict]], keep: bool = False) -> DataFrame:
+    """`df` without `column` (with it, if `keep`), with the columns `added` (a schema) computed from its values.
 
     `make` runs once per task and returns a function from a list of values to lists by
     name.  The other columns pass through as Arrow arrays, so ids keep every bit.
     """
-    kept = [c for c in df.columns if c != column]
+    kept = [c for c in df.columns if keep or c != column]
     schema = StructType.fromDDL(added)
     total = StructType([df.schema[c] for c in kept] + list(schema))
     types = pa_types(total)
@@ -41,6 +42,7 @@ def computed(df: DataFrame, column: str, added: str, make: Callable[[], Callable
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             arrays += [pa.array(new[f], types[f]) for f in schema.names]
             yield pa.RecordBatch.from_arrays(arrays, names=total.names)
+        release()
 
     return df.mapInArrow(run, total)
 
@@ -51,6 +53,14 @@ def pa_types(schema: StructType) -> dict[str, pa.DataType]:
     return {f.name: to_arrow_type(f.dataType) for f in schema}
 
 
+def release() -> None:
+    """Give freed memory back at a task's end: workers of earlier stages stay, idle, beside those of the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim:
+        trim(0)
+
+
 _KEPT: dict = {}
 
 
