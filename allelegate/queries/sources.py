@@ -169,23 +169,23 @@ PAIR_ROWS = """
     from part"""
 
 
-@query(
-    "workbook_candidates",
-    f"""with cells as ({PAIR_ROWS}),
-        genes as (select drug, upper(trim(unnest(string_split(replace(genes, ';', ','), ',')))) as gene from cells
-          where drug <> 'Adderall')
-        select case drug when 'Plavix' then 'clopidogrel' when ' CELEXA ' then 'citalopram' else 'simvastatin' end
-            as medication_generic_name,
-          case drug when 'Plavix' then 'Plavix' when ' CELEXA ' then 'Celexa' else 'Zocor' end as brand_name,
-          case drug when 'Plavix' then 'antiplatelet' when ' CELEXA ' then 'antidepressant' else 'statin' end as drug_class,
-          gene, case when gene = 'CYP2C19' then 'normal metabolizer' else 'normal function' end as phenotype,
-          'insufficient_data' as risk_level, 'Pending clinical review.' as patient_summary,
-          'CPIC drug-gene pair candidate imported for manual review.' as clinician_summary,
-          'Pending clinical review before use.' as recommended_action, 'CPIC' as evidence_source,
-          'https://example.org/pairs.xlsx' as evidence_url, 'cpic-pair-import-v0' as rule_version,
-          'pending_review' as review_status
-        from genes where gene in ('CYP2C19', 'SLCO1B1')""",
-)
+STAGED_PAIRS = f"""with cells as ({PAIR_ROWS}),
+    genes as (select drug, upper(trim(unnest(string_split(replace(genes, ';', ','), ',')))) as gene from cells
+      where drug <> 'Adderall')
+    select case drug when 'Plavix' then 'clopidogrel' when ' CELEXA ' then 'citalopram' else 'simvastatin' end
+        as medication_generic_name,
+      case drug when 'Plavix' then 'Plavix' when ' CELEXA ' then 'Celexa' else 'Zocor' end as brand_name,
+      case drug when 'Plavix' then 'antiplatelet' when ' CELEXA ' then 'antidepressant' else 'statin' end as drug_class,
+      gene, case when gene = 'CYP2C19' then 'normal metabolizer' else 'normal function' end as phenotype,
+      'insufficient_data' as risk_level, 'Pending clinical review.' as patient_summary,
+      'CPIC drug-gene pair candidate imported for manual review.' as clinician_summary,
+      'Pending clinical review before use.' as recommended_action, 'CPIC' as evidence_source,
+      'https://example.org/pairs.xlsx' as evidence_url, 'cpic-pair-import-v0' as rule_version,
+      'pending_review' as review_status
+    from genes where gene in ('CYP2C19', 'SLCO1B1')"""
+
+
+@query("workbook_candidates", STAGED_PAIRS)
 def workbook_candidates(spark, sf):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, batch in enumerate(batches):
@@ -196,6 +196,32 @@ def workbook_candidates(spark, sf):
     return S.staged(workbook.candidates_from_workbooks(files, "https://example.org/pairs.xlsx"))
 
 
+@query("landed_workbooks", STAGED_PAIRS)
+def landed_workbooks(spark, sf):
+    """Pairs landed as workbooks, then read range by range of their sheets."""
+    path = scratch_path(spark, "cpic_gene-drug_pairs")
+    workbook.write_pair_workbooks(read_sql(spark, sf, PAIR_ROWS), path)
+    return S.staged(workbook.read_pair_workbook(spark, path, "https://example.org/pairs.xlsx"))
+
+
+@query(
+    "landed_sources",
+    f"""select * from ({STAGED_PAIRS.replace('pairs.xlsx', 'CPIC_gene-drug_pairs.xlsx')}) t
+        union all select * from ({STAGED_CELLS.format(name="list", url="https://example.org/list.csv")}) t
+        union all select * from ({STAGED_CELLS.format(name="tabs", url="https://example.org/list")}) t""",
+)
+def landed_sources(spark, sf):
+    """A workbook folder, a CSV folder and a TSV folder, each by the reader that its address or content type names."""
+    books = scratch_path(spark, "cpic_gene-drug_pairs")
+    workbook.write_pair_workbooks(read_sql(spark, sf, PAIR_ROWS), books)
+    sources = [
+        (books, "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "pairs", "https://example.org/CPIC_gene-drug_pairs.xlsx"),
+        (delimited_file(spark, sf, ","), "", "list", "https://example.org/list.csv"),
+        (delimited_file(spark, sf, "\t"), "text/tab-separated-values", "tabs", "https://example.org/list"),
+    ]
+    return S.staged(routing.read_landed(spark, sources))
+
+
 # Each page carries a table of the part with its number before its own text.
 PAGES = """
     select page_id, url, concat('<table><tr><th>Drug</th><th> Gene <b>Symbol</b></th><th>Function</th></tr><tr><td>',

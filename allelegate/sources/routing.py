@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelegate.plans.domains import PAIR_FILE_MARK
+from allelegate.plans.schemas import STAGED_COLUMNS
 from allelegate.sources.delimited import read_delimited
 from allelegate.sources.html_tables import candidates_from_html
 from allelegate.sources.workbook import read_pair_workbook
@@ -59,3 +62,13 @@ def read_source(
         return read_delimited(spark, path, "," if routed.format == "csv" else "\t", source_name, url)
     pages = spark.read.text(path, wholetext=True).select(F.lit(url).alias("url"), F.col("value").alias("html"))
     return candidates_from_html(pages, "html", "url", source_name)
+
+
+def read_landed(spark: SparkSession, sources: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Staged placeholders of (path, content type, name, address) sources, each by its own reader, in one table.
+
+    The manifest is a short list; `ord_source` is the place in it.  A source that no reader fits fails the read
+    before any file is opened.
+    """
+    routed = [read_source(spark, *source).select(F.lit(at).alias("ord_source"), *STAGED_COLUMNS) for at, source in enumerate(sources)]
+    return reduce(DataFrame.unionByName, routed)

@@ -1,6 +1,7 @@
 """Readers and writers on small hand-made files."""
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -66,6 +67,69 @@ def test_workbook(spark, tmp_path):
     assert routing.read_source(spark, str(path)).count() == 4
 
 
+def test_ranges_of_a_sheet_give_the_rows_of_the_whole(spark, tmp_path, monkeypatch):
+    """Any cut of the sheet, also inside a tag, with texts in the shared table, prefixes and closed rows."""
+    monkeypatch.setattr(workbook, "CHUNK", 97)
+    monkeypatch.setattr(workbook, "BATCH", 3)
+    shared = [f"<t>{t}</t>" for t in ("Drug", "Genes", "Plavix", "CYP2C19")]
+    rows = ['<c t="s"><v>0</v></c><c t="s"><v>1</v></c>']
+    rows += [f'<c t="s"><v>2</v></c><c t="inlineStr"><is><t>G{i}&lt;row&gt;</t></is></c>' if i % 3 else '<c r="B1" t="s"><v>3</v></c>' for i in range(20)]
+    content = book(rows, shared)
+    with zipfile.ZipFile(io.BytesIO(content)) as opened:
+        sheet = opened.read("xl/worksheets/sheet1.xml").replace(b"</sheetData>", b'<row r="9"/><row><c t="s"><v>77</v></c></row></sheetData>')
+    plain = sheet.replace(f"{NS}".encode(), NS.replace("xmlns=", "xmlns:x=").encode())
+    prefixed = re.sub(rb"<(/?)(?=[a-z])", rb"<\1x:", plain)
+    for text in (sheet, prefixed):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            strings = f"<sst {NS}>{''.join(f'<si>{s}</si>' for s in shared)}</sst>"
+            z.writestr("xl/sharedStrings.xml", strings)
+            z.writestr("xl/worksheets/sheet1.xml", text)
+        whole_book = zipfile.ZipFile(out)
+        whole = list(workbook.pair_rows(whole_book))
+        assert len(whole) == 22 and whole[0] == (0, "", "CYP2C19") and whole[1] == (1, "Plavix", "G1<row>") and whole[-1] == (21, "", "")
+        for step in (1, 7, 64, 500):
+            cut = [r for low in range(0, len(text), step) for r in workbook.pair_rows(whole_book, low, low + step)]
+            assert cut == whole
+    path = tmp_path / "many.xlsx"
+    path.write_bytes(out.getvalue())
+    read = lambda n: spark.read.format("pair_workbook").option("splitBytes", n).load(str(path))
+    workbook.read_pair_workbook(spark, str(path), "u")  # registers the source
+    assert read(400).rdd.getNumPartitions() > 2
+    assert sorted(map(tuple, read(400).collect())) == sorted(map(tuple, read(1 << 20).collect())) == [(str(path), *r) for r in whole]
+
+
+def test_landed_workbooks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbook, "MAX_ROWS", 3)
+    pairs = [("Plavix", "CYP2C19"), (None, "x"), ("a & <b>", None), ("", ""), ("\x01zocor", "slco1b1")]
+    made = spark.createDataFrame(pairs, "drug string, genes string").coalesce(1)
+    workbook.write_pair_workbooks(made.limit(0), f"{tmp_path}/none")
+    workbook.write_pair_workbooks(made, f"file://{tmp_path}/landed")
+    (tmp_path / "landed" / "_left").write_bytes(b"of a failed job")
+    got = spark.read.format("pair_workbook").load(str(tmp_path / "landed")).collect()
+    assert sorted((r.drug, r.genes) for r in got) == [("", ""), ("", "x"), ("Plavix", "CYP2C19"), ("a & <b>", ""), ("zocor", "slco1b1")]
+    with pytest.raises(Exception, match="nowhere"):
+        spark.read.format("pair_workbook").load(str(tmp_path / "nowhere")).collect()
+
+
+def test_first_sheet_is_the_first_of_the_list():
+    """The list decides, not the member's number."""
+    out = io.BytesIO()
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006/relationships"
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {NS}/>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {NS}/>")
+        z.writestr("xl/workbook.xml", f'<workbook {NS} xmlns:r="{office}"><sheets><sheet r:id="b"/><sheet r:id="a"/></sheets></workbook>')
+        links = '<Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/>'
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}">{links}</Relationships>')
+    with zipfile.ZipFile(out) as opened:
+        assert workbook.first_sheet(opened) == "xl/worksheets/sheet2.xml"
+        assert list(workbook.pair_rows(opened)) == []
+    with zipfile.ZipFile(io.BytesIO(book([], name="xl/worksheets/sheet12.xml"))) as opened:
+        assert workbook.first_sheet(opened) == "xl/worksheets/sheet12.xml"
+
+
 def test_first_present_column_wins_even_when_empty():
     headers = ["drug", "genes", "gene", "gene"]
     assert workbook._first_inside(["x", "", "G"], headers, D.PAIR_GENE_HEADERS) == ""
