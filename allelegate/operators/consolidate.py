@@ -14,7 +14,7 @@ from allelegate.plans.schemas import REFERENCES
 def first_patient(patients: DataFrame) -> DataFrame:
     """Earliest patient per user, by created_at then id."""
     return patients.groupBy("user_id").agg(
-        F.min_by("id", F.struct("created_at", "id")).alias("canonical_id")
+        F.min_by("id", F.struct("created_at", "id")).alias("kept_id")
     )
 
 
@@ -24,16 +24,16 @@ def canonical_patient(patients: DataFrame) -> DataFrame:
     The minimum combines before the shuffle; the join back is on one row per
     user, which adaptive execution can split for a user with many patients.
     """
-    return patients.select("user_id", F.col("id").alias("old_id")).join(first_patient(patients), "user_id")
+    return patients.select("user_id", F.col("id").alias("from_id")).join(first_patient(patients), "user_id")
 
 
 def non_canonical(mapping: DataFrame) -> DataFrame:
-    return mapping.where("old_id <> canonical_id").select("old_id", "canonical_id")
+    return mapping.where("from_id <> kept_id").select("from_id", "kept_id")
 
 
 def non_canonical_rows(child: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rows of patients that will go, with the patient that stays."""
-    return child.join(non_canonical(mapping), F.col("patient_id") == F.col("old_id")).drop("old_id")
+    return child.join(non_canonical(mapping), F.col("patient_id") == F.col("from_id")).drop("from_id")
 
 
 def latest_per_key(df: DataFrame, keys: list[Column | str], order: list[Column]) -> DataFrame:
@@ -47,7 +47,7 @@ def _newest() -> list[Column]:
 
 
 def _staying(child: DataFrame, mapping: DataFrame) -> DataFrame:
-    return child.join(non_canonical(mapping), F.col("patient_id") == F.col("old_id"), "left_anti")
+    return child.join(non_canonical(mapping), F.col("patient_id") == F.col("from_id"), "left_anti")
 
 
 def merge_pgx(pgx: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -58,9 +58,9 @@ def merge_pgx(pgx: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     moved = non_canonical_rows(pgx, mapping).withColumn("_gene", F.lower("gene"))
     moved = (
-        latest_per_key(moved, ["canonical_id", "_gene"], _newest())
+        latest_per_key(moved, ["kept_id", "_gene"], _newest())
         .drop("_gene", "patient_id")
-        .withColumnRenamed("canonical_id", "patient_id")
+        .withColumnRenamed("kept_id", "patient_id")
     )
     there = F.col("n._there").isNotNull()
     rest = [c for c in pgx.columns if c not in ("id", "patient_id", "gene", "updated_at", "created_at")]
@@ -77,9 +77,9 @@ def merge_pgx(pgx: DataFrame, mapping: DataFrame) -> DataFrame:
 def merge_list(items: DataFrame, mapping: DataFrame) -> DataFrame:
     """Medication lists after the merge: status of the duplicate, both notes, earliest start."""
     moved = (
-        latest_per_key(non_canonical_rows(items, mapping), ["canonical_id", "medication_id"], _newest())
+        latest_per_key(non_canonical_rows(items, mapping), ["kept_id", "medication_id"], _newest())
         .drop("patient_id")
-        .withColumnRenamed("canonical_id", "patient_id")
+        .withColumnRenamed("kept_id", "patient_id")
     )
     return merge_on(
         _staying(items, mapping),
@@ -100,24 +100,24 @@ def merge_list(items: DataFrame, mapping: DataFrame) -> DataFrame:
 def repoint_history(history: DataFrame, mapping: DataFrame, pgx: DataFrame) -> DataFrame:
     """History of the kept patients; links to results that the merge deletes become null."""
     moved = non_canonical(mapping)
-    deleted = pgx.join(moved, F.col("patient_id") == F.col("old_id"), "left_semi").select(
+    deleted = pgx.join(moved, F.col("patient_id") == F.col("from_id"), "left_semi").select(
         F.col("id").cast("string").alias("_deleted")
     )
     return (
-        history.join(moved, F.col("patient_id") == F.col("old_id"), "left")
+        history.join(moved, F.col("patient_id") == F.col("from_id"), "left")
         .join(deleted, F.col("pgx_result_id").cast("string") == F.col("_deleted"), "left")
         .withColumns(
             {
-                "patient_id": F.coalesce("canonical_id", "patient_id"),
+                "patient_id": F.coalesce("kept_id", "patient_id"),
                 "pgx_result_id": F.when(F.col("_deleted").isNull(), F.col("pgx_result_id")),
             }
         )
-        .drop("old_id", "canonical_id", "_deleted")
+        .drop("from_id", "kept_id", "_deleted")
     )
 
 
 def drop_duplicates_of(patients: DataFrame, mapping: DataFrame) -> DataFrame:
-    return patients.join(non_canonical(mapping), F.col("id") == F.col("old_id"), "left_anti")
+    return patients.join(non_canonical(mapping), F.col("id") == F.col("from_id"), "left_anti")
 
 
 def consolidate_patients(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

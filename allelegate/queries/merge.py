@@ -153,24 +153,25 @@ def upsert_pgx_outcomes(spark, sf):
     return checked.select(*IN_ORDER, "patient_id", "gene", "phenotype", "genotype", "outcome")
 
 
-CANON = """
-    canon as (select id as old_id, user_id,
-        first_value(id) over (partition by user_id order by created_at, id) as canonical_id from fx_patients),
-    moved as (select old_id, canonical_id from canon where old_id <> canonical_id)"""
+# The oldest patient of a user as the least (created_at, id), met again by the user's other patients.
+KEPT = """
+    oldest as (select user_id, min(struct_pack(since := created_at, id := id)) as kept from fx_patients group by user_id),
+    kept as (select p.user_id, p.id as from_id, o.kept.id as kept_id from fx_patients p join oldest o on o.user_id = p.user_id),
+    leaving as (select k.from_id, k.kept_id from kept k where k.from_id <> k.kept_id)"""
 
 
 def mapping(spark, sf):
     return C.canonical_patient(view(spark, sf, "fx_patients"))
 
 
-@query("canonical_patient", f"with {CANON} select user_id, old_id, canonical_id from canon")
+@query("canonical_patient", f"with {KEPT} select user_id, from_id, kept_id from kept")
 def canonical_patient(spark, sf):
     return mapping(spark, sf)
 
 
 @query(
     "non_canonical_join",
-    f"with {CANON} select p.*, m.canonical_id from fx_pgx p join moved m on m.old_id = p.patient_id",
+    f"with {KEPT} select p.*, m.kept_id from fx_pgx p join leaving m on m.from_id = p.patient_id",
 )
 def non_canonical_join(spark, sf):
     return C.non_canonical_rows(view(spark, sf, "fx_pgx"), mapping(spark, sf))
@@ -189,19 +190,19 @@ def latest_per_key(spark, sf):
 
 
 MERGED_PGX = f"""
-    with {CANON},
+    with {KEPT},
     n as (select * from (
-        select m.canonical_id, p.*, row_number() over (partition by m.canonical_id, lower(p.gene)
+        select m.kept_id, p.*, row_number() over (partition by m.kept_id, lower(p.gene)
           order by p.updated_at desc, p.id) as rn
-        from fx_store_pgx p join moved m on m.old_id = p.patient_id) x where rn = 1),
-    t as (select p.* from fx_store_pgx p left join moved m on m.old_id = p.patient_id where m.old_id is null)
-    select coalesce(t.patient_id, n.canonical_id) as patient_id, coalesce(t.gene, n.gene) as gene,
-      coalesce(t.id, md5(concat_ws('|', 'merged', cast(n.canonical_id as varchar), n.gene))) as id,
+        from fx_store_pgx p join leaving m on m.from_id = p.patient_id) x where rn = 1),
+    t as (select p.* from fx_store_pgx p left join leaving m on m.from_id = p.patient_id where m.from_id is null)
+    select coalesce(t.patient_id, n.kept_id) as patient_id, coalesce(t.gene, n.gene) as gene,
+      coalesce(t.id, md5(concat_ws('|', 'merged', cast(n.kept_id as varchar), n.gene))) as id,
       case when n.id is not null then n.phenotype else t.phenotype end as phenotype,
       case when n.id is not null then n.genotype else t.genotype end as genotype,
       case when n.id is not null then n.source else t.source end as source,
       greatest(t.updated_at, n.updated_at) as updated_at, coalesce(t.created_at, n.created_at) as created_at
-    from t full join n on n.canonical_id = t.patient_id and n.gene = t.gene"""
+    from t full join n on n.kept_id = t.patient_id and n.gene = t.gene"""
 
 
 @query("merged_pgx", MERGED_PGX)
@@ -210,21 +211,21 @@ def merged_pgx(spark, sf):
 
 
 MERGED_LIST = f"""
-    with {CANON},
+    with {KEPT},
     n as (select * from (
-        select m.canonical_id, p.*, row_number() over (partition by m.canonical_id, p.medication_id
+        select m.kept_id, p.*, row_number() over (partition by m.kept_id, p.medication_id
           order by p.updated_at desc, p.id) as rn
-        from fx_list p join moved m on m.old_id = p.patient_id) x where rn = 1),
-    t as (select p.* from fx_list p left join moved m on m.old_id = p.patient_id where m.old_id is null)
-    select coalesce(t.patient_id, n.canonical_id) as patient_id, coalesce(t.medication_id, n.medication_id) as medication_id,
-      coalesce(t.id, md5(concat_ws('|', 'merged', cast(n.canonical_id as varchar), cast(n.medication_id as varchar)))) as id,
+        from fx_list p join leaving m on m.from_id = p.patient_id) x where rn = 1),
+    t as (select p.* from fx_list p left join leaving m on m.from_id = p.patient_id where m.from_id is null)
+    select coalesce(t.patient_id, n.kept_id) as patient_id, coalesce(t.medication_id, n.medication_id) as medication_id,
+      coalesce(t.id, md5(concat_ws('|', 'merged', cast(n.kept_id as varchar), cast(n.medication_id as varchar)))) as id,
       coalesce(n.status, t.status) as status,
       case when t.id is null then n.notes when t.notes is null then n.notes
         when n.notes is null or t.notes = n.notes then t.notes
         else concat(t.notes, chr(10), '[Merged record] ', n.notes) end as notes,
       coalesce(t.started_at, n.started_at) as started_at, coalesce(n.stopped_at, t.stopped_at) as stopped_at,
       coalesce(t.created_at, n.created_at) as created_at, greatest(t.updated_at, n.updated_at) as updated_at
-    from t full join n on n.canonical_id = t.patient_id and n.medication_id = t.medication_id"""
+    from t full join n on n.kept_id = t.patient_id and n.medication_id = t.medication_id"""
 
 
 @query("merged_list", MERGED_LIST)
@@ -234,11 +235,11 @@ def merged_list(spark, sf):
 
 @query(
     "repointed_history",
-    f"""with {CANON},
-        gone as (select distinct p.id from fx_store_pgx p join moved m on m.old_id = p.patient_id)
-        select h.id, coalesce(m.canonical_id, h.patient_id) as patient_id, h.medication_id,
+    f"""with {KEPT},
+        gone as (select distinct p.id from fx_store_pgx p join leaving m on m.from_id = p.patient_id)
+        select h.id, coalesce(m.kept_id, h.patient_id) as patient_id, h.medication_id,
           case when g.id is null then h.pgx_result_id end as pgx_result_id, h.rule_id, h.risk_level, h.created_at
-        from fx_history h left join moved m on m.old_id = h.patient_id left join gone g on g.id = h.pgx_result_id""",
+        from fx_history h left join leaving m on m.from_id = h.patient_id left join gone g on g.id = h.pgx_result_id""",
 )
 def repointed_history(spark, sf):
     return C.repoint_history(view(spark, sf, "fx_history"), mapping(spark, sf), view(spark, sf, "fx_store_pgx"))
@@ -256,7 +257,7 @@ def tables(spark, sf):
 
 @query(
     "remaining_patients",
-    f"with {CANON} select p.* from fx_patients p left join moved m on m.old_id = p.id where m.old_id is null",
+    f"with {KEPT} select p.* from fx_patients p left join leaving m on m.from_id = p.id where m.from_id is null",
 )
 def remaining_patients(spark, sf):
     return C.consolidate_patients(tables(spark, sf))["patients"]
