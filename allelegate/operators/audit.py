@@ -96,20 +96,19 @@ def medication_faults(required: DataFrame, meds: DataFrame) -> DataFrame:
 
 
 def audit_coverage(
-    required_meds: DataFrame, required_rules: DataFrame, meds: DataFrame, rules: DataFrame, existing: DataFrame
+    required_meds: DataFrame, required_rules: DataFrame, meds: DataFrame, rules: DataFrame, existing: DataFrame, go_on: bool = False
 ) -> DataFrame:
     """Passed and failed checks as (kind, message) rows, and one row `ok` that says whether none failed.
 
-    `existing` names the tables that there are; missing ones end the audit.  The counts behind the pass rows are single
-    aggregates, so nothing is gathered.
+    `existing` names the tables that there are; missing ones end the audit, or, with `go_on`, only the checks that
+    read them.  The counts behind the pass rows are single aggregates, so nothing is gathered.
     """
     spark = meds.sparkSession
     # at most as many names as there are required tables
     gaps = [r.name for r in missing_tables(existing).collect()]
-    if gaps:
-        return spark.createDataFrame(
-            [("failure", f"Missing required tables: {', '.join(gaps)}"), ("ok", "false")], "kind string, message string"
-        )
+    without = spark.createDataFrame([("failure", f"Missing required tables: {', '.join(gaps)}")], "kind string, message string")
+    if gaps and not go_on:
+        return without.union(spark.createDataFrame([("ok", "false")], without.schema))
     med_faults = medication_faults(required_meds, meds)
     keys = ["generic_name", "gene", "phenotype"]
     have = rules_with_medication(rules, meds).distinct().withColumn("_have", F.lit(True))
@@ -130,7 +129,11 @@ def audit_coverage(
             F.lit("Required MVP drug-gene rules exist ("), F.col("n").cast("string"), F.lit(" phenotype rules).")
         ).alias("message"),
     )
-    parts = [tables_passed, meds_passed, rules_passed, med_faults.select("kind", "message"), rule_faults]
+    parts = [without if gaps else tables_passed]
+    if "medications" not in gaps:
+        parts += [meds_passed, med_faults.select("kind", "message")]
+    if not {"medications", "drug_gene_rules"} & set(gaps):
+        parts += [rules_passed, rule_faults]
     found = reduce(DataFrame.unionByName, parts)
     ok = found.agg((F.count_if(F.col("kind") == "failure") == 0).cast("string").alias("message"))
     return found.unionByName(ok.select(F.lit("ok").alias("kind"), "message"))

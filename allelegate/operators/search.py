@@ -52,7 +52,9 @@ def gene_profile(requests: DataFrame, patients: DataFrame, pgx: DataFrame) -> Da
     who = F.nullif(trim_all("patient_id"), F.lit("")) if text_id else F.col("patient_id")
     asked = requests.select(who.alias("patient_id")).distinct()
     known = patients.select(F.col("id").alias("_known"))
-    rows = results_by_gene(pgx).select(
+    # only what is asked for is numbered
+    wanted = pgx.join(asked.select(F.col("patient_id").alias("_asked")), F.col("patient_id") == F.col("_asked"), "left_semi")
+    rows = results_by_gene(wanted).select(
         F.col("patient_id").alias("_owner"), F.col("id").alias("pgx_result_id"), "gene", "phenotype", "genotype", "position"
     )
     found = asked.join(known, F.col("patient_id") == F.col("_known"), "left")

@@ -7,6 +7,7 @@ import textwrap
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allelegate.functions import shapes as X
 from allelegate.operators import match as M
 from allelegate.plans.fixtures import view
 from allelegate.queries import query
@@ -351,3 +352,19 @@ def active_medications(spark, sf):
 @query("approved_rules", "select * from fx_rules where review_status = 'approved'")
 def approved_rules(spark, sf):
     return M.approved_rules(view(spark, sf, "fx_rules"))
+
+
+@query(
+    "shape_matches",
+    f"""with {REQ_PLAIN}, {DECISION}
+        select f.order_id, f.line_no, h.pos as position, h.gene, h.phenotype, h.risk_level as "riskLevel",
+          h.patient_summary as "patientSummary", h.clinician_summary as "clinicianSummary",
+          h.recommended_action as "recommendedAction", h.evidence_source as "evidenceSource", h.rule_id as "ruleId",
+          h.pgx_result_id as "pgxResultId"
+        from facts f join hit h on h.pid = f.pid and h.mid = f.mid where f.branch = 'matched'""",
+)
+def shape_matches(spark, sf):
+    """All matches of every decision, under the field names that callers see."""
+    decided = M.match_risk(*inputs(spark, sf))
+    shaped = decided.select("order_id", "line_no", F.posexplode(X.shape_matches("matches")).alias("at", "m"))
+    return shaped.select("order_id", "line_no", (F.col("at") + 1).cast("bigint").alias("position"), "m.*")

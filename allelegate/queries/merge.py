@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allelegate.operators import consolidate as C
@@ -265,8 +266,11 @@ def remaining_patients(spark, sf):
 
 @query(
     "shared_users",
-    "select 'before' as state, count(*) as n from (select user_id from fx_patients where user_id is not null group by user_id having count(*) > 1) t "
-    "union all select 'after', 0",
+    f"""with {KEPT}, states as (select 'before' as state, user_id from fx_patients
+          union all select 'after', p.user_id from fx_patients p where not exists (select 1 from leaving m where m.from_id = p.id)),
+        shared as (select state, user_id from states where user_id is not null group by state, user_id having count(*) > 1)
+        select s.state, count(h.user_id) as n from (values ('before'), ('after')) s(state)
+          left join shared h on h.state = s.state group by s.state""",
 )
 def shared_users(spark, sf):
     """Users with several patients before and after consolidation."""
@@ -295,7 +299,11 @@ LEAVING = "select id from fx_patients where first_name like '%7'"
           else h.pgx_result_id end from fx_history h where h.patient_id not in (select id from gone)""",
 )
 def cascade_delete(spark, sf):
-    left = C.cascade_delete(tables(spark, sf), "patients", read_sql(spark, sf, LEAVING))
+    return remaining(C.cascade_delete(tables(spark, sf), "patients", read_sql(spark, sf, LEAVING)))
+
+
+def remaining(left: dict[str, DataFrame]) -> DataFrame:
+    """The ids that a delete leaves in each table, and the results that history rows still name."""
     link = {"risk_results": F.col("pgx_result_id")}
     parts = [
         df.select(
@@ -311,6 +319,33 @@ def cascade_delete(spark, sf):
     return out
 
 
+# Accounts whose number ends in 7 are closed: their sessions, patients and all that these own go too.
+CLOSING = "select id from fx_users where id % 10 = 7"
+
+
+@query(
+    "cascade_from_users",
+    f"""with closing as ({CLOSING}), gone as (select p.id from fx_patients p join closing c on c.id = p.user_id),
+        gone_pgx as (select p.id from fx_store_pgx p join gone on gone.id = p.patient_id)
+        select 'users' as kind, cast(u.id as varchar) as id, cast(null as varchar) as link from fx_users u
+          where not exists (select 1 from closing c where c.id = u.id)
+        union all
+        select 'user_sessions', s.id, null from fx_sessions s where not exists (select 1 from closing c where c.id = s.user_id)
+        union all
+        select 'patients', cast(p.id as varchar), null from fx_patients p where not exists (select 1 from gone g where g.id = p.id)
+        union all
+        select 'pgx_results', p.id, null from fx_store_pgx p where not exists (select 1 from gone g where g.id = p.patient_id)
+        union all
+        select 'patient_medications', l.id, null from fx_list l where not exists (select 1 from gone g where g.id = l.patient_id)
+        union all
+        select 'risk_results', h.id, case when not exists (select 1 from gone_pgx x where x.id = h.pgx_result_id) then h.pgx_result_id end
+          from fx_history h where not exists (select 1 from gone g where g.id = h.patient_id)""",
+)
+def cascade_from_users(spark, sf):
+    store = {"users": view(spark, sf, "fx_users"), "user_sessions": view(spark, sf, "fx_sessions"), **tables(spark, sf)}
+    return remaining(C.cascade_delete(store, "users", read_sql(spark, sf, CLOSING)))
+
+
 @query(
     "restricted_delete",
     """with used as (select distinct medication_id from fx_list union select distinct medication_id from fx_rules
