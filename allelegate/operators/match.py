@@ -117,11 +117,25 @@ def first_results(pgx: DataFrame) -> DataFrame:
 
 
 def match_first(requests: DataFrame, rules: DataFrame, pgx: DataFrame) -> DataFrame:
-    """Each approved rule of a requested medication with the patient's first matching result."""
-    pairs = request_pairs(requests)
-    return pairs.join(keyed_rules(rules).where("gene_key <> ''"), "medication_id").join(
-        first_results(pgx), ["patient_id", "gene_key", "phenotype_key"]
+    """Each approved rule of a requested medication with the patient's first matching result.
+
+    A pair meets its patient's results as one array, no longer than the gene and phenotype pairs that rules use, and its
+    medication's rules last: the rows of (pair, rule) are filtered where they arise and never shuffled.
+    """
+    named = keyed_rules(rules).where("gene_key <> ''")
+    used = named.select("gene_key", "phenotype_key").distinct()
+    result = F.struct("gene_key", "phenotype_key", "pgx_result_id")
+    held = (
+        first_results(pgx)
+        .join(used, ["gene_key", "phenotype_key"], "left_semi")
+        .groupBy("patient_id")
+        .agg(F.collect_list(result).alias("_results"))
     )
+    same = lambda r: (r["gene_key"] == F.col("gene_key")) & (r["phenotype_key"] == F.col("phenotype_key"))
+    met = request_pairs(requests).join(held, "patient_id").join(named, "medication_id")
+    hits = met.where(F.exists("_results", same)).withColumn("pgx_result_id", F.filter("_results", same)[0]["pgx_result_id"])
+    keys = ["patient_id", "gene_key", "phenotype_key", "medication_id"]
+    return hits.select(*keys, *[c for c in named.columns if c not in keys], "pgx_result_id")
 
 
 def match_risk(
@@ -309,10 +323,10 @@ def _facts_by_rows(requests, patients, meds, rules, pgx) -> DataFrame:
         .groupBy("patient_id", "medication_id")
         .agg(F.sort_array(F.collect_list(match)).alias("_found"))
     )
+    # Narrow joins first: what a pair gathers is shuffled once, to meet the other facts of its pair.
     decided = (
-        pairs.join(n_rules, "medication_id", "left")
-        .join(needed, "medication_id", "left")
-        .join(having, "patient_id", "left")
+        pairs.join(having, "patient_id", "left")
+        .join(n_rules.join(needed, "medication_id", "left"), "medication_id", "left")
         .join(gaps, ["patient_id", "medication_id"], "left")
         .join(found, ["patient_id", "medication_id"], "left")
         .withColumnRenamed("patient_id", "_p")
@@ -322,8 +336,8 @@ def _facts_by_rows(requests, patients, meds, rules, pgx) -> DataFrame:
     empty = F.array().cast("array<string>")
     genes = lambda c: F.coalesce(F.transform(c, lambda g: g["gene"]), empty)
     return (
-        requests.join(decided, on, "left")
-        .join(patients.select(F.col("id").alias("_patient_id")), F.col("_patient") == F.col("_patient_id"), "left")
+        requests.join(patients.select(F.col("id").alias("_patient_id")), F.col("_patient") == F.col("_patient_id"), "left")
+        .join(decided, on, "left")
         .join(_medication_columns(meds), F.col("_medication") == F.col("_med_id"), "left")
         .select(
             *[c for c in requests.columns if c not in ("_patient", "_medication")],
