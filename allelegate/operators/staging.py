@@ -214,14 +214,18 @@ def dedupe_last(rules: DataFrame, order: list[str], approval_aware: bool = False
     """
     place = F.struct(*order)
     rank = F.struct((F.col("review_status") == D.APPROVED).alias("a"), *order) if approval_aware else place
-    payload = [c for c in rules.columns if c not in order]
+    names = [c for c in rules.columns if c not in order]
+    # What a key holds as it is comes from the key, and need not be carried twice.
+    own = {"medication_generic_name": "_generic", "evidence_source": "_evidence"}
+    payload = [c for c in names if c not in own]
     kept = (
         rules.withColumns(dedupe_key())
         .groupBy("_generic", "_gene", "_phenotype", "_evidence")
         .agg(F.max_by(F.struct(*payload), rank).alias("_last"), F.min(place).alias("_first"))
     )
     return kept.select(
-        *[F.col(f"_last.{c}").alias(c) for c in payload], *[F.col(f"_first.{c}").alias(f"first_{c}") for c in order]
+        *[F.col(own.get(c, f"_last.{c}")).alias(c) for c in names],
+        *[F.col(f"_first.{c}").alias(f"first_{c}") for c in order],
     )
 
 
