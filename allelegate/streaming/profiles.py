@@ -31,6 +31,25 @@ def patient_rows(patients: DataFrame, pgx: DataFrame) -> DataFrame:
     return patients.select(F.col("id").cast("string").alias("patient_id")).distinct().join(grouped, "patient_id", "left")
 
 
+def used_facts(patients: DataFrame, medications: DataFrame) -> DataFrame:
+    """Patients' genes and results that some rule of `medications` uses, as `match_profiles` takes them.
+
+    The lists of what is used depend on the curated rules only; a patient without any keeps empty ones.
+    """
+    values = lambda c, field: medications.select(F.explode(F.col(c)[field]).alias("v")).distinct().agg(F.collect_set("v").alias(f"_used_{field}"))
+    used = values("_required", "key").crossJoin(values("_rules", "pair"))
+    pairs = F.array_intersect(F.col("results")["pair"], F.col("_used_pair"))
+    return (
+        patients.crossJoin(F.broadcast(used))
+        .withColumn("_pairs", pairs)
+        .select(
+            F.col("patient_id").alias("_patient_id"),
+            F.array_intersect("genes", "_used_key").alias("_genes"),
+            F.map_from_entries(F.filter("results", lambda r: F.array_contains("_pairs", r["pair"]))).alias("_found"),
+        )
+    )
+
+
 @dataclass
 class Profiles:
     """Results in buckets of patients, and the profiles of patients and medications, all under `root`."""
@@ -99,15 +118,13 @@ class Profiles:
         )
 
     def match(self, requests: DataFrame) -> DataFrame:
-        """Decisions for a batch of requests, from the buckets of its patients and medications."""
+        """Decisions for a batch of requests, from the buckets of its patients and medications.
+
+        A patient's results go along with every request, so they are first brought down to what these medications' rules use.
+        """
         ids = requests.select(*[trim_all(F.col(c).cast("string")).alias(c) for c in ("patient_id", "medication_id")])
-        patients = self.patients.read(self.patients.touched(ids))
-        side = patients.select(
-            F.col("patient_id").alias("_patient_id"),
-            F.col("genes").alias("_genes"),
-            F.map_from_entries("results").alias("_found"),
-        )
-        return match_profiles(requests, side, self.medications.read(self.medications.touched(ids, "medication_id")))
+        medications = self.medications.read(self.medications.touched(ids, "medication_id"))
+        return match_profiles(requests, used_facts(self.patients.read(self.patients.touched(ids)), medications), medications)
 
     def history_stream(self, requests: DataFrame, path: str, checkpoint: str, request: list[str], clock: str | None = None, **trigger) -> StreamingQuery:
         """Decide streamed requests against the profiles as they are, and keep the history, a run per micro-batch.

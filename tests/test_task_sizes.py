@@ -9,6 +9,7 @@ from allelegate.operators import match as M
 from allelegate.operators import staging as S
 from allelegate.plans import session
 from allelegate.plans.schemas import STAGED_COLUMNS
+from allelegate.streaming import profiles as P
 
 
 def plan(df) -> str:
@@ -79,3 +80,16 @@ def test_rows_of_pairs_and_rules_are_filtered_where_they_arise(spark):
     lines = plan(found).splitlines()
     last = next(i for i, line in enumerate(lines) if "Join " in line)
     assert "medication_id" in lines[last] and "exists(" in "".join(lines[: last + 1])
+
+
+def test_profiles_send_what_rules_use(spark):
+    meds = spark.createDataFrame([(1, "m", "b", "c", True), (2, "n", "b", "c", True)], "id long, generic_name string, brand_name string, drug_class string, is_active boolean")
+    rules = spark.createDataFrame([(1, 1, "g", "p", "caution", "approved")], "id long, medication_id long, gene string, phenotype string, risk_level string, review_status string")
+    patients = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    pgx = spark.createDataFrame(
+        [(1, 1, "g", "p", 1), (2, 1, "g", "q", 1), (3, 1, "h", "p", 1), (4, 2, "h", "p", 1)], "id long, patient_id long, gene string, phenotype string, updated_at int")
+    rows = P.patient_rows(patients, pgx)
+    got = {r._patient_id: (r._genes, r._found) for r in P.used_facts(rows, M.medication_profiles(meds, rules)).collect()}
+    assert got == {"1": (["g"], {"g\u0001p": 1}), "2": ([], {}), "3": (None, None)}
+    none = P.used_facts(rows, M.medication_profiles(meds.limit(0), rules))
+    assert {r._patient_id: r._genes for r in none.collect()} == {"1": [], "2": [], "3": None}
