@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,33 +31,44 @@ def _stop(df: DataFrame, error: Column) -> DataFrame:
 
 
 def _records(spark: SparkSession, path: str | list[str], label: str, lines: bool) -> DataFrame:
-    """(ord_file, ord_block, ord_envelope, ord_record, record text), one row per record."""
+    """(ord_file, ord_block, ord_envelope, ord_record, record text), one row per record.
+
+    An envelope is parsed once, inside the generator, below which no filter is pushed; its text is parsed again only to
+    tell what is wrong with it.
+    """
     text = spark.read.text(path, wholetext=not lines).select(
         F.col("_metadata.file_path").alias("ord_file"),
         F.col("_metadata.file_block_start").alias("ord_block"),
         F.monotonically_increasing_id().alias("ord_envelope"),
         "value",
     )
-    parsed = text.withColumn("_records", F.from_json("value", "records array<string>")["records"])
+    # the other functions know no NaN either
+    records = F.from_json("value", "records array<string>", {"allowNonNumericNumbers": "false"})["records"]
     error = (
         F.when(F.get_json_object("value", "$").isNull(), F.concat(F.lit("Input file is not valid JSON: "), "ord_file"))
         .when(F.json_object_keys("value").isNull(), F.lit(f"{label} input must be a JSON object."))
-        .when(F.col("_records").isNull(), F.lit(f"{label} input must contain a records array."))
-        .when(F.size("_records") == 0, F.lit(f"{label} input records array is empty."))
+        .otherwise(F.lit(f"{label} input must contain a records array."))
     )
-    good = _stop(parsed, error)
-    return good.select(
-        "ord_file", "ord_block", "ord_envelope", F.posexplode("_records").alias("_pos", "record")
-    ).select("ord_file", "ord_block", "ord_envelope", (F.col("_pos") + 1).alias("ord_record"), "record")
+    found = F.coalesce(records, F.raise_error(error).cast("array<string>"))
+    rows = text.select("ord_file", "ord_block", "ord_envelope", F.posexplode_outer(found).alias("_pos", "record"))
+    good = _stop(rows, F.when(F.col("_pos").isNull(), F.lit(f"{label} input records array is empty.")))
+    return good.select("ord_file", "ord_block", "ord_envelope", (F.col("_pos") + 1).alias("ord_record"), "record")
 
 
-def _typed(rows: DataFrame, error: Column, schema: str, strict: bool) -> DataFrame:
+def _typed(rows: DataFrame, fine: Column, error: Column, schema: str, strict: bool) -> DataFrame:
+    """Records as columns, parsed once by a generator; `error` looks at the text only where they are not `fine`."""
     order = ["ord_file", "ord_block", "ord_envelope", "ord_record"]
+    typed = rows.select(*order, "record", F.inline(F.array(F.from_json("record", schema))))
+    error = F.when(~F.coalesce(fine, F.lit(False)), error)
+    fields = [c for c in typed.columns if c not in (*order, "record")]
     if strict:
-        rows = _stop(rows, error)
-        return rows.select(*order, F.from_json("record", schema).alias("r")).select(*order, "r.*")
-    typed = rows.select(*order, "record", error.alias("error"), F.from_json("record", schema).alias("r"))
-    return typed.select(*order, "r.*", "error", "record")
+        return _stop(typed, error).select(*order, *fields)
+    return typed.select(*order, *fields, error.alias("error"), "record")
+
+
+def _present(names: list[str]) -> Column:
+    """A required key with a value is there; only one without may be a lack."""
+    return reduce(Column.__and__, [F.col(n).isNotNull() for n in names])
 
 
 def read_collected(spark: SparkSession, path: str | list[str], lines: bool = False, strict: bool = True) -> DataFrame:
@@ -77,7 +89,8 @@ def read_collected(spark: SparkSession, path: str | list[str], lines: bool = Fal
         .when(blank("genericName"), F.concat(which, F.lit(" medication is missing genericName.")))
         .when(blank("brandName"), F.concat(which, F.lit(" medication is missing brandName.")))
     )
-    return _typed(rows, error, RAW_RECORD, strict)
+    named = (F.col("medication.genericName") != "") & (F.col("medication.brandName") != "")
+    return _typed(rows, _present(D.RAW_REQUIRED) & named, error, RAW_RECORD, strict)
 
 
 def read_normalized(spark: SparkSession, path: str | list[str], lines: bool = False, strict: bool = True) -> DataFrame:
@@ -88,7 +101,7 @@ def read_normalized(spark: SparkSession, path: str | list[str], lines: bool = Fa
     error = F.when(
         F.json_object_keys("record").isNull(), F.concat(which, F.lit(" must be an object."))
     ).when(F.size(missing) > 0, F.concat(which, F.lit(" is missing fields: "), F.array_join(missing, ", ")))
-    return _typed(rows, error, NORMALIZED_RECORD, strict)
+    return _typed(rows, _present(D.NORMALIZED_REQUIRED), error, NORMALIZED_RECORD, strict)
 
 
 def load_normalized_rules(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from allelegate.functions.text import IMPORT_SPACE, norm_gene, norm_key, norm_text
 from allelegate.operators import consolidate as C
 from allelegate.operators import match as M
 from allelegate.operators import staging as S
 from allelegate.plans import session
-from allelegate.plans.schemas import STAGED_COLUMNS
+from allelegate.plans.schemas import RAW_RECORD, STAGED_COLUMNS
+from allelegate.sources import envelopes
 from allelegate.streaming import profiles as P
 
 
@@ -93,3 +97,31 @@ def test_profiles_send_what_rules_use(spark):
     assert got == {"1": (["g"], {"g\u0001p": 1}), "2": ([], {}), "3": (None, None)}
     none = P.used_facts(rows, M.medication_profiles(meds.limit(0), rules))
     assert {r._patient_id: r._genes for r in none.collect()} == {"1": [], "2": [], "3": None}
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    path = str(tmp_path / "records")
+    record = ("p", "x", "u", ("a", "b", None), "g", "p", None, "r", None, None, None, None, None)
+    envelopes.write_envelope_json(spark.createDataFrame([record], RAW_RECORD), path, {}, 5)
+    for read in (envelopes.read_collected, envelopes.read_normalized):
+        assert plan(read(spark, path, lines=True)).count("from_json(") <= 2
+    assert envelopes.read_collected(spark, path, lines=True).first().medication.genericName == "a"
+
+
+def test_plain_text_is_not_matched_against_all_white_space(spark):
+    texts = ["", " ", "a", " a b ", "a  b", "\ta\n\nB", "\xa0É\u2003 x", "A\x1fb", "~! Q", "  z", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = frame.select(norm_text("t").alias("x"), norm_key("t").alias("k"), norm_gene("t").alias("g")).collect()
+    want = [" ".join(re.split(f"[{IMPORT_SPACE}]+", (t or "").strip(IMPORT_SPACE))) for t in texts]
+    assert [(r.x, r.k, r.g) for r in got] == [(w, w.lower(), w.upper()) for w in want]
+    assert "RLIKE" in plan(frame.select(norm_text("t")))
+
+
+def test_a_delete_reads_and_shuffles_a_table_once(spark):
+    patients = spark.createDataFrame([(1, 1), (2, 2), (None, 1)], "id int, user_id int")
+    lists = spark.createDataFrame([("a", 1, 7), ("b", 2, 7), (None, 1, 7)], "id string, patient_id int, medication_id int")
+    tables = {"patients": patients, "patient_medications": lists}
+    out = C.cascade_delete(tables, "patients", spark.createDataFrame([(1,)], "id int"))
+    left = out["patient_medications"]
+    assert plan(left).count("Join") == 1
+    assert {r.id for r in left.collect()} == {"b", None} and {r.id for r in out["patients"].collect()} == {2, None}
