@@ -49,6 +49,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     ids = np.asarray(ids, np.uint32)
     if len(ids) and int(ids.max()).bit_length() > bits:
         raise ValueError(f"an id needs more than {bits} bits")
+    if bits in (8, 16, 32):  # whole bytes, in the same order
+        return ids.astype(f"<u{bits // 8}").tobytes()
     flags = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=bits, bitorder="little")
     return np.packbits(flags.ravel(), bitorder="little").tobytes()
 
@@ -57,6 +59,9 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids start to stop of a packed block; only their own bytes are touched."""
     if stop <= start:
         return np.empty(0, np.uint32)
+    if bits in (8, 16, 32):
+        size = bits // 8
+        return np.frombuffer(payload, f"<u{size}", stop - start, size * start).astype("<u4")
     low = bits * start // 8
     raw = np.frombuffer(payload, np.uint8)[low : (bits * stop + 7) // 8]
     skip = bits * start - 8 * low
@@ -82,16 +87,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.bar = self.tokenizer.encode_batch_fast(["|"], add_special_tokens=False)[0].ids
+
+    def words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters, many of them in one text: a text costs more than a word, and bars tell words apart."""
+        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        texts = [" | ".join(group) for group in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            bars = 4 * np.flatnonzero(ids == self.bar[0])
+            if len(self.bar) != 1 or len(bars) != len(group) - 1:
+                raise ValueError("the vocabulary has no token of its own for |")
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in zip([0, *(bars + 4).tolist()], [*bars.tolist(), len(raw)], strict=True))
 
     def learn(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of new parts, as bytes of unsigned 32-bit numbers; remembered while there is room."""
         known = self.known
-        plain = {}
+        plain, letters, others = {}, set(), set()
         for part in parts:
             found = PLAIN.fullmatch(part)
-            plain[part] = (found[1].lower(), found[2]) if found else (part,)
-        new = list({piece for pieces in plain.values() for piece in pieces if piece not in known})
-        fresh = {"": b""}
+            if found:
+                plain[part] = pieces = found[1].lower(), found[2]
+                letters.add(pieces[0])
+                others.add(pieces[1])
+            else:
+                plain[part] = (part,)
+                others.add(part)
+        words = [word for word in letters if word not in known]
+        new = [piece for piece in others if piece not in known]
+        fresh = {"": b""} | dict(zip(words, self.words(words), strict=True))
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             fresh[piece] = np.array(found.ids, "<u4").tobytes()
         out = {part: b"".join([fresh[x] if x in fresh else known[x] for x in pieces]) for part, pieces in plain.items()}

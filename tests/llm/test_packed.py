@@ -54,3 +54,20 @@ def test_files(spark):
 
 def test_empty_table(spark):
     assert packed_ids.packed(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_words_are_encoded_many_at_a_time():
+    encoder = packed_ids.Encoder(PATH)
+    words = [f"{a}{b}x{c}" for a in "abcdefghijk" for b in "éüñopq" for c in "rstuvwß"]
+    whole = Tokenizer.from_file(PATH)
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    found = encoder.encode([" ".join(words) + " A|B |, Word."])[0]
+    assert list(found) == whole.encode(" ".join(words) + " A|B |, Word.", add_special_tokens=False).ids
+    assert len(given) < 20 < len(words)
