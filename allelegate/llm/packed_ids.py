@@ -127,14 +127,14 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = {w for words in parts for w in words if w not in known}
-        learned = self.learn(new) if new else {}
-        if new and len(known) >= CACHE:
-            find = lambda w: known[w] if w in known else learned[w]
-        else:
-            find = known.__getitem__
-        return [np.frombuffer(b"".join(map(find, words)), "<u4") for words in parts]
+        held = [list(map(self.known.get, words)) for words in parts]
+        new = {w for words, ids in zip(parts, held, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        if new:
+            learned = self.learn(new)
+            for words, ids in zip(parts, held, strict=True):
+                if None in ids:
+                    ids[:] = [learned[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in held]
 
 
 def _blocks(path: str, end: int, bits: int):
