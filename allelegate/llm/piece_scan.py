@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,12 +35,12 @@ from allelegate.llm.tables import computed, per_worker, stored, widths
 
 SPACE = "▁"
 START, OTHER = -2, -1
-#: A word and the signs after it.
-TAIL = re.compile(r"(.*\w)([^\w▁]+)", re.S)
 #: Characters of a chunk; longer texts are encoded in several.
 CHUNK = 1 << 15
 #: Places in a worker's memory of encoded words.
 CACHE = 400_000
+#: Characters of texts whose new words are learned at once.
+BLOCK = 1 << 19
 
 
 class Pieces:
@@ -54,12 +55,14 @@ class Pieces:
         self.ids = {self.names[i]: i for i in range(len(self.names)) if plain[i]}
         self.rank = {name: (-model.get_score(i), i) for name, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        # pieces by their signs from the first on, and from the last back
         self.tree: dict = {}
+        self.ends: dict = {}
         for name, i in self.ids.items():
-            node = self.tree
-            for sign in name:
-                node = node.setdefault(sign, {})
-            node[0] = i
+            for node, signs in ((self.tree, name), (self.ends, name[::-1])):
+                for sign in signs:
+                    node = node.setdefault(sign, {})
+                node[0] = i
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(self.names) if model.is_byte(i)}
         if len(self.bytes) != 256 or any(SPACE in n.lstrip(SPACE) for n in self.ids):
             raise ValueError("needs a model with byte pieces and no piece across words")
@@ -69,7 +72,6 @@ class Pieces:
         # a character without a piece stands alone, so text splits there as well
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if "\n" in self.ids else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.pairs: dict[int, bool] = {}
-        self.spell = set(self.bytes.values())
         self.made: dict[int, tuple[list, list, list]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -166,53 +168,70 @@ class Pieces:
             piece = next(p for p in at[end - base] if self.compatible(p, piece))
         return out[::-1]
 
-    def unit(self, text: str) -> tuple[int, ...]:
-        """Ids of one word: its lattice with one way in, and the path of weight 0 through it."""
-        found = self.known.get(text)
-        if found is not None:
-            return found
-        tail = TAIL.fullmatch(text)
-        if tail:
-            # two paths of weight 0 make one if the pieces that meet are compatible
-            left, right = self.unit(tail[1]), self.unit(tail[2])
-            ends = (OTHER if i in self.spell else i for i in (left[-1], right[0]))
-            if self.compatible(*ends):
-                return self.kept(text, left + right)
-        pairs, wide, tree = self.pairs, len(self.names), self.tree
-        # per place, each piece that ends there on a path of weight 0, with the piece before it
-        at: list[dict[int, int]] = [{} for _ in range(len(text) + 1)]
-        at[0][START] = START
-        for place, here in enumerate(at[:-1]):
-            if not here:
-                continue
-            node = tree
-            if 0 not in node.get(text[place], ()):
-                at[place + 1][OTHER] = next(iter(here))
-            for end in range(place, len(text)):
-                node = node.get(text[end])
-                if node is None:
+    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of different words: each one's lattice with one way in, and the path of weight 0 through it.
+
+        Up to any place just one path has weight 0, the encoding of what stands before it, so a place has one piece.
+        It depends on the text before the place alone: words go in order, and one keeps the places that it shares with the
+        word before.
+        """
+        pairs, wide, ends, names, compatible = self.pairs, len(self.names), self.ends, self.names, self.compatible
+        found: dict[str, tuple[int, ...]] = {}
+        at, previous = [START], ""
+        for text in sorted(words):
+            same = 0
+            for x, y in zip(previous, text, strict=False):
+                if x != y:
                     break
-                piece = node.get(0)
-                if piece is None:
-                    continue
-                for before in here:
+                same += 1
+            del at[same + 1 :]
+            previous = text
+            for place in range(same + 1, len(text) + 1):
+                node, begin, last = ends, place, None
+                while begin:
+                    begin -= 1
+                    node = node.get(text[begin])
+                    if node is None:
+                        break
+                    piece = node.get(0)
+                    if piece is None:
+                        continue
+                    before = at[begin]
+                    if before is None:
+                        continue
                     fits = True if before < 0 else pairs.get(before * wide + piece)
-                    if fits is None:
-                        fits = self.compatible(before, piece)
-                    if fits:
-                        at[end + 1][piece] = before
+                    if fits or fits is None and compatible(before, piece):
+                        last = piece
                         break
-        end, piece = len(text), next(iter(at[-1]))
-        path = []
-        while end:
-            path.append(piece)
-            end, piece = end - self.size(piece), at[end][piece]
-        return self.kept(text, tuple(self.spelled(text, 0, path[::-1])))
-
-    def kept(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
-        if len(self.known) < CACHE:
-            self.known[text] = ids
-        return ids
+                if last is None and text[place - 1] not in self.ids and at[place - 1] is not None:
+                    last = OTHER
+                at.append(last)
+            path, place, plain = [], len(text), True
+            while place:
+                piece = at[place]
+                path.append(piece)
+                if piece == OTHER:
+                    plain = False
+                    place -= 1
+                else:
+                    place -= len(names[piece])
+            path.reverse()
+            found[text] = tuple(path) if plain else tuple(self.spelled(text, 0, path))
+        return found
+
+    def ids_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Ids of texts that are given as their words."""
+        known = self.known
+        new = set().union(*texts).difference(known)
+        if new and len(known) < CACHE:
+            known.update(self.learn(new))
+            new = set()
+        if new:
+            more = self.learn(new)
+            of = lambda word: known.get(word) or more[word]
+        else:
+            of = known.__getitem__
+        return [np.fromiter(chain.from_iterable(map(of, words)), np.int32) for words in texts]
 
     def spelled(self, text: str, start: int, pieces: list[int]) -> Iterator[int]:
         """Ids of pieces that stand in `text` from `start` on; characters without a piece give their bytes."""
@@ -223,13 +242,29 @@ class Pieces:
                 yield piece
             start += self.size(piece)
 
+    def begins(self, text: str, place: int) -> bool:
+        """Whether `units` starts a new one there."""
+        if not place:
+            return True
+        before, here = text[place - 1], text[place]
+        return here == SPACE != before or "\n" not in self.ids and "\n" in (before, here)
+
+    def words(self, text: str | None) -> list[str]:
+        return self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text that is one chunk."""
-        out: list[int] = []
-        if text:
-            known, unit = self.known.get, self.unit
-            for word in self.units.findall(SPACE + text.replace(" ", SPACE)):
-                out += known(word) or unit(word)
+        return self.ids_of([self.words(text)])[0].tolist()
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of texts that are one chunk each; the words of about BLOCK characters are learned together."""
+        out: list[np.ndarray] = []
+        start = held = 0
+        for stop, text in enumerate(texts, 1):
+            held += len(text or "")
+            if held >= BLOCK or stop == len(texts):
+                out += self.ids_of([self.words(t) for t in texts[start:stop]])
+                start, held = stop, 0
         return out
 
     def decode(self, ids) -> str:
@@ -247,6 +282,10 @@ class Chunk:
         self.first = not left
         self.entering = [(self.start, START)] if self.first else self.states(self.start)
         self.leaving = self.states(self.stop)
+        inside = range(self.start, self.stop)
+        #: The first and the last place inside where a word begins, if there is one.
+        self.head = next((i for i in inside if pieces.begins(self.text, i)), None)
+        self.tail = next((i for i in reversed(inside) if pieces.begins(self.text, i)), None)
 
     def states(self, cut: int) -> list[tuple[int, int]]:
         """(end, piece) of all pieces that start before the cut and end at it or later, in one fixed order."""
@@ -255,26 +294,51 @@ class Chunk:
             found += [(end, piece) for end, piece in self.pieces.arcs(self.text, begin) if end >= cut]
         return sorted(found)
 
-    def paths(self, masks: list[int]) -> tuple[list[dict[int, int]], list[int]]:
-        """The chunk's lattice, and for each leaving state the mask of entering ones that lead to it."""
+    def opened(self, masks: list[int], stop: int) -> list[dict[int, int]]:
+        """The lattice from the left cut on, of pieces that start before `stop`."""
+        text = self.text if stop == self.stop else self.text[:stop]
         entering: list[dict[int, int]] = [{} for _ in range(self.pieces.longest + 1)]
         for (end, piece), mask in zip(self.entering, masks, strict=True):
             if mask:
                 entering[end - self.start][piece] = mask
-        entering = entering[: len(self.text) + 1 - self.start]
-        at = self.pieces.lattice(self.text, self.start, self.stop, entering)
-        return at, [at[end - self.start].get(piece, 0) for end, piece in self.leaving]
+        return self.pieces.lattice(text, self.start, stop, entering[: len(text) + 1 - self.start])
+
+    def closed(self) -> list[dict[int, int]]:
+        """The lattice of the last word that begins inside."""
+        return self.pieces.lattice(self.text[self.tail :], 0, self.stop - self.tail, [{START: 1}])
 
     def matrix(self) -> list[int]:
-        return self.paths([1 << k for k in range(len(self.entering))])[1]
+        """For each leaving state the mask of entering ones that lead to it.
+
+        Any two pieces may meet where a word begins, so a word inside has one state for all who come there: a matrix is
+        the column of its first word times the row of its last, and words between them pass everything on.
+        """
+        masks = [1 << k for k in range(len(self.entering))]
+        if self.head is None:
+            at = self.opened(masks, self.stop)
+            return [at[end - self.start].get(piece, 0) for end, piece in self.leaving]
+        through = 0
+        for mask in self.opened(masks, self.head)[self.head - self.start].values():
+            through |= mask
+        at = self.closed()
+        return [through if at[end - self.tail].get(piece) else 0 for end, piece in self.leaving]
 
     def ids(self, entered: int, left: int) -> list[int]:
         """Ids of the pieces that start inside, on the path from one entering to one leaving state."""
-        at, _ = self.paths([int(k == entered) for k in range(len(self.entering))])
+        masks = [int(k == entered) for k in range(len(self.entering))]
         end, piece = self.leaving[left]
         begin = self.entering[entered][0]
-        pieces = self.pieces.trace(at, self.start, begin, end, piece)
-        return list(self.pieces.spelled(self.text, begin, pieces))
+        pieces, text = self.pieces, self.text
+        if self.head is None:
+            path = pieces.trace(self.opened(masks, self.stop), self.start, begin, end, piece)
+            return list(pieces.spelled(text, begin, path))
+        first: list[int] = []
+        if begin < self.head:
+            at = self.opened(masks, self.head)
+            first = pieces.trace(at, self.start, begin, self.head, next(iter(at[self.head - self.start])))
+        between = pieces.ids_of([pieces.units.findall(text[self.head : self.tail])])[0].tolist()
+        last = pieces.trace(self.closed(), 0, 0, end - self.tail, piece)
+        return [*pieces.spelled(text, begin, first), *between, *pieces.spelled(text, self.tail, last)]
 
 
 def scan(matrices: list[list[int]]) -> list[tuple[int, int]]:
@@ -362,7 +426,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", chunk: int = CHUNK,
         pieces = per_worker(path, lambda: Pieces(path))
 
         def step(values: list) -> dict:
-            ids = [np.array(pieces.encode(t), np.int32) for t in values]
+            ids = pieces.encode_all(values)
             same = [pieces.decode(i.tolist()) == (t or "").replace(SPACE, " ") for i, t in zip(ids, values, strict=True)]
             return {"ids": ids, "n_tokens": [len(i) for i in ids], "n_chunks": [int(len(i) > 0) for i in ids], "round_trip": same}
 

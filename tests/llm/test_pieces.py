@@ -40,6 +40,24 @@ def test_like_the_library(library, pieces, text):
     assert pieces.decode(want) == library.decode(want) == text.replace("▁", " ")
 
 
+def test_chunks_of_words_walk_the_words_at_their_cuts_only(library, pieces, monkeypatch):
+    text = "Some words, näher\nbetween  two cuts 中x " * 60
+    walked, lattice = [], piece_scan.Pieces.lattice
+    monkeypatch.setattr(piece_scan.Pieces, "lattice", lambda self, t, start, stop, *rest: walked.append(stop - start) or lattice(self, t, start, stop, *rest))
+    assert in_chunks(pieces, text, 300) == library.encode(text)
+    assert 0 < sum(walked) < len(text) / 2
+
+
+@pytest.mark.parametrize("cache", [0, 3, 1000])
+def test_words_are_learned_together_and_a_full_memory_keeps_none(library, monkeypatch, cache):
+    monkeypatch.setattr(piece_scan, "CACHE", cache)
+    monkeypatch.setattr(piece_scan, "BLOCK", 40)
+    own = piece_scan.Pieces(PATH)
+    texts = [None, "", "a ab abc abcd abc.", "abc abcd\n\nabcde", *ODD, "ab abc"]
+    assert [ids.tolist() for ids in own.encode_all(texts)] == [library.encode(t) if t else [] for t in texts]
+    assert own.encode_all([]) == [] and (cache or not own.known)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("etaoin shrdlu.=-\né▁中"), min_size=1, max_size=60), st.integers(1, 20))
 def test_any_text_and_cut(library, pieces, text, size):
