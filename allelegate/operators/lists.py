@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -354,14 +356,11 @@ def split_new_and_known(incoming: DataFrame, saved: DataFrame, keys: dict[str, C
 
     The saved side is one row per key, so the join only adds a flag.
     """
-    names = list(keys)
-    have = saved.select(*[c.alias(k) for k, c in keys.items()]).distinct().withColumn("_known", F.lit(True))
-    return (
-        incoming.withColumns(keys)
-        .join(have, names, "left")
-        .withColumn("known", F.coalesce("_known", F.lit(False)))
-        .drop("_known", *names)
-    )
+    have = saved.select(*[c.alias(f"_saved{k}") for k, c in keys.items()]).distinct().withColumn("_known", F.lit(True))
+    # The keys of incoming rows are made for the join alone and not carried beside what they are made of.
+    same = reduce(and_, [c == F.col(f"_saved{k}") for k, c in keys.items()])
+    joined = incoming.join(have, same, "left").withColumn("known", F.coalesce("_known", F.lit(False)))
+    return joined.drop("_known", *keys, *[f"_saved{k}" for k in keys])
 
 
 def gene_key() -> dict[str, Column]:

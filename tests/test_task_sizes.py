@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from allelegate.functions.text import IMPORT_SPACE, norm_gene, norm_key, norm_text
 from allelegate.operators import consolidate as C
+from allelegate.operators import lists as L
 from allelegate.operators import match as M
 from allelegate.operators import staging as S
 from allelegate.plans import session
@@ -125,3 +126,14 @@ def test_a_delete_reads_and_shuffles_a_table_once(spark):
     left = out["patient_medications"]
     assert plan(left).count("Join") == 1
     assert {r.id for r in left.collect()} == {"b", None} and {r.id for r in out["patients"].collect()} == {2, None}
+
+
+def test_a_split_carries_no_key_beside_its_row(spark):
+    saved = spark.createDataFrame([(1, "a"), (1, "A "), (2, "x"), (None, "a")], "patient_id int, gene string")
+    rows = [(1, " A", 1), (1, "b", 2), (1, "a", 3), (2, None, 4), (None, "a", 5), (1, "a", 3)]
+    incoming = spark.createDataFrame(rows, "patient_id int, gene string, n int")
+    out = L.split_new_and_known(incoming, saved, L.gene_key())
+    assert out.columns == ["patient_id", "gene", "n", "known"]
+    assert sorted((r.n, r.known) for r in out.collect()) == [(1, True), (2, False), (3, True), (3, True), (4, False), (5, False)]
+    left = plan(out).split("Join ")[1].split("Aggregate")[0]
+    assert "AS _gene" not in left and "AS _patient" not in left
