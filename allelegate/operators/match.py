@@ -12,6 +12,9 @@ medications have very many rules.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -374,6 +377,8 @@ def _decide(facts: DataFrame) -> DataFrame:
         .when(F.coalesce(F.size("_matches"), F.lit(0)) <= 0, 7)
         .otherwise(8)
     )
+    # The first three decisions need the ids only: a filter on them reaches the joins, and repeats no work on arrays.
+    supported = reduce(and_, [F.col(c).isNotNull() for c in ("_patient", "_medication", "_med_id", "_patient_id")])
     plain = [c for c in facts.columns if not c.startswith("_") and c != "medication"]
     d = F.col("_decision")
     first = F.col("_primary")
@@ -394,7 +399,7 @@ def _decide(facts: DataFrame) -> DataFrame:
         F.col("_patient").alias("decided_patient"),
         F.col("_medication").alias("decided_medication"),
         by_decision(*BRANCHES).alias("branch"),
-        (d > 3).alias("supported"),
+        supported.alias("supported"),
         (d == 8).alias("matched"),
         by_decision(None, None, None, *insufficient, "matched").alias("status"),
         F.coalesce(first["risk_level"], by_decision(None, None, None, *insufficient, None)).alias("risk_level"),

@@ -137,3 +137,17 @@ def test_a_split_carries_no_key_beside_its_row(spark):
     assert sorted((r.n, r.known) for r in out.collect()) == [(1, True), (2, False), (3, True), (3, True), (4, False), (5, False)]
     left = plan(out).split("Join ")[1].split("Aggregate")[0]
     assert "AS _gene" not in left and "AS _patient" not in left
+
+
+def test_supported_rows_of_history_are_joined_without_the_others(spark):
+    requests = spark.createDataFrame([(1, 1), (None, 1), (1, None), (9, 1), (1, 9), (2, 1)], "patient_id long, medication_id long")
+    meds = spark.createDataFrame([(1, "m", "b", "c", True)], "id long, generic_name string, brand_name string, drug_class string, is_active boolean")
+    rules = spark.createDataFrame([(1, 1, "g", "p", "caution", "approved")], "id long, medication_id long, gene string, phenotype string, risk_level string, review_status string")
+    pgx = spark.createDataFrame([(1, 1, "g", "p", 1)], "id long, patient_id long, gene string, phenotype string, updated_at int")
+    for how in ("array", "rows"):
+        decided = M.match_risk(requests, spark.createDataFrame([(1,), (2,)], "id long"), meds, rules, pgx, how)
+        assert sorted((r.branch, r.supported) for r in decided.collect()) == [
+            ("matched", True), ("missing_ids", False), ("missing_ids", False), ("no_results", True), ("unknown_patient", False), ("unsupported", False)]
+    kept = M.risk_history_rows(M.match_risk(requests, spark.createDataFrame([(1,), (2,)], "id long"), meds, rules, pgx), "r", F.current_timestamp(), ["patient_id"])
+    filters = [line for line in plan(kept).splitlines() if "Filter " in line]
+    assert filters and not any("CASE WHEN" in line for line in filters)
