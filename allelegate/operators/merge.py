@@ -29,15 +29,17 @@ def last_value(column: str, order: list[str]) -> Column:
     return F.max_by(column, F.when(known, F.struct(*order)))
 
 
-def merge_on(target: DataFrame, incoming: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+def merge_on(
+    target: DataFrame, incoming: DataFrame, keys: list[str], columns: dict[str, Column], made: dict[str, Column] | None = None
+) -> DataFrame:
     """Full outer merge.  In `columns`, `t.x` is the stored value and `n.x` the incoming one.
 
-    The booleans `t._there` and `n._there` (null when absent) tell the cases apart.
+    `made` names columns that are made of these first, once per merged row.  The booleans `t._there` and `n._there` (null when absent) tell the cases apart.
     """
     t = target.withColumn("_there", F.lit(True)).alias("t")
     n = incoming.withColumn("_there", F.lit(True)).alias("n")
     on = [F.col(f"t.{k}") == F.col(f"n.{k}") for k in keys]
-    both = t.join(n, on, "full_outer")
+    both = t.join(n, on, "full_outer").withColumns(made or {})
     return both.select(
         *[F.coalesce(f"t.{k}", f"n.{k}").alias(k) for k in keys], *[c.alias(a) for a, c in columns.items()]
     )
@@ -85,11 +87,49 @@ RULE_VALUES = [
 ]
 
 
+# A mark and a letter stand between texts, for a null, and for a mark within a text.
+MARK = "\u0002"
+BREAK, NO_TEXT, PLAIN_MARK = f"{MARK}b", f"{MARK}n", f"{MARK}e"
+
+
+def packed(columns: list[str]) -> Column:
+    """Text columns as one text; `unpacked` gives them back, whatever they hold.
+
+    In a sort and in a shuffle a row of many short texts takes less room so than with a place and a length for each.
+    """
+    return F.array_join(F.array(*[F.replace(c, F.lit(MARK), F.lit(PLAIN_MARK)) for c in columns]), BREAK, NO_TEXT)
+
+
+def unpacked(text: str, columns: list[str]) -> dict[str, Column]:
+    parts = {c: F.split_part(F.col(text), F.lit(BREAK), F.lit(i)) for i, c in enumerate(columns, 1)}
+    return {c: F.replace(F.nullif(p, F.lit(NO_TEXT)), F.lit(PLAIN_MARK), F.lit(MARK)) for c, p in parts.items()}
+
+
+def text_columns(rows: DataFrame, columns: list[str]) -> list[str]:
+    types = dict(rows.dtypes)
+    return [c for c in columns if types[c] == "string"]
+
+
+def gated_packed(incoming: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
+    """`gated_last` with its text values `packed` in `_texts`, and whether the row is `_approved`."""
+    key_texts, texts = text_columns(incoming, keys), text_columns(incoming, values)
+    approved = (F.col("review_status") == D.APPROVED).alias("_approved")
+    place = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order)]
+    kept = [*[c for c in values if c not in texts], "_texts"]
+    by = [*[F.col(k) for k in keys if k not in key_texts], packed(key_texts).alias("_key")]
+    rank_and_row = F.struct(approved, *place, *kept[:-1], packed(texts).alias("_texts"))
+    last = incoming.groupBy(*by).agg(F.max(rank_and_row).alias("_last"))
+    key = unpacked("_key", key_texts)
+    return last.select(
+        *[key.get(k, F.col(k)).alias(k) for k in keys], *[F.col(f"_last.{c}").alias(c) for c in ["_approved", *kept]]
+    )
+
+
 def gated_last(incoming: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
     """Last approved row per key, else the last row: what a batch does before it meets the stored row."""
-    rank = F.struct((F.col("review_status") == D.APPROVED).alias("a"), *order)
-    best = incoming.groupBy(*keys).agg(F.max_by(F.struct(*values), rank).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{v}").alias(v) for v in values])
+    found = unpacked("_texts", text_columns(incoming, values))
+    best = gated_packed(incoming, keys, values, order)
+    return best.select(*keys, *[found.get(v, F.col(v)).alias(v) for v in values])
 
 
 def upsert_rules(
@@ -112,7 +152,10 @@ def upsert_rules(
     rows = checked(rows, "risk_level", "review_status", strict)
     if not strict:
         rows = rows.where("invalid is null")
-    best = gated_last(rows, ["generic_name", "gene", "phenotype"], RULE_VALUES, order)
+    # The winners' texts stay packed through both joins.
+    best = gated_packed(rows, ["generic_name", "gene", "phenotype"], RULE_VALUES, order)
+    texts = unpacked("n._texts", text_columns(rows, RULE_VALUES))
+    said = {v: F.col(f"_said_{v}" if v in texts else f"n.{v}") for v in RULE_VALUES}
     named = best.join(
         medications.select("generic_name", F.col("id").cast("string").alias("medication_id")), "generic_name"
     ).drop("generic_name")
@@ -120,7 +163,7 @@ def upsert_rules(
     new = F.col("n._there") & (
         F.col("t._there").isNull()
         | (F.col("t.review_status") != D.APPROVED)
-        | (F.col("n.review_status") == D.APPROVED)
+        | F.col("n._approved")
     )
     pick = lambda a, b: F.when(new, a).otherwise(b)
     return merge_on(
@@ -131,11 +174,12 @@ def upsert_rules(
             "id": F.coalesce(
                 F.col("t.id").cast("string"), stable_id(F.lit("rule"), "n.medication_id", "n.gene", "n.phenotype")
             ),
-            **{v: pick(F.col(f"n.{v}"), F.col(f"t.{v}")) for v in RULE_VALUES},
+            **{v: pick(said[v], F.col(f"t.{v}")) for v in RULE_VALUES},
             "imported_at": pick(F.coalesce(F.col("t.imported_at"), run_ts), F.col("t.imported_at")),
             "created_at": F.coalesce(F.col("t.created_at"), run_ts),
             "updated_at": pick(run_ts, F.col("t.updated_at")),
         },
+        {f"_said_{v}": text for v, text in texts.items()},
     )
 
 

@@ -141,3 +141,42 @@ def test_invalid_rules_name_no_medication(spark):
     assert [r.generic_name for r in merge(False).collect()] == ["new"]
     with pytest.raises(Exception, match="Invalid risk level: nonsense"):
         merge(True).collect()
+
+
+def test_texts_come_back_from_their_pack(spark):
+    odd = ["", " ", "a", "\u0001", "\u0002", "\u0002b", "\u0002n", "\u0002e", "x\u0002", "\u0002\u0002bn", "\u00e9\n\t\"", None]
+    data = [(a, b, c) for a in odd for b in odd for c in odd]
+    frame = spark.createDataFrame(data, "a string, b string, c string").select("*", G.packed(["a", "b", "c"]).alias("p"))
+    back = frame.select("a", "b", "c", "p", *[x.alias(f"_{n}") for n, x in G.unpacked("p", ["a", "b", "c"]).items()]).collect()
+    assert all((r.a, r.b, r.c) == (r._a, r._b, r._c) for r in back)
+    assert len({r.p for r in back}) == len(data)
+
+
+def test_rules_move_as_one_text_and_keep_odd_values(spark):
+    texts = ["", "\u0002b", "\u0002n", "a,b\u0001", None]
+    staged = spark.createDataFrame(
+        [("med\u0002", "b", "c", " g", f"P {i}", "caution", t, "c", "a", None, t, "v", state, float(n))
+         for i, t in enumerate(texts) for n, state in ((1, "approved"), (2, "rejected"), (0, "approved"), (float("nan"), "pending_review"))]
+        + [(None, "b", "c", "g", "p", "caution", "t", "c", "a", None, None, "v", "approved", 9.0), ("med\u0002", "b", "c", "g", "late", "caution", "1", "c", "a", None, None, "v", "rejected", None),
+           ("med\u0002", "b", "c", "g", "late", "caution", "2", "c", "a", None, None, "v", "pending_review", 0.0)],
+        ", ".join(f"{c} string" for c in STAGED_COLUMNS) + ", n double",
+    ).repartition(5)
+    at = F.lit(RUN).cast("timestamp")
+    medications = G.upsert_medications(frame(spark, "medications", []), staged, ["n"], at)
+    merged = G.upsert_rules(frame(spark, "drug_gene_rules", []), staged, medications, ["n"], at)
+    got = {r.phenotype: (r.gene, r.patient_summary, r.evidence_url, r.evidence_source, r.review_status) for r in merged.collect()}
+    assert got == {f"p {i}": ("G", t, t, None, "approved") for i, t in enumerate(texts)} | {"late": ("G", "2", None, None, "pending_review")}
+    lines = merged._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    whole = next(line for line in lines if "Aggregate" in line and "_approved" in line)
+    assert "max_by(" not in whole and "array_join(" in whole + "".join(lines[lines.index(whole) :])
+    joined = lines[next(i for i, line in enumerate(lines) if "Join FullOuter" in line) :]
+    assert not any("split_part" in line and "patient_summary" in line for line in joined)
+
+
+def test_last_rows_keep_values_of_other_types(spark):
+    rows = [("k", 1, "approved", "x", 5, 1), ("k", 1, "rejected", "y", 6, 2), ("k", None, "rejected", None, None, 1), (None, 1, "rejected", "z", 7, 1)]
+    df = spark.createDataFrame(rows, "k string, j int, review_status string, t string, v int, n int")
+    got = G.gated_last(df, ["k", "j"], ["v", "review_status", "t", "n"], ["n"])
+    assert got.columns == ["k", "j", "v", "review_status", "t", "n"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        [("k", 1, 5, "approved", "x", 1), ("k", None, None, "rejected", None, 1), (None, 1, 7, "rejected", "z", 1)], key=repr)
