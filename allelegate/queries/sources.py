@@ -49,7 +49,8 @@ def collected_roundtrip(spark, sf):
 def normalized_roundtrip(spark, sf):
     path = scratch_path(spark, "normalized")
     normalized = S.normalize_records(branded(spark, sf))
-    envelopes.write_envelope_json(normalized, path, envelopes.normalized_meta("2026-01-01T00:00:00+00:00", "table"), 5_000)
+    meta = envelopes.normalized_meta("2026-01-01T00:00:00+00:00", "table")
+    envelopes.write_envelope_json(normalized, path, meta, 5_000, compression="gzip")
     return S.staged(envelopes.load_normalized_rules(spark, path, lines=True))
 
 

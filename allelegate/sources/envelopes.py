@@ -18,6 +18,9 @@ from allelegate.operators.staging import to_rules
 from allelegate.plans import domains as D
 from allelegate.plans.schemas import NORMALIZED_RECORD, RAW_RECORD
 
+# Envelopes in a compressed file: one task reads it whole, so what a file holds must not grow with what a task writes.
+ENVELOPES_PER_FILE = 8
+
 
 def required_fields_missing(record: Column | str, required: list[str]) -> Column:
     """Sorted required keys that a record's JSON text lacks; a null value is not a lack."""
@@ -126,10 +129,13 @@ def normalized_meta(normalized_at: str, source_file: str) -> dict[str, str]:
     }
 
 
-def write_envelope_json(df: DataFrame, path: str, meta: dict[str, str], rows_per_envelope: int = 10_000) -> None:
+def write_envelope_json(
+    df: DataFrame, path: str, meta: dict[str, str], rows_per_envelope: int = 10_000, compression: str | None = None
+) -> None:
     """Records in envelopes, one per line, each with the metadata and a bounded number of records.
 
-    Spark turns rows into JSON; a task only joins the texts of its own rows.
+    Spark turns rows into JSON; a task only joins the texts of its own rows.  With `compression` ("gzip") the repeated
+    keys take little disk; the reader knows it by the files' names.
     """
     names = [c for c in df.columns if not c.startswith("ord_")]
     texts = df.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("record"))
@@ -145,4 +151,7 @@ def write_envelope_json(df: DataFrame, path: str, meta: dict[str, str], rows_per
         if held:
             yield pd.DataFrame({"value": [head + ", ".join(held) + "]}"]})
 
-    texts.mapInPandas(pack, "value string").write.text(path)
+    out = texts.mapInPandas(pack, "value string").write
+    if compression:
+        out = out.option("compression", compression).option("maxRecordsPerFile", ENVELOPES_PER_FILE)
+    out.text(path)
