@@ -40,7 +40,8 @@ def branded(spark, sf):
 @query("collected_roundtrip", NORM_BRANDED)
 def collected_roundtrip(spark, sf):
     path = scratch_path(spark, "collected")
-    envelopes.write_envelope_json(branded(spark, sf), path, envelopes.collected_meta("2026-01-01T00:00:00+00:00"), 5_000)
+    meta = envelopes.collected_meta("2026-01-01T00:00:00+00:00")
+    envelopes.write_envelope_json(branded(spark, sf), path, meta, 5_000, compression="gzip")
     records = envelopes.read_collected(spark, path, lines=True)
     return S.staged(S.to_rules(S.normalize_records(records)))
 

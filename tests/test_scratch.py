@@ -27,7 +27,7 @@ def line_items(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["normalized_roundtrip"])
+@pytest.mark.parametrize("name", ["collected_roundtrip", "normalized_roundtrip"])
 def test_envelopes_of_a_round_trip_take_a_fraction_of_their_text(spark, line_items, tmp_path, monkeypatch, name):
     monkeypatch.setattr(Q, "scratch_path", lambda _, folder: str(tmp_path / folder))
     rules = getattr(Q, name)(spark, line_items)
