@@ -7,7 +7,8 @@ anyway, and per patient at most the gene and phenotype pairs that rules use.  Th
 tables and on streams.
 
 `plan="rows"` gives the same rows from one row per (request pair, rule) and (request pair, gene), for a caller whose
-medications have very many rules.
+medications have very many rules.  It gathers the requests of a patient, and then of a medication, in one task; where one
+has too many for that, `spark.sql.adaptive.forceOptimizeSkewedJoin` lets Spark divide them for one more shuffle.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from allelegate.plans import domains as D
 
 RULE_TEXTS = ["patient_summary", "clinician_summary", "recommended_action", "evidence_source"]
 
+# Tasks over which requests without an id are spread where they meet patients or medications.
+SPREAD = 1024
+
 BRANCHES = [
     "missing_ids",
     "unsupported",
@@ -303,61 +307,129 @@ def _facts_of_profiles(requests: DataFrame, patient_side: DataFrame, medication_
     )
 
 
-def _facts_by_rows(requests, patients, meds, rules, pgx) -> DataFrame:
-    pairs = (
-        requests.where("_patient is not null and _medication is not null")
-        .select(F.col("_patient").alias("patient_id"), F.col("_medication").alias("medication_id"))
+def _numbered_pairs(named: DataFrame) -> DataFrame:
+    """One row per gene key that rules use, with a number for each of its phenotype keys.
+
+    A gene's numbers follow its `_low`, which stands for any other phenotype, up to `_high`.  This is the vocabulary of
+    the curated rules and is sent to all tasks.
+    """
+    number = F.row_number().over(Window.orderBy("gene_key", "phenotype_key")) + F.dense_rank().over(Window.orderBy("gene_key"))
+    used = (
+        named.select("gene_key", "phenotype_key")
         .distinct()
+        .withColumn("_no", number)
+        .groupBy(F.col("gene_key").alias("_gene"))
+        .agg(
+            (F.min("_no") - 1).alias("_low"),
+            F.max("_no").alias("_high"),
+            F.map_from_entries(F.collect_list(F.struct("phenotype_key", "_no"))).alias("_numbers"),
+        )
     )
-    need = required_genes(rules)
-    needed = need.groupBy("medication_id").agg(
-        F.sort_array(F.collect_list(F.struct("first_rule_id", "gene"))).alias("_need")
+    return F.broadcast(used)
+
+
+def _numbered_results(pgx: DataFrame, used: DataFrame) -> DataFrame:
+    """One row per patient with results: the numbers of those that rules use, and beside them the ids of the first ones."""
+    pair = F.try_element_at("_numbers", F.col("phenotype_key"))
+    reduced = (
+        keyed_results(pgx)
+        .join(used, F.col("gene_key") == F.col("_gene"), "left")
+        .select("patient_id", F.coalesce(pair, "_low").alias("_no"), F.when(pair.isNotNull(), F.col("first_by")).alias("_by"))
+        .groupBy("patient_id", "_no")
+        .agg(F.min("_by")["id"].alias("_id"))
     )
-    n_rules = approved_rules(rules).groupBy("medication_id").agg(F.count(F.lit(1)).cast("int").alias("_n_rules"))
-    having = keyed_results(pgx).select("patient_id").distinct().withColumn("_has_results", F.lit(True))
-    gaps = (
-        missing_genes(pairs, rules, pgx)
-        .groupBy("patient_id", "medication_id")
-        .agg(F.sort_array(F.collect_list(F.struct("first_rule_id", "gene"))).alias("_gap"))
+    found = F.when(F.col("_no").isNotNull(), F.struct("_no", "_id"))
+    grouped = reduced.groupBy(F.col("patient_id").alias("_owner")).agg(F.sort_array(F.collect_list(found)).alias("_first"))
+    return grouped.select("_owner", F.col("_first._no").alias("_pairs"), F.col("_first._id").alias("_ids"))
+
+
+def _rule_rows(rules: DataFrame, named: DataFrame, used: DataFrame) -> DataFrame:
+    """What a medication asks of its pairs: a row per rule, and a row per gene that it needs."""
+    rule = F.struct((-F.col("risk_rank")).alias("falling"), *_match_struct())
+    of = F.col("medication_id").alias("_of")
+    number = F.element_at("_numbers", F.col("phenotype_key")).alias("_no")
+    known = F.col("gene_key") == F.col("_gene")
+    by_rule = named.join(used, known).select(of, number, rule.alias("_rule"))
+    by_gene = required_genes(rules).join(used, known).select(
+        of, "_low", "_high", F.struct("first_rule_id", "gene").alias("_need")
+    )
+    return by_rule.unionByName(by_gene, allowMissingColumns=True)
+
+
+def _spread(requests: DataFrame, key: Column) -> Column:
+    """A second join key that spreads the rows without `key`, which find nothing anyway."""
+    plain = [f.name for f in requests.schema if isinstance(f.dataType, T.AtomicType)]
+    return F.when(key.isNull(), F.pmod(F.xxhash64(*plain), F.lit(SPREAD))).otherwise(F.lit(0))
+
+
+def _facts_by_rows(requests, patients, meds, rules, pgx) -> DataFrame:
+    """A request is moved to its patient and then to its medication, and nothing else that grows with requests is.
+
+    It takes along the numbers of its patient's results, no more than rules use.  The first request of a pair meets the
+    rows of its medication, of which those that tell something stay; a window gives them to the whole pair.
+    """
+    plain = [c for c in requests.columns if c not in ("_patient", "_medication")]
+    requests = requests.select(*plain)
+    # written out, not carried: a copy of an id would be shuffled beside it
+    patient, medication = _clean(requests, "patient_id"), _clean(requests, "medication_id")
+    no_patient, no_medication = _spread(requests, patient), _spread(requests, medication)
+    none = lambda c: F.when(F.col(c).isNull(), 1).otherwise(0).cast("long")
+
+    named = keyed_rules(rules).where("gene_key <> ''")
+    used = _numbered_pairs(named)
+    held = (
+        patients.select(F.col("id").alias("_patient_id"))
+        .join(_numbered_results(pgx, used), F.col("_patient_id") == F.col("_owner"), "left")
+        .drop("_owner")
     )
-    match = F.struct((-F.col("risk_rank")).alias("falling"), *_match_struct(), "pgx_result_id")
-    found = (
-        match_first(pairs, rules, pgx)
-        .groupBy("patient_id", "medication_id")
-        .agg(F.sort_array(F.collect_list(match)).alias("_found"))
+    pair = [no_patient, patient, no_medication, medication]
+    met = (
+        requests.join(held, (patient == F.col("_patient_id")) & (no_patient == none("_patient_id")), "left")
+        .withColumn("_leads", F.row_number().over(Window.partitionBy(*pair).orderBy(F.lit(0))) == 1)
+        .select(*plain, "_leads", F.col("_patient_id").isNotNull().alias("_known"), "_pairs", "_ids")
     )
-    # Narrow joins first: what a pair gathers is shuffled once, to meet the other facts of its pair.
-    decided = (
-        pairs.join(having, "patient_id", "left")
-        .join(n_rules.join(needed, "medication_id", "left"), "medication_id", "left")
-        .join(gaps, ["patient_id", "medication_id"], "left")
-        .join(found, ["patient_id", "medication_id"], "left")
-        .withColumnRenamed("patient_id", "_p")
-        .withColumnRenamed("medication_id", "_m")
+
+    hit = F.coalesce(F.array_contains("_pairs", F.col("_no")), F.lit(False))
+    has_gene = F.exists("_pairs", lambda n: n.between(F.col("_low"), F.col("_high")))
+    gap = F.col("_need").isNotNull() & ~F.coalesce(has_gene, F.lit(False))
+    asked = _rule_rows(rules, named, used)
+    on = (medication == F.col("_of")) & (no_medication == none("_of")) & F.col("_leads") & (hit | gap)
+    told = met.join(asked, on, "left")
+    same = Window.partitionBy(no_medication, medication, no_patient, patient).orderBy(F.desc("_leads"))
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    result = F.get("_ids", (F.array_position("_pairs", F.col("_no")) - 1).cast("int"))
+    match = F.when(
+        F.col("_rule").isNotNull(),
+        F.struct("_rule.falling", *[f"_rule.{c}" for c in _match_struct()], result.alias("pgx_result_id")),
     )
-    on = (F.col("_patient") == F.col("_p")) & (F.col("_medication") == F.col("_m"))
-    empty = F.array().cast("array<string>")
-    genes = lambda c: F.coalesce(F.transform(c, lambda g: g["gene"]), empty)
-    return (
-        requests.join(patients.select(F.col("id").alias("_patient_id")), F.col("_patient") == F.col("_patient_id"), "left")
-        .join(decided, on, "left")
-        .join(_medication_columns(meds), F.col("_medication") == F.col("_med_id"), "left")
-        .select(
-            *[c for c in requests.columns if c not in ("_patient", "_medication")],
-            "_patient",
-            "_medication",
-            "_patient_id",
-            "_med_id",
-            "medication",
-            F.coalesce("_n_rules", F.lit(0)).alias("_n_rules"),
-            F.coalesce("_has_results", F.lit(False)).alias("_has_results"),
-            genes("_need").alias("_all_genes"),
-            genes("_gap").alias("_gaps"),
-            F.transform(
-                "_found",
-                lambda m: F.struct(*[m[c].alias(c) for c in [*_match_struct(), "pgx_result_id"]]),
-            ).alias("_matches"),
-        )
+    gathered = told.withColumns(
+        {
+            "_found": F.sort_array(F.collect_list(match).over(whole)),
+            "_gap": F.sort_array(F.collect_list("_need").over(whole)),
+            "_place": F.row_number().over(same),
+        }
+    ).where(~F.col("_leads") | (F.col("_place") == 1))
+
+    n_rules = approved_rules(rules).groupBy("medication_id").agg(F.count(F.lit(1)).cast("int").alias("_n_rules"))
+    stored = _medication_columns(meds).join(n_rules, F.col("_med_id") == F.col("medication_id"), "left").drop("medication_id")
+    gaps = F.transform("_gap", lambda g: g["gene"])
+    return gathered.join(
+        stored, (medication == F.col("_med_id")) & (no_medication == none("_med_id")), "left"
+    ).select(
+        *plain,
+        patient.alias("_patient"),
+        medication.alias("_medication"),
+        F.when(F.col("_known"), patient).alias("_patient_id"),
+        "_med_id",
+        "medication",
+        F.coalesce("_n_rules", F.lit(0)).alias("_n_rules"),
+        F.col("_pairs").isNotNull().alias("_has_results"),
+        gaps.alias("_all_genes"),  # read only where a patient has no results, and so lacks every gene
+        gaps.alias("_gaps"),
+        F.transform(
+            "_found",
+            lambda m: F.struct(*[m[c].alias(c) for c in [*_match_struct(), "pgx_result_id"]]),
+        ).alias("_matches"),
     )
 
 
