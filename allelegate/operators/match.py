@@ -7,8 +7,8 @@ anyway, and per patient at most the gene and phenotype pairs that rules use.  Th
 tables and on streams.
 
 `plan="rows"` gives the same rows from one row per (request pair, rule) and (request pair, gene), for a caller whose
-medications have very many rules.  It gathers the requests of a patient, and then of a medication, in one task; where one
-has too many for that, `spark.sql.adaptive.forceOptimizeSkewedJoin` lets Spark divide them for one more shuffle.
+medications have very many rules.  It gathers the requests of a patient, and then those of a
+medication, in one task that Spark does not divide.
 """
 
 from __future__ import annotations
